@@ -57,3 +57,13 @@ def title_words(text: Column) -> Column:
 def safe_rate(total: Column, rows: Column) -> Column:
     """total / rows as double; 0.0 for an empty group."""
     return F.coalesce(F.try_divide(total.cast("double"), rows.cast("double")), F.lit(0.0))
+
+
+def fixed(value: Column | str, digits: int) -> Column:
+    """Text with a fixed number of decimals, rounded from the exact binary value.
+
+    ``format_string`` would round the shortest decimal form, half up, so 1006.925 (which is
+    stored slightly below) would print as 1006.93.
+    """
+    column = F.col(value) if isinstance(value, str) else value
+    return F.call_function("format_number", column, F.lit("0." + "0" * digits))

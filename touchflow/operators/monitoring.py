@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from touchflow.functions.scalars import fixed
+
 # Alert thresholds and ranges in minutes.
 HIGH_LATENCY_MS = 1000
 LOW_VOLUME_REQUESTS = 10
@@ -97,7 +99,7 @@ def alerts(metrics: DataFrame) -> DataFrame:
     others = [name for name in metrics.columns
               if name not in ("request_count", "average_latency", "action_distribution")]
     rules = F.array(
-        _rule("high_latency", F.format_string("High latency detected: %.2fms", latency),
+        _rule("high_latency", F.format_string("High latency detected: %sms", fixed(latency, 2)),
               "warning", latency > HIGH_LATENCY_MS),
         _rule("low_volume", F.format_string("Low request volume: %d requests", requests),
               "info", requests < LOW_VOLUME_REQUESTS),

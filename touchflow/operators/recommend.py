@@ -19,20 +19,20 @@ Scorer = Callable[[DataFrame], DataFrame]
 
 
 def request_features(requests: DataFrame, writes: DataFrame, sessions: DataFrame,
-                     stored: Sequence[str], features: Sequence[str] = FEATURE_NAMES
-                     ) -> DataFrame:
+                     stored: Sequence[str], features: Sequence[str] = FEATURE_NAMES,
+                     **lookup_options) -> DataFrame:
     """Requests with every model feature: stored ones overridden by those of the request."""
-    looked_up = lookup_features(requests, writes, stored)
+    looked_up = lookup_features(requests, writes, stored, **lookup_options)
     contextual = request_time_features(context_features(looked_up))
     return merge_features(session_features(contextual, sessions), features)
 
 
 def prepare_scoring(requests: DataFrame, writes: DataFrame, sessions: DataFrame,
                     labels: Mapping[str, Sequence[str]], versions: Mapping[str, str],
-                    stored: Sequence[str], features: Sequence[str] = FEATURE_NAMES
-                    ) -> DataFrame:
+                    stored: Sequence[str], features: Sequence[str] = FEATURE_NAMES,
+                    **lookup_options) -> DataFrame:
     """Requests with group, routed model and feature vector."""
-    described = request_features(requests, writes, sessions, stored, features)
+    described = request_features(requests, writes, sessions, stored, features, **lookup_options)
     assigned = assign_by_hash(described, TEST_NAME, group_col="ab_test_group")
     routed = route_models(assigned, requests.sparkSession, versions)
     return feature_vector(routed, labels, features)
@@ -57,9 +57,13 @@ def respond(scored: DataFrame, extra: Sequence[str] = (), at: str = "timestamp")
 def recommend(requests: DataFrame, writes: DataFrame, sessions: DataFrame,
               labels: Mapping[str, Sequence[str]], versions: Mapping[str, str],
               scorer: Scorer, stored: Sequence[str], extra: Sequence[str] = (),
-              features: Sequence[str] = FEATURE_NAMES) -> DataFrame:
-    """One response per request.  The same function scores a table and a micro-batch."""
-    ready = prepare_scoring(requests, writes, sessions, labels, versions, stored, features)
+              features: Sequence[str] = FEATURE_NAMES, **lookup_options) -> DataFrame:
+    """One response per request.  The same function scores a table and a micro-batch.
+
+    ``lookup_options`` go to ``lookup_features``.
+    """
+    ready = prepare_scoring(requests, writes, sessions, labels, versions, stored, features,
+                            **lookup_options)
     return respond(scorer(ready), extra)
 
 

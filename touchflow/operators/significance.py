@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from touchflow.functions.distributions import (
     normal_critical, normal_p_value, t_critical_value, t_p_value,
 )
-from touchflow.functions.scalars import title_words
+from touchflow.functions.scalars import fixed, title_words
 from touchflow.operators.metrics import RATES
 
 CONTROL = "control"
@@ -130,8 +130,8 @@ def winner(verdicts: DataFrame, primary_metric: str) -> DataFrame:
     return best.select(
         "metric", "test_group", "lift_percentage", "p_value",
         significant.alias("is_significant"),
-        F.when(significant, F.format_string("%s group with %.2f%% lift",
-                                            _title_group(), "lift_percentage"))
+        F.when(significant, F.format_string("%s group with %s%% lift",
+                                            _title_group(), fixed("lift_percentage", 2)))
         .otherwise("No statistically significant difference found").alias("result"),
         F.when(significant, F.format_string("Deploy %s treatment to all customers",
                                             "test_group"))
@@ -151,21 +151,18 @@ def _line(label: Column | str, value: Column) -> Column:
 
 def summary(moments: DataFrame, verdicts: DataFrame, primary_metric: str) -> DataFrame:
     """Report lines as rows: (section, test_group, label, value), values formatted as text."""
-    def four(name):
-        return F.format_string("%.4f", name)
-
     sizes = moments.select(
         F.lit("sample_size").alias("section"), "test_group", F.lit("Customers").alias("label"),
         F.col("sample_size").cast("string").alias("value")).distinct()
     results = moments.select(
         F.lit("result").alias("section"), "test_group",
-        title_words(F.col("metric")).alias("label"), four("metric_value").alias("value"))
+        title_words(F.col("metric")).alias("label"), fixed("metric_value", 4).alias("value"))
     lines = F.array(
-        _line("Lift", F.format_string("%.2f%%", "lift_percentage")),
-        _line("P-value", four("p_value")),
+        _line("Lift", F.concat(fixed("lift_percentage", 2), F.lit("%"))),
+        _line("P-value", fixed("p_value", 4)),
         _line("Statistically Significant", F.when(F.col("is_significant"), "Yes")
               .otherwise("No")),
-        _line("Confidence Interval", F.format_string("[%.4f, %.4f]", "ci_lower", "ci_upper")),
+        _line("Confidence Interval", F.format_string("[%s, %s]", fixed("ci_lower", 4), fixed("ci_upper", 4))),
     )
     tests = (verdicts.filter(F.col("metric") == primary_metric)
              .select(F.lit("significance").alias("section"),

@@ -612,4 +612,10 @@ _QUERIES = {
     "alert_windows": _alerts(_ALERT_WINDOWS, "range_end"),
 }
 
+# Streams drained to their end hold what the batch queries give.
+for _name in ("parse_events", "sliding_activity", "requests_per_minute", "action_distribution",
+              "alert_windows", "rejected_requests", "request_log"):
+    _QUERIES[f"{_name}_stream"] = _QUERIES[_name]
+_QUERIES["recommendations_stream"] = _QUERIES["encode_responses"]
+
 ORACLE = {name: _with(sql) for name, sql in _QUERIES.items()}

@@ -19,15 +19,14 @@ from touchflow.operators import backtest, experiments, features, journey, metric
 from touchflow.operators import recommend as rec
 from touchflow.operators import scoring, significance as sig
 from touchflow.plans import models, tables as t
-from touchflow.schemas import (
-    CHANNELS, CUSTOMER_COLUMNS, EVENT_COLUMNS, FEATURE_NAMES, ddl,
-)
+from touchflow.schemas import CHANNELS, FEATURE_NAMES
 from touchflow.session import shared_folder
 from touchflow.sources import tables as sources
 from touchflow.sources.streams import file_stream, write_batches, write_stream
 from touchflow.streaming.activity import sliding_activity
 from touchflow.streaming.recommendations import (
-    start_recommendations, start_reject_log, stream_alerts, stream_minute_metrics,
+    start_recommendations, start_reject_log, stream_action_distribution, stream_alerts,
+    stream_minute_metrics,
 )
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -533,3 +532,130 @@ def alerts(spark, sf_dir):
 @query("alert_windows")
 def alert_windows(spark, sf_dir):
     return present(monitoring.alert_windows(t.service_log(spark, sf_dir)))
+
+
+# -- the same on streams ------------------------------------------------------------------------
+# Each reads the given events as a file stream, to the end, and returns what the sink holds.
+
+EVENT_TABLE = ("event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, "
+               "value double, props string")
+DELAY = "10 minutes"
+# A record far behind the last event lets the watermark pass, so that all windows are emitted.
+# It is taken out of the sink's result: a filter on the stream would hide it from the watermark.
+CLOSING_USER = -1
+
+
+def _event_stream(spark, sf_dir, closing: bool = False) -> DataFrame:
+    """Event rows as a stream, if asked for with a closing record a day after the last."""
+    def prepared(raw):
+        return t.event_rows(raw.withColumn("ts", F.col("ts").cast("timestamp")))
+
+    stream = prepared(file_stream(spark, sf_dir, EVENT_TABLE, pathGlobFilter="events.parquet"))
+    if not closing:
+        return stream
+    path = shared_folder(spark, "closing")
+    given = spark.read.parquet(f"{sf_dir}/events.parquet")
+    last = given.agg(F.max("ts").alias("ts")).select(
+        F.lit(0).cast("long").alias("event_id"),
+        (F.col("ts") + F.expr("INTERVAL 1 DAY")).alias("ts"),
+        F.lit(CLOSING_USER).cast("long").alias("user_id"), F.lit("view").alias("event_type"),
+        F.lit(0.0).alias("value"), F.lit('{"k": 0}').alias("props"))
+    sources.save_table(last, path)
+    return stream.unionByName(prepared(file_stream(spark, path, EVENT_TABLE)))
+
+
+def _drained(start: Callable, spark: SparkSession, label: str) -> str:
+    """Starts a query with sink and checkpoint folders, waits for its end, gives the sink."""
+    path = shared_folder(spark, label)
+    running = start(path, f"{path}-checkpoint", {"availableNow": True})
+    running.awaitTermination()
+    return path
+
+
+def _sunk(spark: SparkSession, stream: DataFrame, label: str) -> DataFrame:
+    def start(path, checkpoint, trigger):
+        return write_stream(stream, path, checkpoint, trigger=trigger)
+
+    return spark.read.parquet(_drained(start, spark, label))
+
+
+def _before_closing(spark, sf_dir, table: DataFrame, column: str) -> DataFrame:
+    last = spark.read.parquet(f"{sf_dir}/events.parquet").agg(
+        (F.max("ts") + F.expr("INTERVAL 12 HOURS")).cast("timestamp")).scalar()
+    return table.filter(F.col(column) < last)
+
+
+@query("parse_events_stream")
+def parse_events_stream(spark, sf_dir):
+    parsed = parse_events(t.event_messages(_event_stream(spark, sf_dir)))
+    return _events_parsed(_sunk(spark, parsed, "events-stream"))
+
+
+@query("sliding_activity_stream")
+def sliding_activity_stream(spark, sf_dir):
+    parsed = parse_events(t.event_messages(_event_stream(spark, sf_dir, closing=True)))
+    activity = sliding_activity(features.time_features(parsed), watermark=DELAY)
+    stored = _sunk(spark, activity, "activity-stream")
+    return _activity_shown(stored.filter(F.col("customer_id") != str(CLOSING_USER)))
+
+
+@query("requests_per_minute_stream")
+def requests_per_minute_stream(spark, sf_dir):
+    log = t.service_log_rows(_event_stream(spark, sf_dir, closing=True))
+    stored = _sunk(spark, stream_minute_metrics(log, DELAY), "minutes-stream")
+    return present(_before_closing(spark, sf_dir, stored, "minute"))
+
+
+@query("action_distribution_stream")
+def action_distribution_stream(spark, sf_dir):
+    log = t.service_log_rows(_event_stream(spark, sf_dir, closing=True))
+    stored = _sunk(spark, stream_action_distribution(log, DELAY), "actions-stream")
+    return present(_before_closing(spark, sf_dir, stored, "minute"))
+
+
+@query("alert_windows_stream")
+def alert_windows_stream(spark, sf_dir):
+    log = t.service_log_rows(_event_stream(spark, sf_dir, closing=True))
+    stored = _sunk(spark, stream_alerts(log, DELAY), "alerts-stream")
+    return present(_before_closing(spark, sf_dir, stored, "timestamp"))
+
+
+def _message_stream(spark, sf_dir) -> DataFrame:
+    rows = _event_stream(spark, sf_dir)
+    return t.request_messages(t.request_rows(rows, t.customer_places(spark, sf_dir)), rows)
+
+
+@query("recommendations_stream")
+def recommendations_stream(spark, sf_dir):
+    labels = _labels(spark, sf_dir)
+
+    def answer(batch: DataFrame) -> DataFrame:
+        responses = rec.recommend(
+            batch, t.stored_writes(spark, sf_dir), t.sessions(spark, sf_dir), labels,
+            models.VERSIONS, _linear, t.STORED_FEATURES,
+            max_ttl_seconds=t.STORE_TTL_SECONDS, requested_keys_only=True)
+        return responses.withColumn("confidence_score", F.round("confidence_score", 4))
+
+    def start(path, checkpoint, trigger):
+        return start_recommendations(_message_stream(spark, sf_dir), answer, path, checkpoint,
+                                     trigger)
+
+    return spark.read.parquet(_drained(start, spark, "responses-stream")).select("key", "value")
+
+
+@query("rejected_requests_stream")
+def rejected_requests_stream(spark, sf_dir):
+    def start(path, checkpoint, trigger):
+        return start_reject_log(_message_stream(spark, sf_dir), path, checkpoint, trigger)
+
+    return present(spark.read.parquet(_drained(start, spark, "rejects-stream")))
+
+
+@query("request_log_stream")
+def request_log_stream(spark, sf_dir):
+    log = t.service_log_rows(_event_stream(spark, sf_dir))
+
+    def start(path, checkpoint, trigger):
+        return write_batches(log, rec.request_log, path, checkpoint, trigger)
+
+    return present(spark.read.parquet(_drained(start, spark, "log-stream")).drop("batch_id"))
