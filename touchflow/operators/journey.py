@@ -9,18 +9,14 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from touchflow.functions.scalars import brand_region_segment, segment_priority
 from touchflow.schemas import CHANNELS, INTERACTION_COLUMNS, INTERACTION_MAPPING
-from touchflow.sources.tables import conform
 
 
 def to_interactions(table: DataFrame, channel: str) -> DataFrame:
     """One channel's rows in the common interaction layout."""
-    mapping = INTERACTION_MAPPING[channel]
-    mapped = table.select(
-        "customer_id",
-        F.lit(channel).alias("channel"),
-        *[F.expr(source).alias(name) for name, source in mapping.items()],
-    )
-    return conform(mapped, INTERACTION_COLUMNS)
+    source = {"customer_id": "customer_id", "channel": f"'{channel}'",
+              **INTERACTION_MAPPING[channel]}
+    return table.selectExpr(*[f"CAST({source[name]} AS {kind}) AS {name}"
+                              for name, kind in INTERACTION_COLUMNS.items()])
 
 
 def combine_interactions(tables: Mapping[str, DataFrame]) -> DataFrame:

@@ -36,13 +36,6 @@ class LinearModel:
             for intercept, row in zip(self.intercepts, self.weights)
         ]
 
-    def probability(self, features: Column) -> Column:
-        # Shifted by the largest score: exp stays in range and the ratios do not change.
-        scores = F.array(*self.scores(features))
-        powers = F.transform(scores, lambda s: F.exp(s - F.array_max(scores)))
-        total = F.aggregate(powers, F.lit(0.0), lambda a, b: a + b)
-        return F.transform(powers, lambda p: p / total)
-
 
 def route_models(requests: DataFrame, spark: SparkSession, versions: Mapping[str, str],
                  group_col: str = "ab_test_group") -> DataFrame:
@@ -63,14 +56,32 @@ def _first_largest(probability: Column) -> Column:
 
 def score_linear(table: DataFrame, models: Mapping[str, LinearModel],
                  features: str = "features") -> DataFrame:
-    """Scores each row with the model in its ``model_name``; nulls if that is not loaded."""
-    probability = F.lit(None).cast("array<double>")
+    """Scores each row with the model in its ``model_name``; nulls if that is not loaded.
+
+    One column per step, and one expression per class: each value is computed once, in generated
+    code.
+    """
+    classes = {len(model.intercepts) for model in models.values()}
+    if len(classes) != 1:
+        raise ValueError("models must have the same number of classes")
+    each = range(classes.pop())
+    scores = F.lit(None).cast("array<double>")
     for name, model in models.items():
-        probability = F.when(F.col("model_name") == name,
-                             model.probability(F.col(features))).otherwise(probability)
-    return (table.withColumn("probability", probability)
+        scores = F.when(F.col("model_name") == name,
+                        F.array(*model.scores(F.col(features)))).otherwise(scores)
+    # Shifted by the largest score: exp stays in range and the ratios do not change.
+    powers = [F.exp(F.col("_scores")[i] - F.col("_top")) for i in each]
+    total = reduce(lambda a, b: a + b, [F.col("_powers")[i] for i in each])
+    shares = [F.col("_powers")[i] / F.col("_total") for i in each]
+    loaded = F.col("_scores").isNotNull()
+    return (table.withColumn("_scores", scores)
+            .withColumn("_top", F.array_max("_scores"))
+            .withColumn("_powers", F.array(*powers))
+            .withColumn("_total", total)
+            .withColumn("probability", F.when(loaded, F.array(*shares)))
             .withColumn("prediction", _first_largest(F.col("probability")))
-            .withColumn("confidence", F.array_max("probability")))
+            .withColumn("confidence", F.array_max("probability"))
+            .drop("_scores", "_top", "_powers", "_total"))
 
 
 def score_pipelines(table: DataFrame, models: Mapping[str, PipelineModel],

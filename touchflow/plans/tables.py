@@ -6,14 +6,13 @@ those tables, so the work of every query grows with them.
 
 from __future__ import annotations
 
-from itertools import chain
+from functools import lru_cache
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from touchflow.functions.scalars import action_label, hash_bucket
 from touchflow.operators.features import build_sessions, feature_writes
 from touchflow.schemas import CHANNEL_COLUMNS, CHANNELS, CUSTOMER_COLUMNS
-from touchflow.sources.tables import conform, tag_channel
 
 AS_OF = "2024-02-01"
 CHANNEL_BY_EVENT = {"click": "email", "signup": "mobile", "view": "web",
@@ -22,28 +21,25 @@ STORED_FEATURES = ("session_duration", "page_views")
 STORE_TTL_SECONDS = 86_400
 
 
+@lru_cache(maxsize=64)
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A given table; its zone-less times become timestamps of the session zone."""
+    """A given table; its zone-less times become timestamps of the session zone.
+
+    The given tables never change, so the schema of each is read once per session.
+    """
     data = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     zoneless = [c for c, kind in data.dtypes if kind == "timestamp_ntz"]
     return data.withColumns({c: F.col(c).cast("timestamp") for c in zoneless})
 
 
-def _text(prefix: str, value: Column | str) -> Column:
-    column = F.col(value) if isinstance(value, str) else value
-    return F.concat(F.lit(prefix), column.cast("string"))
-
-
 def event_rows(data: DataFrame) -> DataFrame:
     """Events with customer, channel, ``k`` from the properties and a session per day."""
-    pairs = chain.from_iterable((F.lit(e), F.lit(c)) for e, c in CHANNEL_BY_EVENT.items())
-    customer = F.col("user_id").cast("string")
-    return data.select(
-        "event_id", customer.alias("customer_id"), "event_type",
-        F.create_map(*pairs)[F.col("event_type")].alias("channel"),
-        F.col("ts").alias("timestamp"), "value", "props",
-        F.get_json_object("props", "$.k").cast("int").alias("k"),
-        F.concat(customer, F.lit("-"), F.date_format("ts", "yyyy-MM-dd")).alias("session_id"),
+    channel = " ".join(f"WHEN '{e}' THEN '{c}'" for e, c in CHANNEL_BY_EVENT.items())
+    return data.selectExpr(
+        "event_id", "CAST(user_id AS string) AS customer_id", "event_type",
+        f"CASE event_type {channel} END AS channel", "ts AS timestamp", "value", "props",
+        "CAST(get_json_object(props, '$.k') AS int) AS k",
+        "user_id || '-' || date_format(ts, 'yyyy-MM-dd') AS session_id",
     )
 
 
@@ -51,40 +47,45 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return event_rows(table(spark, sf_dir, "events"))
 
 
+# Columns of the channel layouts, as expressions over event rows.
+CHANNEL_SOURCES = {
+    "email": {
+        "email_id": "'e' || event_id", "campaign_id": "'c' || k % 7", "sent_date": "timestamp",
+        "opened": "value >= 20", "clicked": "value >= 50", "converted": "value >= 100",
+    },
+    "mobile": {
+        "session_id": "'s' || event_id", "app_version": "'v' || k % 4",
+        "interaction_date": "timestamp", "screen_views": "k", "time_spent": "value",
+        "push_notification_clicked": "k >= 50", "in_app_purchase": "value >= 100",
+    },
+    "web": {
+        "session_id": "'s' || event_id", "page_views": "k", "session_duration": "value",
+        "bounce_rate": "k / 100", "conversion_event": "value >= 100",
+        "referrer_source": "'r' || k % 3", "visit_date": "timestamp",
+    },
+    "instore": {
+        "store_id": "'store' || k % 10", "transaction_id": "'t' || event_id",
+        "transaction_date": "timestamp", "purchase_amount": "value",
+        "product_category": "'cat' || k % 5", "loyalty_points_used": "k",
+        "staff_interaction": "k >= 50",
+    },
+    "directmail": {
+        "campaign_id": "'c' || k % 7", "mail_type": "'m' || k % 2", "sent_date": "timestamp",
+        "response_date": "CASE WHEN k >= 50 THEN timestamp + INTERVAL 1 DAY END",
+        "responded": "k >= 50", "offer_redeemed": "value >= 100",
+    },
+}
+
+
 def channel_table(spark: SparkSession, sf_dir: str, channel: str) -> DataFrame:
     """The events of one channel, in that channel's own layout."""
-    k, value, ts = F.col("k"), F.col("value"), F.col("timestamp")
-    large = value >= 100
-    columns = {
-        "email": {
-            "email_id": _text("e", "event_id"), "campaign_id": _text("c", k % 7),
-            "sent_date": ts, "opened": value >= 20, "clicked": value >= 50,
-            "converted": large,
-        },
-        "mobile": {
-            "session_id": _text("s", "event_id"), "app_version": _text("v", k % 4),
-            "interaction_date": ts, "screen_views": k, "time_spent": value,
-            "push_notification_clicked": k >= 50, "in_app_purchase": large,
-        },
-        "web": {
-            "session_id": _text("s", "event_id"), "page_views": k, "session_duration": value,
-            "bounce_rate": k / 100, "conversion_event": large,
-            "referrer_source": _text("r", k % 3), "visit_date": ts,
-        },
-        "instore": {
-            "store_id": _text("store", k % 10), "transaction_id": _text("t", "event_id"),
-            "transaction_date": ts, "purchase_amount": value,
-            "product_category": _text("cat", k % 5), "loyalty_points_used": k,
-            "staff_interaction": k >= 50,
-        },
-        "directmail": {
-            "campaign_id": _text("c", k % 7), "mail_type": _text("m", k % 2), "sent_date": ts,
-            "response_date": F.when(k >= 50, ts + F.expr("INTERVAL 1 DAY")),
-            "responded": k >= 50, "offer_redeemed": large,
-        },
-    }[channel]
-    rows = events(spark, sf_dir).filter(F.col("channel") == channel).withColumns(columns)
-    return tag_channel(conform(rows, CHANNEL_COLUMNS[channel]), channel)
+    sources = CHANNEL_SOURCES[channel] | {"customer_id": "customer_id",
+                                          "channel": f"'{channel}'"}
+    layout = CHANNEL_COLUMNS[channel] | {"channel": "string"}
+    event = next(e for e, c in CHANNEL_BY_EVENT.items() if c == channel)
+    rows = events(spark, sf_dir).filter(f"event_type = '{event}'")
+    return rows.selectExpr(*[f"CAST({sources[name]} AS {kind}) AS {name}"
+                             for name, kind in layout.items()])
 
 
 def channel_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
@@ -115,20 +116,22 @@ def customers(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.max("o_orderdate").alias("last_purchase_date"),
         F.count("*").cast("int").alias("total_purchases"),
         F.avg("o_totalprice").alias("average_order_value"))
-    key = F.col("c_custkey")
-    labels = F.array(*[F.lit(name) for name in CHANNELS])
-    profile = (
-        customer_places(spark, sf_dir)
-        .join(purchases, key == F.col("o_custkey"), "left")
-        .withColumn("age", F.when(key % 17 != 0, 18 + key % 60))
-        .withColumn("gender", F.when(key % 3 == 0, "F").when(key % 3 == 1, "M"))
-        .withColumn("customer_segment", F.col("c_mktsegment"))
-        .withColumn("lifetime_value", F.col("c_acctbal"))
-        .withColumn("acquisition_channel", F.get(labels, (key % 6).cast("int")))
-        .withColumn("registration_date", F.timestamp_seconds(
-            F.unix_seconds(F.lit("2020-01-01").cast("timestamp")) + (key % 1000) * 86_400))
-    )
-    return conform(profile, CUSTOMER_COLUMNS)
+    sources = {
+        "customer_id": "customer_id",
+        "age": "CASE WHEN c_custkey % 17 <> 0 THEN 18 + c_custkey % 60 END",
+        "gender": "CASE c_custkey % 3 WHEN 0 THEN 'F' WHEN 1 THEN 'M' END",
+        "region": "region", "brand_preference": "brand_preference",
+        "customer_segment": "c_mktsegment", "lifetime_value": "c_acctbal",
+        "acquisition_channel": f"get(array({', '.join(map(repr, CHANNELS))}), "
+                               "CAST(c_custkey % 6 AS int))",
+        "registration_date": "TIMESTAMP '2020-01-01' + make_dt_interval(c_custkey % 1000)",
+        "last_purchase_date": "last_purchase_date", "total_purchases": "total_purchases",
+        "average_order_value": "average_order_value",
+    }
+    joined = customer_places(spark, sf_dir).join(
+        purchases, F.col("c_custkey") == F.col("o_custkey"), "left")
+    return joined.selectExpr(*[f"CAST({sources[name]} AS {kind}) AS {name}"
+                               for name, kind in CUSTOMER_COLUMNS.items()])
 
 
 def experiment_customers(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -47,10 +47,15 @@ def write_batches(table: DataFrame, transform: Callable[[DataFrame], DataFrame],
     """Applies a batch transformation to each micro-batch and writes its rows once.
 
     ``foreachBatch`` may repeat a batch after a failure.  A batch therefore owns the folder
-    ``batch_id=<n>`` below ``path`` and replaces it, so a repeat leaves no duplicates.
+    ``batch_id=<n>`` below ``path`` and replaces it, so a repeat leaves no duplicates.  The batch
+    is kept while it is worked on, as a transformation may read it several times.
     """
     def write(batch: DataFrame, batch_id: int) -> None:
-        transform(batch).write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+        kept = batch.persist()
+        try:
+            transform(kept).write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+        finally:
+            kept.unpersist()
 
     writer = table.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return _trigger(writer, trigger).start()

@@ -29,8 +29,8 @@ def read_csv(spark: SparkSession, path: str, columns: Mapping[str, str]) -> Data
 def conform(table: DataFrame, columns: Mapping[str, str]) -> DataFrame:
     """Select ``columns`` in order with their types; absent ones become null."""
     present = set(table.columns)
-    return table.select([
-        (F.col(name) if name in present else F.lit(None)).cast(kind).alias(name)
+    return table.selectExpr(*[
+        f"CAST({f'`{name}`' if name in present else 'NULL'} AS {kind}) AS `{name}`"
         for name, kind in columns.items()
     ])
 
