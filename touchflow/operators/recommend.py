@@ -40,7 +40,7 @@ def prepare_scoring(requests: DataFrame, writes: DataFrame, sessions: DataFrame,
 
 def respond(scored: DataFrame, extra: Sequence[str] = (), at: str = "timestamp") -> DataFrame:
     """Response rows; a row that could not be scored gets the fallback response."""
-    failed = F.col("prediction").isNull()
+    failed = ~F.coalesce("scored", F.lit(False))
     return scored.select(
         *extra,
         "customer_id",

@@ -1,8 +1,10 @@
 """Scoring with fitted models.
 
-Three kinds of model give the same three columns ``prediction``, ``probability`` and
-``confidence``: coefficients evaluated as column arithmetic, fitted ``pyspark.ml`` pipelines, and
-any Python predictor applied to Arrow batches on the executors.
+Three kinds of model give the same columns: coefficients evaluated as column arithmetic, fitted
+``pyspark.ml`` pipelines, and any Python predictor applied to Arrow batches on the executors.  The
+columns are ``prediction``, ``probability``, ``confidence`` and ``scored``, which is false where no
+model answered.  A filter that only has to tell failures apart should use ``scored``: pushed below
+the scoring, it stays cheap, where one on the prediction would compute the scores twice.
 """
 
 from __future__ import annotations
@@ -50,16 +52,16 @@ def route_models(requests: DataFrame, spark: SparkSession, versions: Mapping[str
     return requests.join(F.broadcast(routes), group_col, "left")
 
 
-def _first_largest(probability: Column) -> Column:
-    return (F.array_position(probability, F.array_max(probability)) - 1).cast("int")
+def _first_largest(values: Column) -> Column:
+    return (F.array_position(values, F.array_max(values)) - 1).cast("int")
 
 
 def score_linear(table: DataFrame, models: Mapping[str, LinearModel],
                  features: str = "features") -> DataFrame:
     """Scores each row with the model in its ``model_name``; nulls if that is not loaded.
 
-    One column per step, and one expression per class: each value is computed once, in generated
-    code.
+    One column per step, so each value is computed once.  The class comes from the scores and the
+    confidence from their sum: where the probabilities are not asked for, they are not computed.
     """
     classes = {len(model.intercepts) for model in models.values()}
     if len(classes) != 1:
@@ -71,40 +73,41 @@ def score_linear(table: DataFrame, models: Mapping[str, LinearModel],
                         F.array(*model.scores(F.col(features)))).otherwise(scores)
     # Shifted by the largest score: exp stays in range and the ratios do not change.
     powers = [F.exp(F.col("_scores")[i] - F.col("_top")) for i in each]
-    total = reduce(lambda a, b: a + b, [F.col("_powers")[i] for i in each])
-    shares = [F.col("_powers")[i] / F.col("_total") for i in each]
-    loaded = F.col("_scores").isNotNull()
     return (table.withColumn("_scores", scores)
             .withColumn("_top", F.array_max("_scores"))
-            .withColumn("_powers", F.array(*powers))
-            .withColumn("_total", total)
-            .withColumn("probability", F.when(loaded, F.array(*shares)))
-            .withColumn("prediction", _first_largest(F.col("probability")))
-            .withColumn("confidence", F.array_max("probability"))
-            .drop("_scores", "_top", "_powers", "_total"))
+            .withColumn("_total", reduce(lambda a, b: a + b, powers))
+            .withColumns({
+                "probability": F.when(F.col("_total").isNotNull(),
+                                      F.array(*[power / F.col("_total") for power in powers])),
+                "prediction": _first_largest(F.col("_scores")),
+                "confidence": 1 / F.col("_total"),
+                "scored": F.col("model_name").isin(*models) & F.col(features).isNotNull(),
+            })
+            .drop("_scores", "_top", "_total"))
 
 
 def score_pipelines(table: DataFrame, models: Mapping[str, PipelineModel],
                     n_classes: int = len(ACTIONS)) -> DataFrame:
-    """Scores with fitted pipelines, each over the rows routed to it.
+    """Scores each row with the fitted pipeline in its ``model_name``, in one pass.
 
-    A pipeline without a ``probability`` output gives a one-hot one.  Rows of a model that is not
-    loaded keep nulls.
+    Every pipeline adds its columns to the same rows and the routed one is kept, so the input is
+    not evaluated once per model.  A pipeline without a ``probability`` output gives a one-hot
+    one.  Rows of a model that is not loaded keep nulls.
     """
-    parts = []
-    routed = F.col("model_name")
-    for name, model in models.items():
-        scored = model.transform(table.filter(routed == name))
-        code = F.col("prediction").cast("int")
-        probability = (vector_to_array("probability") if "probability" in scored.columns
-                       else one_hot(code, n_classes))
-        parts.append(scored.select(*table.columns, probability.alias("probability"),
-                                   code.alias("prediction")))
-    left_over = table.filter(routed.isNull() | ~routed.isin(*models))
-    parts.append(left_over.select(
-        *table.columns, F.lit(None).cast("array<double>").alias("probability"),
-        F.lit(None).cast("int").alias("prediction")))
-    return (reduce(DataFrame.unionByName, parts)
+    scored, probability, code = table, F.lit(None).cast("array<double>"), F.lit(None).cast("int")
+    for i, (name, model) in enumerate(models.items()):
+        output = model.transform(scored)
+        predicted = F.col("prediction").cast("int")
+        shares = (vector_to_array("probability") if "probability" in output.columns
+                  else one_hot(predicted, n_classes))
+        scored = output.select(*scored.columns, shares.alias(f"_probability_{i}"),
+                               predicted.alias(f"_prediction_{i}"))
+        routed = F.col("model_name") == name
+        probability = F.when(routed, F.col(f"_probability_{i}")).otherwise(probability)
+        code = F.when(routed, F.col(f"_prediction_{i}")).otherwise(code)
+    return (scored.select(*table.columns, probability.alias("probability"),
+                          code.alias("prediction"),
+                          F.col("model_name").isin(*models).alias("scored"))
             .withColumn("confidence", F.array_max("probability")))
 
 
@@ -119,7 +122,8 @@ def score_batches(table: DataFrame, load: Callable[[], Callable], n_features: in
                                 input_tensor_shapes=[[n_features]])
     return (table.withColumn("probability", predict(F.col(features)))
             .withColumn("prediction", _first_largest(F.col("probability")))
-            .withColumn("confidence", F.array_max("probability")))
+            .withColumn("confidence", F.array_max("probability"))
+            .withColumn("scored", F.col("probability").isNotNull()))
 
 
 def with_one_hot(table: DataFrame, n_classes: int = len(ACTIONS),

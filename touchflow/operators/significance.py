@@ -41,33 +41,19 @@ def _ratio(top: Column, bottom: Column) -> Column:
     return F.try_divide(top, bottom)
 
 
-def with_proportion_test(pairs: DataFrame, alpha: float = 0.05) -> DataFrame:
-    """Two-proportion z-test: pooled error for z, unpooled for the interval.
-
-    A pooled error of 0 gives z = 0; an empty or missing control gives nulls.
-    """
+def _proportion_columns(alpha: float) -> tuple[dict[str, Column], dict[str, Column]]:
     n1, n2 = F.col("c_n"), F.col("t_n")
     p1, p2 = F.col("c_metric_value"), F.col("t_metric_value")
     pooled = _ratio(F.col("c_total") + F.col("t_total"), n1 + n2)
     inverse = _ratio(F.lit(1.0), n1) + _ratio(F.lit(1.0), n2)
-    error = F.sqrt(pooled * (1 - pooled) * inverse)
     margin = F.lit(normal_critical(alpha)) * F.sqrt(
         _ratio(p1 * (1 - p1), n1) + _ratio(p2 * (1 - p2), n2))
-    z = F.when(error > 0, _ratio(_difference(), error)).when(error == 0, F.lit(0.0))
-    return (pairs
-            .withColumn("statistic", z)
-            .withColumn("p_value", normal_p_value("statistic"))
-            .withColumn("ci_lower", _difference() - margin)
-            .withColumn("ci_upper", _difference() + margin))
+    return ({"_error": F.sqrt(pooled * (1 - pooled) * inverse), "_margin": margin},
+            {"p_value": normal_p_value("statistic")})
 
 
-def with_t_test(pairs: DataFrame, alpha: float = 0.05,
-                assumed_cv: float | None = None) -> DataFrame:
-    """Pooled two-sample t-test with n1 + n2 - 2 degrees of freedom.
-
-    Uses the observed variances.  ``assumed_cv`` replaces them: each standard deviation is then
-    that fraction of the group's mean, and n is the size of the group.
-    """
+def _t_columns(alpha: float, assumed_cv: float | None
+               ) -> tuple[dict[str, Column], dict[str, Column]]:
     if assumed_cv is None:
         n1, n2 = F.col("c_n"), F.col("t_n")
         v1, v2 = F.col("c_variance"), F.col("t_variance")
@@ -80,31 +66,58 @@ def with_t_test(pairs: DataFrame, alpha: float = 0.05,
     freedom = F.when((n1 > 0) & (n2 > 0) & (n1 + n2 > 2), (n1 + n2 - 2).cast("double"))
     error = F.sqrt(_ratio(weighted, freedom)
                    * (_ratio(F.lit(1.0), n1) + _ratio(F.lit(1.0), n2)))
-    t = F.when(F.col("_error") > 0, _ratio(_difference(), F.col("_error"))).when(
+    return ({"_df": freedom, "_error": error,
+             "_margin": t_critical_value(F.lit(alpha), freedom) * error},
+            {"p_value": t_p_value("statistic", "_df")})
+
+
+def _tested(pairs: DataFrame, columns: tuple[dict[str, Column], dict[str, Column]]
+            ) -> DataFrame:
+    """Statistic (0 where the error is 0), p-value and interval."""
+    spread, probability = columns
+    statistic = F.when(F.col("_error") > 0, _ratio(_difference(), F.col("_error"))).when(
         F.col("_error") == 0, F.lit(0.0))
-    return (pairs
-            .withColumn("_df", freedom).withColumn("_error", error)
-            .withColumn("statistic", t)
-            .withColumn("p_value", t_p_value("statistic", "_df"))
-            .withColumn("_margin", t_critical_value(F.lit(alpha), F.col("_df"))
-                        * F.col("_error"))
+    return (pairs.withColumns(spread).withColumn("statistic", statistic)
+            .withColumns(probability)
             .withColumn("ci_lower", _difference() - F.col("_margin"))
             .withColumn("ci_upper", _difference() + F.col("_margin"))
             .drop("_df", "_error", "_margin"))
 
 
+def with_proportion_test(pairs: DataFrame, alpha: float = 0.05) -> DataFrame:
+    """Two-proportion z-test: pooled error for z, unpooled for the interval.
+
+    A pooled error of 0 gives z = 0; an empty or missing control gives nulls.
+    """
+    return _tested(pairs, _proportion_columns(alpha))
+
+
+def with_t_test(pairs: DataFrame, alpha: float = 0.05,
+                assumed_cv: float | None = None) -> DataFrame:
+    """Pooled two-sample t-test with n1 + n2 - 2 degrees of freedom.
+
+    Uses the observed variances.  ``assumed_cv`` replaces them: each standard deviation is then
+    that fraction of the group's mean, and n is the size of the group.
+    """
+    return _tested(pairs, _t_columns(alpha, assumed_cv))
+
+
 def significance(moments: DataFrame, alpha: float = 0.05, control: str = CONTROL,
                  assumed_cv: float | None = None,
                  by: Sequence[str] = ("metric",)) -> DataFrame:
-    """Verdict per treatment and metric: rates by the z-test, all else by the t-test."""
+    """Verdict per treatment and metric: rates by the z-test, all else by the t-test.
+
+    Both are computed for each of the few rows and one is kept, so ``moments`` is read once.
+    """
     pairs = pair_with_control(moments, control, by)
     is_rate = F.col("metric").isin(*RATES)
-    tested = (
-        with_proportion_test(pairs.filter(is_rate), alpha)
-        .withColumn("test", F.lit("proportion"))
-        .unionByName(with_t_test(pairs.filter(~is_rate), alpha, assumed_cv)
-                     .withColumn("test", F.lit("t")))
-    )
+    outputs = ("statistic", "p_value", "ci_lower", "ci_upper")
+    z = with_proportion_test(pairs, alpha).withColumnsRenamed({n: f"z_{n}" for n in outputs})
+    both = with_t_test(z, alpha, assumed_cv)
+    tested = both.withColumns({
+        "test": F.when(is_rate, "proportion").otherwise("t"),
+        **{name: F.when(is_rate, F.col(f"z_{name}")).otherwise(F.col(name))
+           for name in outputs}})
     lift = F.when(F.col("c_metric_value") > 0,
                   _ratio(_difference(), F.col("c_metric_value")) * 100
                   ).when(F.col("c_metric_value").isNotNull(), F.lit(0.0))

@@ -373,6 +373,16 @@ _ACTIVITY = f"""
                  lambda i: date_trunc('minute', ts) - to_minutes(i))) AS w FROM ev)
     GROUP BY w, customer_id"""
 
+_CHANNEL_COUNTS = f"""
+    SELECT {_ts('w', 'window_start')}, customer_id, CAST(sum(n) AS BIGINT) AS event_count,
+           string_agg(channel || '=' || n, ',' ORDER BY channel) AS channel_counts,
+           {_ts('max(last)', 'last_activity')}
+    FROM (SELECT w, customer_id, channel, count(*) AS n, max(ts) AS last
+          FROM (SELECT *, unnest(list_transform([0, 1, 2, 3, 4],
+                       lambda i: date_trunc('minute', ts) - to_minutes(i))) AS w FROM ev)
+          GROUP BY w, customer_id, channel)
+    GROUP BY w, customer_id"""
+
 _RESPONSES = f"""customer_id, recommended_action, channel,
     round(confidence_score, 6) AS confidence_score, {_ts('timestamp')}, model_version,
     ab_test_group"""
@@ -550,6 +560,7 @@ _QUERIES = {
         round(avg(1 - abs(rate - CAST(0.12 AS DOUBLE))), 4) AS avg_prediction_accuracy,
         round(sum(revenue), 4) AS total_revenue, count(*) AS num_windows FROM windows""",
     "sliding_activity": _ACTIVITY,
+    "sliding_channel_counts": _CHANNEL_COUNTS,
     "feature_upsert": f"""
         SELECT customer_id, 'session_duration' AS feature,
                CAST(arg_max(session_duration, written_at) AS VARCHAR) AS value,

@@ -20,7 +20,7 @@ from touchflow.operators import recommend as rec
 from touchflow.operators import scoring, significance as sig
 from touchflow.plans import models, tables as t
 from touchflow.schemas import CHANNELS, FEATURE_NAMES
-from touchflow.session import shared_folder
+from touchflow.session import shared_folder, stored
 from touchflow.sources import tables as sources
 from touchflow.sources.streams import file_stream, write_batches, write_stream
 from touchflow.streaming.activity import sliding_activity
@@ -65,6 +65,12 @@ def present(table: DataFrame, digits: int = 6, exact: Sequence[str] = ()) -> Dat
     return table.select(shown)
 
 
+def _map_text(name: str) -> Column:
+    entries = F.transform(F.map_entries(name),
+                          lambda e: F.concat_ws("=", e["key"], e["value"].cast("string")))
+    return F.array_join(entries, ",").alias(name)
+
+
 # -- sources and sinks --------------------------------------------------------------------------
 
 def _scan_channel(spark: SparkSession, sf_dir: str, channel: str) -> DataFrame:
@@ -306,8 +312,9 @@ def significance(spark, sf_dir):
 
 
 def _verdicts(spark, sf_dir):
-    moments = _moments(spark, sf_dir)
-    return moments, sig.significance(moments)
+    """Group statistics and verdicts: a few rows each, read several times by the report."""
+    moments = stored(_moments(spark, sf_dir), "moments")
+    return moments, stored(sig.significance(moments), "verdicts")
 
 
 @query("experiment_winner")
@@ -348,6 +355,14 @@ def sliding_activity_batch(spark, sf_dir):
     return _activity_shown(sliding_activity(_activity_events(spark, sf_dir)))
 
 
+@query("sliding_channel_counts")
+def sliding_channel_counts(spark, sf_dir):
+    activity = sliding_activity(_activity_events(spark, sf_dir), spell_out=False)
+    return present(activity.select(
+        F.col("window.start").alias("window_start"), "customer_id", "event_count",
+        _map_text("channel_counts"), "last_activity"))
+
+
 # -- features -----------------------------------------------------------------------------------
 
 @query("feature_upsert")
@@ -365,9 +380,9 @@ def _request_keys(spark, sf_dir) -> DataFrame:
 def feature_lookup(spark, sf_dir):
     found = features.lookup_features(_request_keys(spark, sf_dir),
                                      t.stored_writes(spark, sf_dir), t.STORED_FEATURES)
-    stored = [F.col(f"stored_{n}").cast("double").alias(f"stored_{n}")
+    values = [F.col(f"stored_{n}").cast("double").alias(f"stored_{n}")
               for n in t.STORED_FEATURES]
-    return found.select("request_id", "customer_id", *stored)
+    return found.select("request_id", "customer_id", *values)
 
 
 @query("session_features")
@@ -435,13 +450,11 @@ def score_linear(spark, sf_dir):
 def score_batch(spark, sf_dir):
     """Two models fitted on all requests, then applied to them by group."""
     ready = _ready(spark, sf_dir, t.requests(spark, sf_dir))
-    path = shared_folder(spark, "scoring-input")
     label = F.pmod(F.col("customer_id").cast("long"), F.lit(5))
-    sources.save_table(ready.withColumn("next_best_action", label), path)
-    stored = spark.read.parquet(path)
-    fitted = models.fit_models(stored, "next_best_action")
+    labelled = stored(ready.withColumn("next_best_action", label), "scoring-input")
+    fitted = models.fit_models(labelled, "next_best_action")
     scored = scoring.score_pipelines(
-        stored.withColumn("input", array_to_vector("features")), fitted)
+        labelled.withColumn("input", array_to_vector("features")), fitted)
     return scored.select("request_id", "model_name", "prediction", "confidence")
 
 
@@ -476,10 +489,8 @@ def experiment_log(spark, sf_dir):
     path = shared_folder(spark, "experiment-log")
     responses = _recommend(spark, sf_dir, t.requests(spark, sf_dir), ())
     sources.append_log(rec.experiment_log(responses), path)
-    stored = spark.read.parquet(path)
-    return present(stored.select("customer_id", "test_name", "group", "outcome",
-                                 F.col("metrics")["confidence"].alias("confidence"),
-                                 "timestamp"))
+    return present(spark.read.parquet(path).select("customer_id", "test_name", "group", "outcome",
+        F.col("metrics")["confidence"].alias("confidence"), "timestamp"))
 
 
 @query("latest_results")
@@ -508,9 +519,7 @@ def action_distribution(spark, sf_dir):
 
 
 def _rolling_shown(rolled: DataFrame) -> DataFrame:
-    entries = F.transform(F.map_entries("action_distribution"),
-                          lambda e: F.concat_ws("=", e["key"], e["value"].cast("string")))
-    return present(rolled.withColumn("action_distribution", F.array_join(entries, ",")))
+    return present(rolled.withColumn("action_distribution", _map_text("action_distribution")))
 
 
 @query("rolling_metrics")
@@ -595,29 +604,29 @@ def parse_events_stream(spark, sf_dir):
 def sliding_activity_stream(spark, sf_dir):
     parsed = parse_events(t.event_messages(_event_stream(spark, sf_dir, closing=True)))
     activity = sliding_activity(features.time_features(parsed), watermark=DELAY)
-    stored = _sunk(spark, activity, "activity-stream")
-    return _activity_shown(stored.filter(F.col("customer_id") != str(CLOSING_USER)))
+    sunk = _sunk(spark, activity, "activity-stream")
+    return _activity_shown(sunk.filter(F.col("customer_id") != str(CLOSING_USER)))
 
 
 @query("requests_per_minute_stream")
 def requests_per_minute_stream(spark, sf_dir):
     log = t.service_log_rows(_event_stream(spark, sf_dir, closing=True))
-    stored = _sunk(spark, stream_minute_metrics(log, DELAY), "minutes-stream")
-    return present(_before_closing(spark, sf_dir, stored, "minute"))
+    sunk = _sunk(spark, stream_minute_metrics(log, DELAY), "minutes-stream")
+    return present(_before_closing(spark, sf_dir, sunk, "minute"))
 
 
 @query("action_distribution_stream")
 def action_distribution_stream(spark, sf_dir):
     log = t.service_log_rows(_event_stream(spark, sf_dir, closing=True))
-    stored = _sunk(spark, stream_action_distribution(log, DELAY), "actions-stream")
-    return present(_before_closing(spark, sf_dir, stored, "minute"))
+    sunk = _sunk(spark, stream_action_distribution(log, DELAY), "actions-stream")
+    return present(_before_closing(spark, sf_dir, sunk, "minute"))
 
 
 @query("alert_windows_stream")
 def alert_windows_stream(spark, sf_dir):
     log = t.service_log_rows(_event_stream(spark, sf_dir, closing=True))
-    stored = _sunk(spark, stream_alerts(log, DELAY), "alerts-stream")
-    return present(_before_closing(spark, sf_dir, stored, "timestamp"))
+    sunk = _sunk(spark, stream_alerts(log, DELAY), "alerts-stream")
+    return present(_before_closing(spark, sf_dir, sunk, "timestamp"))
 
 
 def _message_stream(spark, sf_dir) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
@@ -15,6 +15,10 @@ SETTINGS = {
     "spark.sql.adaptive.advisoryPartitionSizeInBytes": "128m",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Window state of all customers outgrows the heap; RocksDB keeps it on local disk and
+    # uploads changes to the checkpoint.
+    "spark.sql.streaming.stateStore.providerClass":
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
 }
 
 
@@ -40,3 +44,13 @@ def shared_folder(spark: SparkSession, label: str) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
         root = tempfile.mkdtemp(prefix="touchflow-")
     return f"{root.rstrip('/')}/touchflow/{label}-{uuid.uuid4().hex}"
+
+
+def stored(table: DataFrame, label: str) -> DataFrame:
+    """The table written to the shared folder and read back.
+
+    Cuts the lineage at a result that several later steps read; it survives lost executors.
+    """
+    path = shared_folder(table.sparkSession, label)
+    table.write.parquet(path)
+    return table.sparkSession.read.parquet(path)

@@ -13,13 +13,17 @@ SLIDE_MINUTES = 1
 
 def sliding_activity(events: DataFrame, window_minutes: int = WINDOW_MINUTES,
                      slide_minutes: int = SLIDE_MINUTES, watermark: str | None = None,
-                     at: str = "timestamp") -> DataFrame:
-    """Per window and customer: event count, channels used (repeats kept, sorted), last activity.
+                     at: str = "timestamp", spell_out: bool = True) -> DataFrame:
+    """Per window and customer: event count, channels used and last activity.
 
     Events are first counted in panes (minutes, customer, channel), and the panes are then added
     up into the windows that cover them.  Busy customers so shrink before each row is copied into
-    ``window / slide`` windows, and neither step holds a list of events: the list of channels is
-    kept as counts and spelled out in the result only.
+    ``window / slide`` windows, and neither step holds a list of events: the state is one count
+    per pane and channel.
+
+    ``channels_used`` lists the channel of every event, sorted, repeats kept.  It is spelled out
+    from the counts and as long as the window has events; ``spell_out=False`` gives the counts
+    themselves, ``channel_counts``, whose size is that of the channel set.
 
     A stream needs ``watermark``, the longest delay of an event; later events are dropped and
     windows are final once the watermark passes them.
@@ -38,7 +42,14 @@ def sliding_activity(events: DataFrame, window_minutes: int = WINDOW_MINUTES,
         F.sum("n").alias("event_count"),
         F.collect_list(used).alias("_used"),
         F.max("last_activity").alias("last_activity"))
-    spelled = F.flatten(F.transform(
-        "_used", lambda u: F.array_repeat(u["channel"], u["n"].cast("int"))))
-    return windows.select("window", "customer_id", "event_count",
-                          F.array_sort(spelled).alias("channels_used"), "last_activity")
+    if spell_out:
+        channels = F.array_sort(F.flatten(F.transform(
+            "_used", lambda u: F.array_repeat(u["channel"], u["n"].cast("int"))
+        ))).alias("channels_used")
+    else:
+        names = F.array_sort(F.array_distinct(F.transform("_used", lambda u: u["channel"])))
+        total = F.transform(names, lambda name: F.aggregate(
+            "_used", F.lit(0).cast("long"),
+            lambda sum_, u: sum_ + F.when(u["channel"] == name, u["n"]).otherwise(0)))
+        channels = F.map_from_arrays(names, total).alias("channel_counts")
+    return windows.select("window", "customer_id", "event_count", channels, "last_activity")
