@@ -80,10 +80,11 @@ def collect_channels(spark: SparkSession, configs: Mapping[str, Mapping[str, str
 def save_table(table: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite",
                partition_by: Iterable[str] = ()) -> None:
     writer = table.write.format(fmt).mode(mode)
-    if fmt == "csv":
+    if fmt in ("csv", "json"):
         # The default pattern keeps milliseconds only.
-        writer = writer.option("header", True).option(
-            "timestampFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX")
+        writer = writer.option("timestampFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX")
+    if fmt == "csv":
+        writer = writer.option("header", True)
     partitions = list(partition_by)
     if partitions:
         writer = writer.partitionBy(*partitions)
