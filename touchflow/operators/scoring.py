@@ -16,6 +16,7 @@ from functools import reduce
 from pyspark.ml import PipelineModel
 from pyspark.ml.functions import predict_batch_udf, vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import ArrayType, DoubleType
 
 from touchflow.functions.scalars import one_hot
 from touchflow.schemas import ACTIONS
@@ -118,8 +119,8 @@ def score_batches(table: DataFrame, load: Callable[[], Callable], n_features: in
     ``load`` runs once per Python worker and returns a function from a float array
     (rows, features) to class probabilities (rows, classes).
     """
-    predict = predict_batch_udf(load, return_type="array<double>", batch_size=batch_size,
-                                input_tensor_shapes=[[n_features]])
+    predict = predict_batch_udf(load, return_type=ArrayType(DoubleType()),
+                                batch_size=batch_size, input_tensor_shapes=[[n_features]])
     return (table.withColumn("probability", predict(F.col(features)))
             .withColumn("prediction", _first_largest(F.col("probability")))
             .withColumn("confidence", F.array_max("probability"))
