@@ -261,7 +261,8 @@ def _t_test(source: str) -> str:
         FROM (WITH stat AS (
                 SELECT *, (m2 - m1) / se AS t
                 FROM (SELECT *, CAST(n1 + n2 - 2 AS DOUBLE) AS df,
-                             sqrt(((n1 - 1) * v1 + (n2 - 1) * v2) / (n1 + n2 - 2))
+                             sqrt((coalesce((n1 - 1) * v1, 0) + coalesce((n2 - 1) * v2, 0))
+                                  / (n1 + n2 - 2))
                                  * sqrt(1 / n1 + 1 / n2) AS se
                       FROM {source}))
               {steps})"""
