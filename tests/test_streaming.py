@@ -67,12 +67,15 @@ def test_batch_windows_equal_brute_force(spark, events):
     assert shown(sliding_activity(table)) == brute_force(events)
 
 
-def test_windows_that_are_no_multiple_of_the_slide(spark, events):
-    table = spark.createDataFrame(events, EVENTS)
-    direct = (table.groupBy(F.window("timestamp", "5 minutes", "2 minutes"), "customer_id")
-              .count())
+@pytest.mark.parametrize("length,slide", [(5, 2), (5, 5), (6, 4), (120, 7)])
+def test_any_window_and_slide(spark, events, length, slide):
+    # times before 1970 too
+    shifted = [(c, ch, t.replace(year=1969)) for c, ch, t in events[:50]]
+    table = spark.createDataFrame(events + shifted, EVENTS)
+    direct = table.groupBy(
+        F.window("timestamp", f"{length} minutes", f"{slide} minutes"), "customer_id").count()
     expected = {(r["window"]["start"], r["customer_id"]): r["count"] for r in direct.collect()}
-    got = {k: v[0] for k, v in shown(sliding_activity(table, 5, 2)).items()}
+    got = {k: v[0] for k, v in shown(sliding_activity(table, length, slide)).items()}
     assert got == expected
 
 
@@ -89,6 +92,7 @@ def test_channel_counts(spark, events):
 def test_no_step_collects_events(spark, events):
     plan = sliding_activity(spark.createDataFrame(events, EVENTS))
     text = plan._jdf.queryExecution().executedPlan().toString()
+    assert text.count("Exchange hashpartitioning") == 2  # panes, then customer and block
     first = text[text.rindex("Exchange hashpartitioning"):]
     assert "partial_count" in first and "collect_list" not in first
 

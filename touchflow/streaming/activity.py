@@ -2,14 +2,42 @@
 
 from __future__ import annotations
 
-from math import gcd
+from math import gcd, lcm
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 # Window length and slide in minutes.
 WINDOW_MINUTES = 5
 SLIDE_MINUTES = 1
 
+# Windows per block of the timeline, see sliding_activity.
+_WINDOWS_PER_BLOCK = 12
+_MICROS_PER_MINUTE = 60_000_000
+
+
+def _windows_in_place(panes: DataFrame, window_minutes: int, slide_minutes: int) -> DataFrame:
+    """A row per pane and covering window, hashed by customer and block of time.
+
+    A block holds the windows that start in it; a pane is sent to each block (one or two) that
+    has windows covering it and multiplied there.
+    """
+    length, slide, span = (F.lit(minutes * _MICROS_PER_MINUTE) for minutes in (
+        window_minutes, slide_minutes, lcm(window_minutes, slide_minutes) * _WINDOWS_PER_BLOCK))
+    earliest = F.unix_micros("pane.end") - length
+    start = F.unix_micros("pane.start")
+    first, last = F.col("_first"), F.col("_last")
+    sent = (
+        panes.withColumn("_first", earliest + F.pmod(-earliest, slide))
+        .withColumn("_last", start - F.pmod(start, slide))
+        .filter(first <= last)
+        .withColumn("_block", F.explode(F.array_distinct(F.array(
+            first - F.pmod(first, span), last - F.pmod(last, span)))))
+        .repartition("customer_id", "_block")
+    )
+    block = F.col("_block")
+    starts = F.sequence(F.greatest(first, block), F.least(last, block + span - slide), slide)
+    return sent.withColumn("_start", F.explode(starts))
+
 
 def sliding_activity(events: DataFrame, window_minutes: int = WINDOW_MINUTES,
                      slide_minutes: int = SLIDE_MINUTES, watermark: str | None = None,
@@ -17,9 +45,10 @@ def sliding_activity(events: DataFrame, window_minutes: int = WINDOW_MINUTES,
     """Per window and customer: event count, channels used and last activity.
 
     Events are first counted in panes (minutes, customer, channel), and the panes are then added
-    up into the windows that cover them.  Busy customers so shrink before each row is copied into
-    ``window / slide`` windows, and neither step holds a list of events: the state is one count
-    per pane and channel.
+    up into the windows that cover them.  Busy customers so shrink before rows multiply, and
+    neither step holds a list of events: the state is one count per pane and channel.  On a table
+    the panes are hashed by customer and block of time, so that the copies of a pane for its
+    ``window / slide`` windows are made and added up in place, without another shuffle.
 
     ``channels_used`` lists the channel of every event, sorted, repeats kept.  It is spelled out
     from the counts and as long as the window has events; ``spell_out=False`` gives the counts
@@ -35,21 +64,31 @@ def sliding_activity(events: DataFrame, window_minutes: int = WINDOW_MINUTES,
         events.groupBy(F.window(at, pane).alias("pane"), "customer_id", "channel")
         .agg(F.count("*").alias("n"), F.max(at).alias("last_activity"))
     )
-    covering = F.window("pane", f"{window_minutes} minutes", f"{slide_minutes} minutes")
-    # collect_list ignores null entries, so events without a channel count but are not listed.
+    # collect_list ignores null entries: events without a channel count but are not listed.
     used = F.when(F.col("channel").isNotNull(), F.struct("channel", "n"))
-    windows = panes.groupBy(covering.alias("window"), "customer_id").agg(
-        F.sum("n").alias("event_count"),
-        F.collect_list(used).alias("_used"),
-        F.max("last_activity").alias("last_activity"))
-    if spell_out:
-        channels = F.array_sort(F.flatten(F.transform(
-            "_used", lambda u: F.array_repeat(u["channel"], u["n"].cast("int"))
-        ))).alias("channels_used")
+    sums = (F.sum("n").alias("event_count"), F.collect_list(used).alias("_used"),
+            F.max("last_activity").alias("last_activity"))
+    if events.isStreaming:
+        covering = F.window("pane", f"{window_minutes} minutes", f"{slide_minutes} minutes")
+        windows = panes.groupBy(covering.alias("window"), "customer_id").agg(*sums)
     else:
-        names = F.array_sort(F.array_distinct(F.transform("_used", lambda u: u["channel"])))
-        total = F.transform(names, lambda name: F.aggregate(
-            "_used", F.lit(0).cast("long"),
-            lambda sum_, u: sum_ + F.when(u["channel"] == name, u["n"]).otherwise(0)))
-        channels = F.map_from_arrays(names, total).alias("channel_counts")
+        spread = _windows_in_place(panes, window_minutes, slide_minutes)
+        end = F.col("_start") + window_minutes * _MICROS_PER_MINUTE
+        windows = spread.groupBy("_block", "_start", "customer_id").agg(*sums).withColumn(
+            "window", F.struct(F.timestamp_micros("_start").alias("start"),
+                               F.timestamp_micros(end).alias("end")))
+    channels = _spelled() if spell_out else _counted()
     return windows.select("window", "customer_id", "event_count", channels, "last_activity")
+
+
+def _spelled() -> Column:
+    names = F.transform("_used", lambda u: F.array_repeat(u["channel"], u["n"].cast("int")))
+    return F.array_sort(F.flatten(names)).alias("channels_used")
+
+
+def _counted() -> Column:
+    names = F.array_sort(F.array_distinct(F.transform("_used", lambda u: u["channel"])))
+    totals = F.transform(names, lambda name: F.aggregate(
+        "_used", F.lit(0).cast("long"),
+        lambda total, u: total + F.when(u["channel"] == name, u["n"]).otherwise(0)))
+    return F.map_from_arrays(names, totals).alias("channel_counts")
