@@ -6,12 +6,14 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from touchflow.functions.scalars import fixed
 
-# Alert thresholds and ranges in minutes.
+# Alert thresholds, ranges in minutes, lifetime of a minute, alert texts.
 HIGH_LATENCY_MS = 1000
 LOW_VOLUME_REQUESTS = 10
 METRICS_MINUTES = 60
 ALERT_MINUTES = 5
 RETENTION_SECONDS = 3600
+HIGH_LATENCY_TEXT = "High latency detected: %sms"
+LOW_VOLUME_TEXT = "Low request volume: %d requests"
 
 
 def _moment(now: Column | str) -> Column:
@@ -99,9 +101,9 @@ def alerts(metrics: DataFrame) -> DataFrame:
     others = [name for name in metrics.columns
               if name not in ("request_count", "average_latency", "action_distribution")]
     rules = F.array(
-        _rule("high_latency", F.format_string("High latency detected: %sms", fixed(latency, 2)),
+        _rule("high_latency", F.format_string(HIGH_LATENCY_TEXT, fixed(latency, 2)),
               "warning", latency > HIGH_LATENCY_MS),
-        _rule("low_volume", F.format_string("Low request volume: %d requests", requests),
+        _rule("low_volume", F.format_string(LOW_VOLUME_TEXT, requests),
               "info", requests < LOW_VOLUME_REQUESTS),
     )
     return (metrics.select(*others, F.explode(F.filter(rules, lambda r: r["raised"])).alias("a"))

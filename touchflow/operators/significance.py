@@ -12,7 +12,12 @@ from touchflow.functions.distributions import (
 from touchflow.functions.scalars import fixed, title_words
 from touchflow.operators.metrics import RATES
 
+# Name of the control group and texts of the report.
 CONTROL = "control"
+WINNER_TEXT = "%s group with %s%% lift"
+DEPLOY_TEXT = "Deploy %s treatment to all customers"
+NO_WINNER_TEXT = "No statistically significant difference found"
+CONTINUE_TEXT = "Continue testing with larger sample size or longer duration"
 
 
 def pair_with_control(moments: DataFrame, control: str = CONTROL,
@@ -143,12 +148,11 @@ def winner(verdicts: DataFrame, primary_metric: str) -> DataFrame:
     return best.select(
         "metric", "test_group", "lift_percentage", "p_value",
         significant.alias("is_significant"),
-        F.when(significant, F.format_string("%s group with %s%% lift",
-                                            _title_group(), fixed("lift_percentage", 2)))
-        .otherwise("No statistically significant difference found").alias("result"),
-        F.when(significant, F.format_string("Deploy %s treatment to all customers",
-                                            "test_group"))
-        .otherwise("Continue testing with larger sample size or longer duration")
+        F.when(significant, F.format_string(WINNER_TEXT, _title_group(),
+                                            fixed("lift_percentage", 2)))
+        .otherwise(NO_WINNER_TEXT).alias("result"),
+        F.when(significant, F.format_string(DEPLOY_TEXT, "test_group"))
+        .otherwise(CONTINUE_TEXT)
         .alias("recommendation"),
     )
 
