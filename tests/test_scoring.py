@@ -119,7 +119,7 @@ def test_action_labels(spark):
 def test_routing(spark, rows):
     table = spark.createDataFrame([("c1", "A"), ("c2", "B"), ("c3", "?")],
                                   "customer_id string, ab_test_group string")
-    routed = scoring.route_models(table, spark, {"recommendation_model_v2": "7"})
+    routed = scoring.route_models(table, {"recommendation_model_v2": "7"})
     assert rows(routed, "customer_id", "model_name", "model_version") == [
         ("c1", "recommendation_model_v1", "unknown"), ("c2", "recommendation_model_v2", "7"),
         ("c3", None, None)]

@@ -128,20 +128,23 @@ def session_features(requests: DataFrame, sessions: DataFrame, at: str = "timest
 
     Both are 0 for an unknown session and null if the request names none, which leaves the place
     to stored values.  ``sessions`` has one row per id, so a hot session skews the request side
-    only, and adaptive execution splits that side of the join.
+    only, and adaptive execution splits that side of the join.  Requests without a session match
+    nothing; a second key spreads them over the tasks.
     """
-    known = sessions.select(
-        F.col("session_id").alias("_session"), F.col("start_time").alias("_start"),
-        F.col("page_views").cast("long").alias("_views"))
     session = F.nullif(F.col("session_id"), F.lit(""))
     named = session.isNotNull()
+    known = sessions.select(
+        F.col("session_id").alias("_session"), F.lit(0).cast("long").alias("_spread"),
+        F.col("start_time").alias("_start"), F.col("page_views").cast("long").alias("_views"))
+    keyed = requests.withColumn("_session", session).withColumn(
+        "_spread", F.when(named, F.lit(0).cast("long")).otherwise(
+            F.pmod(F.xxhash64(at), F.lit(1024))))
+    zero = F.lit(0).cast("long")
     duration = elapsed_seconds(F.col("_start"), F.col(at))
-    return (requests.join(known, session == F.col("_session"), "left")
-            .withColumn("session_duration",
-                        F.when(named, F.coalesce(duration, F.lit(0).cast("long"))))
-            .withColumn("page_views",
-                        F.when(named, F.coalesce("_views", F.lit(0).cast("long"))))
-            .drop("_session", "_start", "_views"))
+    return (keyed.join(known, ["_session", "_spread"], "left")
+            .withColumn("session_duration", F.when(named, F.coalesce(duration, zero)))
+            .withColumn("page_views", F.when(named, F.coalesce("_views", zero)))
+            .drop("_session", "_spread", "_start", "_views"))
 
 
 # -- request time and context -------------------------------------------------------------------

@@ -34,7 +34,7 @@ def prepare_scoring(requests: DataFrame, writes: DataFrame, sessions: DataFrame,
     """Requests with group, routed model and feature vector."""
     described = request_features(requests, writes, sessions, stored, features, **lookup_options)
     assigned = assign_by_hash(described, TEST_NAME, group_col="ab_test_group")
-    routed = route_models(assigned, requests.sparkSession, versions)
+    routed = route_models(assigned, versions)
     return feature_vector(routed, labels, features)
 
 

@@ -427,7 +427,7 @@ def feature_vector(spark, sf_dir):
 @query("model_routing")
 def model_routing(spark, sf_dir):
     customers = hash_assignment(spark, sf_dir).withColumnRenamed("test_group", "ab_test_group")
-    return scoring.route_models(customers, spark, {"recommendation_model_v1": "1"})
+    return scoring.route_models(customers, {"recommendation_model_v1": "1"})
 
 
 def _ready(spark, sf_dir, asked: DataFrame) -> DataFrame:
