@@ -179,7 +179,8 @@ def summary(moments: DataFrame, verdicts: DataFrame, primary_metric: str) -> Dat
         _line("P-value", fixed("p_value", 4)),
         _line("Statistically Significant", F.when(F.col("is_significant"), "Yes")
               .otherwise("No")),
-        _line("Confidence Interval", F.format_string("[%s, %s]", fixed("ci_lower", 4), fixed("ci_upper", 4))),
+        _line("Confidence Interval", F.format_string(
+            "[%s, %s]", fixed("ci_lower", 4), fixed("ci_upper", 4))),
     )
     tests = (verdicts.filter(F.col("metric") == primary_metric)
              .select(F.lit("significance").alias("section"),
