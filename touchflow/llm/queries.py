@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from touchflow.llm import chat, html_text, mixing, packing, sharding, toxicity
+from touchflow.llm import (chat, html_text, mixing, packing, secrets, sharding, simhash,
+                           toxicity)
 from touchflow.llm.tables import table
 from touchflow.session import shared_folder
 
@@ -94,3 +95,14 @@ def op9_cost_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
+@_query
+def op8_simhash_pigeonhole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.groups(table(spark, sf_dir, "documents"))
+
+
+@_query
+def op10_secret_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All findings with the forest's verdict."""
+    return secrets.scan(table(spark, sf_dir, "documents"))
