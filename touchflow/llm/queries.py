@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from touchflow.llm import (chat, html_text, mixing, packing, secrets, sharding, simhash,
-                           toxicity)
+                           topk, toxicity)
 from touchflow.llm.tables import table
 from touchflow.session import shared_folder
 
@@ -106,3 +106,26 @@ def op8_simhash_pigeonhole(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_secret_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All findings with the forest's verdict."""
     return secrets.scan(table(spark, sf_dir, "documents"))
+
+
+@_query
+def op5_kd_tree_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+SQL["op5_kd_tree_top_k"] = """
+WITH v AS (
+    SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT))
+        AS e
+    FROM embeddings
+    WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(
+        embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+scored AS (
+    SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_sum(list_transform(
+        list_zip(q.e, c.e), lambda p: p[1] * p[2])) AS BIGINT) AS score
+    FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.e) = len(c.e) WHERE q.vec_id % 50 = 0)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (
+    SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank
+    FROM scored)
+WHERE rank <= 5
+"""
