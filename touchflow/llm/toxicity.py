@@ -27,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from touchflow.llm.tables import whole_text
 from touchflow.session import stored
@@ -34,12 +35,12 @@ from touchflow.session import stored
 #: Bound of the training rows per label.
 PER_CLASS = 4000
 #: A feature must be in so many training rows and so many standard errors off even odds.
-LEAST_ROWS, LEAST_Z = 2, 2.0
+LEAST_ROWS, LEAST_Z = 2, 2.2
 #: The most telling features are kept, so many at most.
 FEATURES = 50_000
 PREFIXES = (4, 5)
 #: Penalties on the mean loss: squared weights, squared score changes of swapped rows.
-RIDGE, COUNTERFACTUAL = 1e-4, 5.0
+RIDGE, COUNTERFACTUAL = 5e-4, 5.0
 STEPS = 250
 
 # Terms that name a group of people; a term is swapped within its line.
@@ -250,5 +251,5 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 def reject(docs: DataFrame, model: Model) -> DataFrame:
     """The rows of ``docs`` that are not toxic."""
-    schema = docs.schema.add("__score", "double")
+    schema = T.StructType([*docs.schema.fields, T.StructField("__score", T.DoubleType())])
     return docs.mapInArrow(_scorer(model), schema).where("__score < 0.5").select(*docs.columns)
