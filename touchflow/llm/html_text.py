@@ -4,7 +4,7 @@ The standard library's parser streams a page's events into lines, one per text b
 its text, the number of tags around it and its place in the page. Blocks of menus, headers, footers,
 sidebars, notices, adverts, forms and comments are set aside by their element, role, class or id.
 The text-to-tag ratios of the lines are smoothed with a Gaussian and split into two clusters; the
-content region is the innermost article, main or common container of the content cluster, and all
+content region is the innermost article, main or other container of the content cluster, and all
 its lines are kept, headings and short paragraphs included.
 
 Edge cases: null and empty pages have the text ""; broken markup is read as the parser reads it;
@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -51,6 +52,8 @@ _WORD = re.compile(r"[a-z0-9]+")
 _SPACE = re.compile(r"\s+")
 
 SIGMA = 1.0
+#: Of the content's characters that a region without a name must hold.
+SHARE = 0.8
 #: Elements whose start ends an open element of the same kind.
 SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"},
             "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -198,6 +201,8 @@ def main_text(html: str | None) -> str:
         return ""
     parser = _Lines()
     parser.feed(html)
+    if html.rfind("<!--") > html.rfind("-->"):  # the parser takes an open comment for text
+        parser.feed("-->")
     lines = parser.finish()
     if not lines:
         return ""
@@ -209,13 +214,12 @@ def main_text(html: str | None) -> str:
         for container in lines[i][2]:
             weight[container] = weight.get(container, 0) + len(lines[i][0])
     total = sum(len(lines[i][0]) for i in content)
-    # The innermost article or main with most of the content, else the innermost container of all.
+    several = Counter(container for _, _, path in lines for container in path)
+    # The innermost article or main with most of the content, else the innermost container of
+    # several lines that holds nearly all of it.
     named = [c for c in weight if parser.kind[c] in ("article", "main") and 2 * weight[c] > total]
-    if named:
-        region = max(named)
-    else:
-        common = [c for c in weight if weight[c] == total and parser.kind[c] not in ("p", "li")]
-        region = max(common) if common else None
+    dense = [c for c in weight if weight[c] >= SHARE * total and several[c] > 1]
+    region = max(named or dense, default=None)
     kept = [text for text, _, path in lines if region is None or region in path]
     return "\n".join(kept)
 

@@ -32,6 +32,8 @@ SCALE = 256.0
 #: Vectors of a shard, of a leaf, and queries of a block.
 SHARD, LEAF, BLOCK = 4096, 64, 256
 _EXACT = 2.0 ** 53
+#: No score yet; its negative still is an integer of 64 bits.
+_NONE = -(2 ** 63) + 1
 
 
 def vectors(table: DataFrame, scale: float = SCALE) -> DataFrame:
@@ -87,7 +89,7 @@ class Best:
 
     def add(self, at: np.ndarray, scores: np.ndarray, ids: np.ndarray, own: np.ndarray) -> None:
         """Offers candidates ``ids`` with ``scores`` (query, candidate) to the queries ``at``."""
-        least = -np.inf if scores.dtype == np.float64 else np.iinfo(np.int64).min
+        least = -np.inf if scores.dtype == np.float64 else _NONE
         if self.scores.shape[1] < self.k:
             grow = self.k - self.scores.shape[1]
             self.scores = np.pad(self.scores, ((0, 0), (0, grow)), constant_values=least)
@@ -154,7 +156,7 @@ def _search_shards(k: int):
                     whole = Tree(tree.ids, tree.rows.astype(np.int64))
                     limit = np.where(np.isfinite(floor), floor, float(-2 ** 62)).astype(np.int64)
                     best = search(whole, own, queries.astype(np.int64), limit, k)
-                    good = best.scores > np.iinfo(np.int64).min
+                    good = best.scores > _NONE
                 else:
                     best = search(tree, own, queries, floor, k)
                     good = np.isfinite(best.scores)
