@@ -161,8 +161,50 @@ def test_vector_order_defaults_and_unknown_labels(spark):
         [0.0, 2.0, 2.0], [1.5, 0.0, 0.0], [0.0, 0.0, 0.0]]
 
 
-def test_labels_are_bounded(spark):
-    table = spark.range(30).select((F.col("id") % 10).cast("string").alias("x"))
-    assert ft.category_labels(table, "x", 10) == [str(i) for i in range(10)]
-    with pytest.raises(ValueError, match="more than 9"):
-        ft.category_labels(table, "x", 9)
+def test_labels_of_any_number_are_joined(spark):
+    names = sorted(f"{chr(97 + i % 7)}{i}" for i in range(1500))
+    table = spark.createDataFrame([(n,) for n in names * 2] + [(None,)], "x string").repartition(5)
+    labels = ft.category_labels(table, "x")
+    assert [tuple(r) for r in labels.orderBy("position").collect()] == [
+        (n, i + 1) for i, n in enumerate(names)]
+    asked = spark.createDataFrame([(1, names[1400]), (2, "other"), (3, None)],
+                                  "id long, brand string")
+    got = ft.feature_vector(asked, {"brand": labels}, ("brand",))
+    assert got.columns == ["id", "brand", "features"]
+    assert {r["id"]: r["features"] for r in got.collect()} == {1: [1401.0], 2: [0.0], 3: [0.0]}
+
+
+def test_a_longer_lifetime_than_declared_is_refused(spark, at, tmp_path):
+    write = ("c", "f", "v", at("10:00:00"), 7200)
+    with pytest.raises(Exception, match="max_ttl_seconds"):
+        lookup(spark, [(1, "c", at("10:30:00"))], [write], max_ttl_seconds=3600)
+    assert lookup(spark, [(1, "c", at("10:30:00"))], [write], max_ttl_seconds=7200) == {1: ("v",)}
+    with pytest.raises(Exception, match="max_ttl_seconds"):
+        ft.append_features(spark.createDataFrame([write], WRITE), str(tmp_path / "s"), 3600)
+
+
+def test_small_lookups_read_the_days_in_question(spark, at, tmp_path):
+    path, started = str(tmp_path / "store"), str(tmp_path / "sessions")
+    days = [datetime(2024, 1, day, 9) for day in range(1, 29)]
+    ft.append_features(spark.createDataFrame(
+        [("c", "f", str(d.day), d, 86400) for d in days], WRITE), path, 86400)
+    ft.append_log(spark.createDataFrame(
+        [(f"s{d.day}", d, d.day) for d in days],
+        "session_id string, start_time timestamp, page_views long"), started, "start_time")
+    asked = spark.createDataFrame(
+        [(1, "c", datetime(2024, 1, 15, 10), "s15")], REQUEST + ", session_id string")
+    found = ft.lookup_features(asked, spark.read.parquet(path), ("f",), max_ttl_seconds=86400,
+                               requested_keys_only=True)
+    assert found.first()["stored_f"] == "15"
+    timed = ft.session_features(asked, spark.read.parquet(started), max_session_days=1)
+    assert (timed.first()["session_duration"], timed.first()["page_views"]) == (3600, 15)
+    for table in (found, timed):
+        plan = table._jdf.queryExecution().executedPlan().toString()
+        assert "PartitionFilters: [isnotnull(log_date" in plan and "log_date" in plan
+
+
+def test_equal_values_at_one_instant_are_ordered_by_lifetime(spark, at):
+    writes = [("c", "f", "v", at("10:00:00"), ttl) for ttl in (60, 7200)]
+    for seconds in (1, 900, 10 ** 6):
+        assert lookup(spark, [(1, "c", at("11:00:00"))], writes, slice_seconds=seconds) == {
+            1: ("v",)}

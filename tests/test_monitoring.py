@@ -74,3 +74,19 @@ def test_alert_windows(spark, at):
     few = mon.alert_windows(table.limit(9)).collect()
     assert sorted(r["timestamp"] for r in few) == [
         at("10:01:00") + timedelta(minutes=i) for i in range(5)]
+
+
+def test_silent_ranges_raise_alerts(spark, at):
+    table = log(spark, [("a", 1.0, at("10:00:30"))] * 10 + [("a", 1.0, at("10:20:30"))] * 10)
+    got = {r["timestamp"]: r["message"] for r in mon.alert_windows(table).collect()}
+    assert sorted(got) == [at("10:00:00") + timedelta(minutes=i) for i in range(6, 21)]
+    assert set(got.values()) == {"Low request volume: 0 requests"}
+    plan = mon.alert_windows(table)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Expand" not in plan  # minutes are multiplied, requests are not
+    assert mon.alert_windows(table.limit(0)).collect() == []
+
+
+def test_a_missing_action_counts_as_unknown(spark, at):
+    table = log(spark, [(None, 1.0, at("10:00:00")), ("unknown", 1.0, at("10:00:01"))])
+    row = mon.rolling_metrics(table, "2024-01-15 10:00:30").first()
+    assert row["action_distribution"] == {"unknown": 2}

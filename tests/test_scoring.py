@@ -71,8 +71,8 @@ def test_pipelines_are_routed_in_one_pass(fitted):
     table = data.withColumn("id", F.monotonically_increasing_id()).withColumn(
         "model_name", F.get(names, (F.hash("features") % 3 + 3).cast("int") % 3))
     scored = scoring.score_pipelines(table, models, n_classes=2)
-    assert scored.columns == [*table.columns, "probability", "prediction", "scored",
-                              "confidence"]
+    assert scored.columns == [*table.columns, "prediction", "probability", "confidence",
+                              "scored"]
     rows = scored.collect()
     assert len(rows) == 60
     for row in rows:
@@ -103,6 +103,23 @@ def test_foreign_model_scores_batches(table):
     assert got[2]["scored"] and got[2]["confidence"] == max(got[2]["probability"])
 
 
+def test_kinds_of_models_side_by_side_and_each_row_once(table):
+    seen = []
+
+    def remembered(rows):
+        seen.append(sorted(r["id"] for r in rows.collect()))
+        return scoring.score_linear(rows, {"m": MODEL})
+
+    def load():
+        return lambda inputs: np.tile([0.25, 0.75], (len(inputs), 1))
+
+    got = {r["id"]: r for r in scoring.score_routed(table, {
+        "m": remembered, "absent": lambda rows: scoring.score_batches(rows, load, 2)}).collect()}
+    assert seen == [[1, 2, 3]] and sorted(got) == [1, 2, 3, 4, 5]
+    assert got[4]["prediction"] == 1 and got[4]["confidence"] == 0.75
+    assert got[5]["prediction"] is None and got[5]["scored"] is False
+
+
 def test_one_hot(spark):
     got = scoring.with_one_hot(spark.createDataFrame([(3,), (0,)], "prediction int"))
     assert [r["probability"] for r in got.collect()] == [
@@ -129,14 +146,16 @@ def test_responses_and_fallback(spark, rows, at):
     scored = spark.createDataFrame(
         [("c1", "web", 3, 0.75, at("10:00:00"), "1", "A", True),
          ("c2", "web", None, None, at("10:00:00"), "2", "B", False),
-         ("c3", "web", 9, 0.5, at("10:00:00"), "2", "B", True)],
+         ("c3", "web", 9, 0.5, at("10:00:00"), "2", "B", True),
+         ("c4", "web", None, None, at("10:00:00"), "1", "A", True)],
         "customer_id string, channel string, prediction int, confidence double, "
         "timestamp timestamp, model_version string, ab_test_group string, scored boolean")
     answered = rec.respond(scored)
     assert rows(answered.drop("timestamp")) == [
         ("c1", "discount_offer", "web", 0.75, "1", "A"),
         ("c2", "no_action", "unknown", 0.0, "error", "error"),
-        ("c3", "no_action", "web", 0.5, "2", "B")]
+        ("c3", "no_action", "web", 0.5, "2", "B"),
+        ("c4", "no_action", "unknown", 0.0, "error", "error")]
     logged = rec.experiment_log(answered)
     assert rows(logged, "customer_id", "test_name", "group", "outcome") == [
         ("c1", "model_version_test", "A", "discount_offer"),
@@ -160,3 +179,24 @@ def test_latest_results(spark, limit):
         assert sorted(tuple(r) for r in got if r[1] == test) == sorted(newest)
         one = [tuple(r) for r in rec.latest_results(log, limit, test).collect()]
         assert one == newest
+
+
+@pytest.mark.parametrize("limit", [1000, 5000])
+def test_the_newest_results_are_cut_before_the_shuffle(spark, limit):
+    log = spark.range(20_000).selectExpr(
+        "CAST(id AS string) AS customer_id", "'t' AS test_name",
+        "timestamp_seconds(id) AS timestamp")
+    got = rec.latest_results(log, limit)
+    assert got.count() == limit
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "spark_partition_id" not in plan
+    # the filter on the cut is below the ranking window
+    assert plan.index("Window [row_number()") < plan.index("_from")
+
+
+def test_results_without_a_time_come_last(spark):
+    log = spark.createDataFrame([("a", "t", None), ("b", "t", 5), ("c", None, 6), ("d", "u", None)],
+                                "customer_id string, test_name string, s long").selectExpr(
+        "customer_id", "test_name", "timestamp_seconds(s) AS timestamp")
+    assert sorted(r["customer_id"] for r in rec.latest_results(log, 1).collect()) == ["b", "c", "d"]
+    assert rec.latest_results(log, 2).count() == 4

@@ -1,9 +1,10 @@
 import math
+from decimal import Decimal, localcontext
 
 import pytest
 
 from touchflow.functions import distributions as dist
-from touchflow.operators import metrics, significance as sig
+from touchflow.operators import experiments, metrics, significance as sig
 
 # Published quantiles.
 NORMAL = [(0.05, 1.959963984540054), (0.01, 2.5758293035489004), (0.1, 1.6448536269514722)]
@@ -31,15 +32,43 @@ def test_limits():
     # one degree of freedom is the Cauchy distribution
     for t in (0.1, 1.0, 25.0):
         assert dist.t_two_sided(t, 1) == pytest.approx(1 - 2 / math.pi * math.atan(t), abs=1e-12)
-    # t tends to z, also across the switch to the approximation
     for t in (0.5, 2.0, 4.0):
-        below, above = (dist.t_two_sided(t, df) for df in (99_999, 100_001))
-        assert below == pytest.approx(above, abs=1e-9)
         assert dist.t_two_sided(t, 1e9) == pytest.approx(dist.normal_two_sided(t), abs=1e-8)
     assert dist.t_two_sided(60.0, 500) < 1e-200
     assert 0 < dist.t_two_sided(12.0, 40) < 1e-13
 
 
+def closed_form(t, df):
+    """Two-sided probability for even degrees of freedom, a finite sum in 250 digits."""
+    with localcontext() as context:
+        context.prec = 250
+        square = Decimal(t) ** 2
+        cosine = Decimal(df) / (df + square)
+        term = total = Decimal(1)
+        for k in range(1, df // 2):
+            term *= cosine * (2 * k - 1) / (2 * k)
+            total += term
+        return float(1 - (1 - cosine).sqrt() * total)
+
+
+@pytest.mark.parametrize("df", [2, 10, 1000, 99_998, 100_002])
+def test_student_equals_the_closed_form(df):
+    for t in (0.25, 2.0, 8.0, 12.0, 30.0):
+        assert dist.t_two_sided(t, df) == pytest.approx(closed_form(t, df), rel=2e-12)
+
+
+@pytest.mark.parametrize("df", [10 ** 6, 10 ** 7, 10 ** 9])
+def test_student_with_many_degrees_of_freedom(df):
+    # Fisher's expansion about the normal tail; its next term is of order t^8 / df^2.
+    for t in (0.5, 2.0, 5.0):
+        density = math.exp(-t * t / 2) / math.sqrt(2 * math.pi)
+        expected = dist.normal_two_sided(t) + 2 * density * (t ** 3 + t) / (4 * df)
+        assert dist.t_two_sided(t, df) == pytest.approx(expected, rel=10 * t ** 8 / df ** 2 + 1e-12)
+    assert dist.t_two_sided(30.0, df) == pytest.approx(
+        dist.t_two_sided(30.0, df * (1 + 1e-9)), rel=1e-3)
+    assert dist.t_two_sided(dist.t_critical(1e-6, df), df) == pytest.approx(1e-6, rel=1e-10)
+
+
 MOMENTS = ("metric string, test_group string, sample_size long, metric_value double, n long, "
            "total double, variance double")
 
@@ -117,7 +146,13 @@ def test_winner_and_summary(spark, rows):
     assert best["test_group"] == "simple_rules"
     assert best["result"] == "Simple_Rules group with 80.00% lift"
     assert best["recommendation"] == "Deploy simple_rules treatment to all customers"
-    lines = rows(sig.summary(moments, verdict, "conversion_rate"))
+    design = experiments.design_experiment(["s"], start_date="2024-01-01")
+    report = sig.summary(moments, design)
+    lines = rows(report)
+    assert (("overview", None, "Start Date", "2024-01-01") in lines
+            and ("overview", None, "Test Duration", "28 days") in lines)
+    plan = report._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate [test_group") == 1  # the moments are computed once
     assert ("sample_size", "control", "Customers", "1000") in lines
     assert ("result", "ml_ensemble", "Conversion Rate", "0.1600") in lines
     assert ("significance", "Simple_Rules vs Control", "Lift", "80.00%") in lines

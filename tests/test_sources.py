@@ -41,7 +41,10 @@ def test_a_failing_source_is_left_out_and_an_unknown_channel_refused(spark, tmp_
     path = write(tmp_path, "web.csv", "customer_id\nc1\n")
     configs = {"email": {"path": str(tmp_path / "missing.csv")}, "web": {"path": path},
                "mobile": {}}
-    assert list(sources.collect_channels(spark, configs)) == ["web"]
+    collected = sources.collect_channels(spark, configs)
+    assert list(collected) == ["web"] and sorted(collected.left_out) == ["email", "mobile"]
+    with pytest.raises(Exception):
+        sources.collect_channels(spark, configs, strict=True)
     assert "email" in caplog.text and "mobile" in caplog.text
     with pytest.raises(ValueError, match="sms"):
         sources.collect_channels(spark, {"sms": {"path": path}})
@@ -120,3 +123,18 @@ def test_kafka_source_needs_its_package(spark):
 
 def test_ddl_quotes_names():
     assert ddl({"a": "int", "b c": "string"}) == "`a` int, `b c` string"
+
+
+def test_a_log_gets_few_files_per_day(spark, tmp_path):
+    from datetime import datetime
+
+    rows = spark.range(4000).selectExpr(
+        "id", "timestamp_seconds(1704067200 + id * 86400 % (86400 * 10)) AS timestamp") \
+        .repartition(16)
+    path = tmp_path / "log"
+    sources.append_log(rows, str(path))
+    days = [d for d in path.iterdir() if d.name.startswith("log_date=")]
+    assert len(days) == 10
+    assert sum(len(list(d.glob("*.parquet"))) for d in days) <= 20
+    assert spark.read.parquet(str(path)).count() == 4000
+    assert spark.read.parquet(str(path)).agg({"timestamp": "min"}).first()[0] >= datetime(2024, 1, 1)

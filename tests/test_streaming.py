@@ -4,15 +4,19 @@ import json
 import random
 from collections import Counter
 from datetime import datetime, timedelta
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as contract
 from touchflow.functions.messages import parse_events
 from touchflow.session import shared_folder
-from touchflow.sources.streams import file_stream, write_batches, write_stream
+from touchflow.sources.streams import file_stream, to_files, write_batches, write_stream
 from touchflow.streaming.activity import sliding_activity
-from touchflow.streaming.recommendations import start_recommendations, start_reject_log
+from touchflow.streaming.recommendations import (
+    start_alerts, start_recommendations, start_reject_log,
+)
 
 EVENTS = "customer_id string, channel string, timestamp timestamp"
 RAW = "key string, value string, timestamp timestamp"
@@ -64,7 +68,7 @@ def events():
 
 def test_batch_windows_equal_brute_force(spark, events):
     table = spark.createDataFrame(events, EVENTS)
-    assert shown(sliding_activity(table)) == brute_force(events)
+    assert shown(sliding_activity(table, spell_out=True)) == brute_force(events)
 
 
 @pytest.mark.parametrize("length,slide", [(5, 2), (5, 5), (6, 4), (120, 7)])
@@ -75,13 +79,13 @@ def test_any_window_and_slide(spark, events, length, slide):
     direct = table.groupBy(
         F.window("timestamp", f"{length} minutes", f"{slide} minutes"), "customer_id").count()
     expected = {(r["window"]["start"], r["customer_id"]): r["count"] for r in direct.collect()}
-    got = {k: v[0] for k, v in shown(sliding_activity(table, length, slide)).items()}
+    got = {k: v[0] for k, v in shown(sliding_activity(table, length, slide, spell_out=True)).items()}
     assert got == expected
 
 
 def test_channel_counts(spark, events):
     table = spark.createDataFrame(events, EVENTS)
-    got = sliding_activity(table, spell_out=False).collect()
+    got = sliding_activity(table).collect()
     expected = brute_force(events)
     assert len(got) == len(expected)
     for row in got:
@@ -104,7 +108,7 @@ def test_stream_equals_batch_after_a_closing_record(spark, events):
 
     def run():  # each run restarts from the checkpoint
         query = write_stream(sliding_activity(feed.stream(maxFilesPerTrigger=1),
-                                              watermark="10 minutes"),
+                                              watermark="10 minutes", spell_out=True),
                              path, checkpoint, trigger=NOW)
         query.awaitTermination()
 
@@ -129,7 +133,7 @@ def test_late_rows_are_dropped(spark, at):
                ("closing", "web", at("13:00:00"))]
     for record in batches:
         feed.add(record)
-        write_stream(sliding_activity(feed.stream(), watermark="10 minutes"), path, checkpoint,
+        write_stream(sliding_activity(feed.stream(), watermark="10 minutes", spell_out=True), path, checkpoint,
                      trigger=NOW).awaitTermination()
     got = shown(spark.read.parquet(path).filter("customer_id <> 'closing'"))
     assert got == brute_force([batches[0], batches[1], batches[3]])
@@ -154,13 +158,84 @@ def test_parsed_stream_restarts_where_it_stopped(spark, rows, at):
 
 
 def test_a_repeated_batch_replaces_its_rows(spark, rows, at):
+    feed = Feed(spark, EVENTS)
+    path, checkpoint = shared_folder(spark, "sink"), shared_folder(spark, "checkpoint")
+    feed.add(("c1", "web", at("10:00:00")))
+    failed = []
+
+    def once(batch):  # fails after its rows are written
+        if not failed:
+            failed.append(1)
+            to_files(path)(batch, batch, 0)
+            raise ValueError("lost")
+        return batch
+
+    with pytest.raises(Exception, match="lost"):
+        write_batches(feed.stream(), once, path, checkpoint, NOW).awaitTermination()
+    write_batches(feed.stream(), once, path, checkpoint, NOW).awaitTermination()
+    assert rows(spark.read.parquet(path), "customer_id", "batch_id") == [("c1", 0)]
+
+
+def test_a_new_checkpoint_leaves_earlier_answers(spark, rows, at):
     feed = Feed(spark, EVENTS)
     path = shared_folder(spark, "sink")
     feed.add(("c1", "web", at("10:00:00")))
-    for _ in range(2):  # a new checkpoint makes the second run repeat batch 0
+    for _ in range(2):
         write_batches(feed.stream(), lambda batch: batch, path,
                       shared_folder(spark, "checkpoint"), NOW).awaitTermination()
-    assert rows(spark.read.parquet(path), "customer_id", "batch_id") == [("c1", 0)]
+    found = spark.read.parquet(path)
+    assert rows(found, "customer_id", "batch_id") == [("c1", 0), ("c1", 0)]
+    assert found.select("run_id").distinct().count() == 2
+
+
+def test_a_silent_stretch_raises_alerts_when_the_next_minute_is_final(spark, at):
+    schema = "latency_ms double, recommended_action string, timestamp timestamp"
+    feed = Feed(spark, schema)
+    minutes, found, checkpoint = (shared_folder(spark, n) for n in ("minutes", "alerts", "check"))
+
+    def run():
+        start_alerts(feed.stream(), "1 minute", minutes, found, checkpoint,
+                     NOW).awaitTermination()
+
+    feed.add(*[(1.0, "a", at("10:00:30"))] * 10)
+    run()
+    feed.add(*[(1.0, "a", at("10:10:30"))] * 10)
+    run()
+    feed.add((1.0, "a", at("10:30:30")))
+    run()
+    ends = sorted(r["timestamp"] for r in spark.read.parquet(found).collect())
+    assert ends == [at("10:00:00") + timedelta(minutes=i) for i in range(6, 11)]
+
+
+STREAMS = ("parse_events", "sliding_activity", "requests_per_minute", "action_distribution",
+           "alert_windows", "rejected_requests", "request_log")
+
+
+@pytest.fixture(scope="module")
+def in_parts(spark, tmp_path_factory):
+    """The given tables with the events as a folder of part files."""
+    folder = tmp_path_factory.mktemp("parts")
+    for file in Path("/root/testdata/sf0.001").iterdir():
+        if file.stem != "events":
+            (folder / file.name).symlink_to(file)
+    (spark.read.parquet("/root/testdata/sf0.001/events.parquet").repartition(3)
+     .write.parquet(str(folder / "events.parquet")))
+    return str(folder)
+
+
+@pytest.mark.parametrize("name", [f"{n}_stream" for n in STREAMS]
+                         + ["recommendations_stream", "experiment_log_stream"])
+def test_streams_read_a_folder_of_parts_like_a_file(spark, rows, in_parts, name):
+    run = contract.queries()[name]
+    whole = rows(run(spark, "/root/testdata/sf0.001"))
+    assert whole and rows(run(spark, in_parts)) == whole
+
+
+def test_a_stream_that_reads_nothing_is_an_error(spark, in_parts, tmp_path):
+    spark.read.parquet(f"{in_parts}/events.parquet").limit(0).write.parquet(
+        str(tmp_path / "events.parquet"))
+    with pytest.raises(RuntimeError, match="read nothing"):
+        contract.queries()["parse_events_stream"](spark, str(tmp_path))
 
 
 def test_requests_to_responses(spark, rows, at):

@@ -14,65 +14,66 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 _NORMAL = NormalDist()
-# From here on lgamma differences lose digits and a normal approximation is closer.
-_LARGE_DF = 1e5
+# The series of log gamma(a + 1/2) - log gamma(a) - log(a) / 2 in 1 / a, and the
+# argument from which on its last term is below the precision of a double.
+_HALF_STEP = ((1, -1 / 8), (3, 1 / 192), (5, -1 / 640), (7, 17 / 14336), (9, -31 / 18432))
+_SERIES_FROM = 40.0
+# Nodes of the trapezoidal sum; beyond them the terms vanish.
+_STEP = 1 / 32
+_NODES = [k * _STEP for k in range(-140, 141)]
 
 
 def normal_two_sided(z: float) -> float:
     return math.erfc(abs(z) / math.sqrt(2))
 
 
-def _beta_fraction(a: float, b: float, x: float) -> float:
-    """Continued fraction of the incomplete beta function, by Lentz's method."""
-    tiny = 1e-300
-    c, d = 1.0, 1.0 - (a + b) * x / (a + 1)
-    d = 1.0 / (d if abs(d) > tiny else tiny)
-    value = d
-    for m in range(1, 2000):
-        even = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))
-        odd = -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
-        for term in (even, odd):
-            d = 1.0 + term * d
-            d = 1.0 / (d if abs(d) > tiny else tiny)
-            c = 1.0 + term / c
-            c = c if abs(c) > tiny else tiny
-            value *= c * d
-        if abs(c * d - 1.0) < 1e-15:
-            break
-    return value
-
-
-def incomplete_beta(a: float, b: float, x: float) -> float:
-    """Regularised incomplete beta function I_x(a, b)."""
-    if x <= 0.0 or x >= 1.0:
-        return 0.0 if x <= 0.0 else 1.0
-    scale = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b)
-                     + a * math.log(x) + b * math.log1p(-x))
-    if x < (a + 1) / (a + b + 2):
-        return scale * _beta_fraction(a, b, x) / a
-    return 1.0 - scale * _beta_fraction(b, a, 1.0 - x) / b
+def log_gamma_half_step(a: float) -> float:
+    """log gamma(a + 1/2) - log gamma(a), without the difference of two large numbers.
+
+    The recurrence takes the argument to where the series holds.
+    """
+    total = 0.0
+    while a < _SERIES_FROM:
+        total -= math.log1p(0.5 / a)
+        a += 1
+    return total + 0.5 * math.log(a) + sum(c / a ** k for k, c in _HALF_STEP)
 
 
 def t_two_sided(t: float, df: float) -> float:
-    if df > _LARGE_DF:
-        return normal_two_sided(t * (1 - 1 / (4 * df)) / math.sqrt(1 + t * t / (2 * df)))
-    return incomplete_beta(df / 2, 0.5, df / (df + t * t))
+    """Twice the tail of the density beyond ``|t|``, by one formula for all degrees of freedom.
+
+    With v the distance from t, the density falls as ``(1 + v (2 t + v) / (df + t * t))`` to the
+    power ``-(df + 1) / 2``: no difference of close numbers.  The substitution
+    ``v = scale * exp(pi / 2 * sinh(u))`` makes the trapezoidal sum converge to double precision
+    for tails that fall like a power as for those that fall like a Gaussian.
+    """
+    t = abs(t)
+    base = df + t * t
+    scale = 1 / math.hypot(1.0, (df + 1) * t / base)  # over which the density falls by about e
+    parts = []
+    for u in _NODES:
+        v = scale * math.exp(math.pi / 2 * math.sinh(u))
+        fall = math.exp(-(df + 1) / 2 * math.log1p(v * (2 * t + v) / base))
+        parts.append(fall * v * math.cosh(u))
+    area = math.fsum(parts) * math.pi / 2 * _STEP
+    return min(1.0, 2 * math.exp(_log_density(t, df)) * area)
+
+
+def _log_density(t: float, df: float) -> float:
+    return (log_gamma_half_step(df / 2) - 0.5 * math.log(math.pi * df)
+            - (df + 1) / 2 * math.log1p(t * t / df))
 
 
 def t_critical(alpha: float, df: float) -> float:
-    """The t with two-sided probability ``alpha``."""
-    low, high = 0.0, 1.0
-    while t_two_sided(high, df) > alpha:
-        low, high = high, high * 2
+    """The t with two-sided probability ``alpha``: Newton's method on the log probability."""
+    t = normal_critical(alpha)
     for _ in range(200):
-        middle = (low + high) / 2
-        if middle in (low, high):
-            break
-        if t_two_sided(middle, df) > alpha:
-            low = middle
-        else:
-            high = middle
-    return (low + high) / 2
+        p = t_two_sided(t, df)
+        step = (math.log(p) - math.log(alpha)) * p / (2 * math.exp(_log_density(t, df)))
+        t = max(t + step, t / 2)
+        if abs(step) <= 1e-14 * t:
+            return t
+    return t
 
 
 def normal_critical(alpha: float) -> float:

@@ -77,6 +77,7 @@ def _group_array(design: Design, total: Column) -> Column:
         entries.append(F.struct(
             F.lit(position).alias("position"), F.lit(group.name).alias("test_group"),
             F.lit(group.treatment).alias("treatment"),
+            F.lit(group.description).alias("description"),
             F.lit(group.percent).alias("allocation_percent"),
             size.alias("group_size"), cut.alias("cut"),
         ))
@@ -85,14 +86,16 @@ def _group_array(design: Design, total: Column) -> Column:
 
 def plan_sizes(units: DataFrame, design: Design,
                segment_col: str = "customer_segment") -> DataFrame:
-    """Planned size of every group in every listed segment."""
+    """Planned size of every group in every listed segment, with metric and duration."""
     totals = (units.filter(F.col(segment_col).isin(*design.segments))
               .groupBy(segment_col).agg(F.count("*").alias("segment_size")))
     return (totals
             .select(segment_col, "segment_size",
                     F.explode(_group_array(design, F.col("segment_size"))).alias("g"))
-            .select(segment_col, "segment_size", "g.test_group", "g.treatment",
-                    "g.allocation_percent", "g.group_size"))
+            .select(segment_col, "segment_size", "g.test_group", "g.treatment", "g.description",
+                    "g.allocation_percent", "g.group_size",
+                    F.lit(design.primary_metric).alias("primary_metric"),
+                    F.lit(design.duration_days).alias("duration_days")))
 
 
 def assign_stratified(units: DataFrame, design: Design, *, id_col: str = "customer_id",

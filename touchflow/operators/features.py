@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from touchflow.functions.scalars import elapsed_seconds, is_weekend
 from touchflow.schemas import FEATURE_NAMES
+from touchflow.sources.tables import append_log
 
 # Fixed value: lifetime of a stored feature.
 FEATURE_TTL_SECONDS = 3600
@@ -47,6 +48,25 @@ def latest_features(writes: DataFrame, as_of: Column | str | None = None,
     return rows.filter(F.unix_micros(moment) < _expiry(F.col("written_at"), F.col("ttl_s")))
 
 
+def in_days(table: DataFrame, first: Column, last: Column) -> DataFrame:
+    """Rows of the days from first to last; prunes folders if the table has a ``log_date``."""
+    if "log_date" not in table.columns:
+        return table
+    return table.filter(F.col("log_date").between(F.to_date(first), F.to_date(last)))
+
+
+def _at_most(ttl: Column, seconds: int) -> Column:
+    """True; an error where a lifetime is longer."""
+    return F.when(ttl > seconds, F.raise_error(F.concat(
+        F.lit(f"ttl_s above max_ttl_seconds={seconds}: "), ttl.cast("string"))).cast("boolean")
+    ).otherwise(F.lit(True))
+
+
+def append_features(writes: DataFrame, path: str, max_ttl_seconds: int) -> None:
+    """Appends writes to a store with day folders; a lifetime above the store's bound is refused."""
+    append_log(writes.filter(_at_most(F.col("ttl_s"), max_ttl_seconds)), path, "written_at")
+
+
 def lookup_features(requests: DataFrame, writes: DataFrame, features: Sequence[str], *,
                     key: str = "customer_id", at: str = "timestamp",
                     slice_seconds: int = 900, max_ttl_seconds: int | None = None,
@@ -62,14 +82,16 @@ def lookup_features(requests: DataFrame, writes: DataFrame, features: Sequence[s
 
     For few requests against a large store (a micro-batch), two options read less of it with the
     same result: ``max_ttl_seconds``, the longest lifetime in the store, limits the scan to writes
-    that can still be alive, and ``requested_keys_only`` drops the other keys before the shuffle.
+    that can still be alive, of a store with day folders (``log_date``) to those of the days in
+    question, and ``requested_keys_only`` drops the other keys of these writes.  A longer lifetime
+    in a row that is read is an error; ``append_features`` keeps such rows out of the store.
     """
     if max_ttl_seconds is not None:
-        first, last = (F.unix_micros(requests.agg(bound(at)).scalar())
-                       for bound in (F.min, F.max))
-        oldest = F.timestamp_micros(first - F.lit(max_ttl_seconds * 1_000_000))
-        writes = writes.filter((F.col("written_at") > oldest)
-                               & (F.col("written_at") <= F.timestamp_micros(last)))
+        first, last = (requests.agg(bound(at)).scalar() for bound in (F.min, F.max))
+        oldest = F.timestamp_micros(F.unix_micros(first) - F.lit(max_ttl_seconds * 1_000_000))
+        writes = in_days(writes, oldest, last).filter(
+            _at_most(F.col("ttl_s"), max_ttl_seconds)
+            & (F.col("written_at") > oldest) & (F.col("written_at") <= last))
     if requested_keys_only:
         writes = writes.join(requests.select(key).distinct(), key, "left_semi")
     slots = {name: f"_f{i}" for i, name in enumerate(features)}
@@ -88,7 +110,11 @@ def lookup_features(requests: DataFrame, writes: DataFrame, features: Sequence[s
         F.lit(1).alias("_order"), F.struct(*requests.columns).alias("_request"))
     timeline = stored.unionByName(asked, allowMissingColumns=True)
 
-    tails = timeline.groupBy("_key", "_slice").agg(
+    # From keys and times alone: what the requests carry is not read a second time.
+    slices = stored.drop("_at", "_order").unionByName(
+        requests.select(F.col(key).alias("_key"), slice_of(at).alias("_slice")).distinct(),
+        allowMissingColumns=True)
+    tails = slices.groupBy("_key", "_slice").agg(
         *[F.max(slot).alias(slot) for slot in slots.values()])
     earlier = Window.partitionBy("_key").orderBy("_slice").rowsBetween(
         Window.unboundedPreceding, -1)
@@ -97,7 +123,8 @@ def lookup_features(requests: DataFrame, writes: DataFrame, features: Sequence[s
         for slot in slots.values()])
 
     so_far = (Window.partitionBy("_key", "_slice")
-              .orderBy("_at", "_order", *[f"{slot}.value" for slot in slots.values()])
+              .orderBy("_at", "_order", *[f"{slot}.{part}" for slot in slots.values()
+                                          for part in ("value", "ttl_s")])
               .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     scanned = timeline.join(inherited, ["_key", "_slice"], "left").select(
         "_at", "_request", *[
@@ -122,15 +149,21 @@ def build_sessions(events: DataFrame, session_col: str = "session_id",
             .filter(F.col("page_views") > 0))
 
 
-def session_features(requests: DataFrame, sessions: DataFrame, at: str = "timestamp"
-                     ) -> DataFrame:
+def session_features(requests: DataFrame, sessions: DataFrame, at: str = "timestamp",
+                     max_session_days: int | None = None) -> DataFrame:
     """Adds ``session_duration`` in seconds and ``page_views``.
 
     Both are 0 for an unknown session and null if the request names none, which leaves the place
     to stored values.  ``sessions`` has one row per id, so a hot session skews the request side
     only, and adaptive execution splits that side of the join.  Requests without a session match
     nothing; a second key spreads them over the tasks.
+
+    For a micro-batch against a session table with day folders, ``max_session_days``, the longest
+    time from a session's start to a request that names it, limits the scan to the days in question.
     """
+    if max_session_days is not None:
+        first, last = (requests.agg(bound(at)).scalar() for bound in (F.min, F.max))
+        sessions = in_days(sessions, F.date_sub(first, max_session_days), last)
     session = F.nullif(F.col("session_id"), F.lit(""))
     named = session.isNotNull()
     known = sessions.select(
@@ -207,33 +240,45 @@ def merge_features(table: DataFrame, features: Sequence[str] = FEATURE_NAMES) ->
 
 # -- model input --------------------------------------------------------------------------------
 
-def category_labels(table: DataFrame, column: str, max_labels: int = 1000) -> list[str]:
-    """Sorted distinct values of a categorical column, for use as literals.
+def category_labels(table: DataFrame, column: str) -> DataFrame:
+    """(label, position): the sorted distinct values of a column, numbered from 1.
 
-    At most ``max_labels + 1`` rows reach the driver; a column with more is refused.
+    The values are few against the rows they come from; they are numbered by counts of ranges, so
+    not in one task.
     """
-    rows = (table.select(column).dropna().distinct().orderBy(column)
-            .limit(max_labels + 1).collect())
-    if len(rows) > max_labels:
-        raise ValueError(f"{column} has more than {max_labels} values; index it with "
-                         "pyspark.ml.feature.StringIndexer and a join instead")
-    return [row[0] for row in rows]
-
-
-def feature_vector(table: DataFrame, labels: Mapping[str, Sequence[str]],
+    labels = table.select(F.col(column).alias("label")).dropna().distinct()
+    start = F.substring("label", 1, 2)
+    counts = labels.groupBy(start.alias("_start")).agg(F.count("*").alias("_n"))
+    before = counts.select("_start", (F.sum("_n").over(Window.orderBy("_start")) - F.col("_n"))
+                           .alias("_before"))
+    inside = Window.partitionBy("_start").orderBy("label")
+    return (labels.withColumn("_start", start).join(before, "_start")
+            .select("label", (F.col("_before") + F.row_number().over(inside)).cast("long")
+                    .alias("position")))
+
+
+def feature_vector(table: DataFrame, labels: Mapping[str, DataFrame | Sequence[str]],
                    features: Sequence[str] = FEATURE_NAMES,
                    output: str = "features") -> DataFrame:
     """Array of doubles in the configured order.
 
-    A text feature becomes its 1-based position in ``labels[name]``, 0 for any other text.
-    Missing values are 0.
+    A text feature becomes its 1-based position among its labels, 0 for any other text.  Labels
+    taken from data are a table of ``category_labels``, joined however Catalyst sees fit; a fixed
+    code list may be given as a sequence.  Missing values are 0.
     """
-    entries = []
+    entries, joined = [], table
     for name in features:
-        if name in labels:
-            known = F.array(*[F.lit(label) for label in labels[name]]).cast("array<string>")
-            value = F.array_position(known, F.col(name))
-        else:
+        known = labels.get(name)
+        if known is None:
             value = F.col(name)
+        elif isinstance(known, DataFrame):
+            number = f"_position_{name}"
+            joined = joined.join(known.select(F.col("label").alias(f"_label_{name}"),
+                                              F.col("position").alias(number)),
+                                 F.col(name) == F.col(f"_label_{name}"), "left")
+            value = F.col(number)
+        else:
+            codes = F.array(*[F.lit(label) for label in known]).cast("array<string>")
+            value = F.array_position(codes, F.col(name))
         entries.append(F.coalesce(value.cast("double"), F.lit(0.0)))
-    return table.withColumn(output, F.array(*entries))
+    return joined.withColumn(output, F.array(*entries)).select(*table.columns, output)

@@ -71,6 +71,7 @@ def rolling_metrics(log: DataFrame, now: Column | str, minutes: int = METRICS_MI
     end = _moment(now)
     per_minute = (
         recent(log, end, minutes, at)
+        .withColumn("recommended_action", F.coalesce("recommended_action", F.lit("unknown")))
         .groupBy(F.date_trunc("minute", at).alias("_minute"), "recommended_action")
         .agg(F.count("*").alias("n"), F.sum("latency_ms").alias("latency"),
              F.max(at).alias("_last"))
@@ -81,8 +82,7 @@ def rolling_metrics(log: DataFrame, now: Column | str, minutes: int = METRICS_MI
     totals = per_action.agg(
         F.coalesce(F.sum("n"), F.lit(0)).alias("request_count"),
         F.coalesce(F.sum("latency"), F.lit(0.0)).alias("_latency"),
-        F.map_from_entries(F.array_sort(F.collect_list(F.struct(
-            F.coalesce("recommended_action", F.lit("unknown")), "n"))))
+        F.map_from_entries(F.array_sort(F.collect_list(F.struct("recommended_action", "n"))))
         .alias("action_distribution"))
     average = F.coalesce(F.try_divide("_latency", F.col("request_count").cast("double")),
                          F.lit(0.0))
@@ -117,15 +117,40 @@ def check_alerts(log: DataFrame, now: Column | str, minutes: int = ALERT_MINUTES
 
 def alert_windows(log: DataFrame, minutes: int = ALERT_MINUTES, at: str = "timestamp"
                   ) -> DataFrame:
-    """Alerts of every N-minute range ending on a full minute, for a live log.
+    """Alerts of every N-minute range ending on a full minute, silent ranges included.
 
-    Ranges without any request do not show up, as no row falls into them.
+    Requests are added up per minute first; only minutes are multiplied.
     """
-    window = F.window(at, f"{minutes} minutes", "1 minute")
-    metrics = (
-        log.groupBy(window)
-        .agg(F.count("*").alias("request_count"), F.sum("latency_ms").alias("_latency"))
-        .select(F.col("window.end").alias("timestamp"), "request_count",
-                (F.coalesce("_latency", F.lit(0.0)) / F.col("request_count"))
-                .alias("average_latency")))
-    return alerts(metrics)
+    return alert_windows_of_minutes(requests_per_minute(log, at), minutes)
+
+
+def alert_windows_of_minutes(per_minute: DataFrame, minutes: int = ALERT_MINUTES,
+                             since=None, until=None) -> DataFrame:
+    """Alerts from the minute table, for ranges that cover any minute from the first to the last.
+
+    Minutes without a row between them count as minutes without requests.  ``since`` and
+    ``until`` keep the ranges whose newest minute is after the one and not after the other; all
+    ranges up to N - 1 minutes past the last one are evaluated without them.
+    """
+    minute = F.make_dt_interval(mins=F.lit(1))
+    first, last = (per_minute.agg(bound("minute")).scalar() for bound in (F.min, F.max))
+    one = per_minute.sparkSession.range(1)
+    spine = one.select(F.explode(F.sequence(first, last, minute)).alias("minute")) \
+        .select("minute", F.lit(0).cast("long").alias("request_count"),
+                F.lit(0.0).alias("latency_sum"))
+    filled = per_minute.select("minute", "request_count", "latency_sum").unionByName(spine)
+    # A minute counts in the ranges that end 1 to N minutes after its start.
+    ends = F.transform(F.sequence(F.lit(1), F.lit(minutes)),
+                       lambda i: F.col("minute") + F.make_dt_interval(mins=i))
+    metrics = (filled.select(F.explode(ends).alias("timestamp"), "request_count", "latency_sum")
+               .groupBy("timestamp")
+               .agg(F.sum("request_count").alias("request_count"),
+                    F.sum("latency_sum").alias("_latency")))
+    if since is not None:
+        metrics = metrics.filter(F.col("timestamp") > F.lit(since) + minute)
+    if until is not None:
+        metrics = metrics.filter(F.col("timestamp") <= F.lit(until) + minute)
+    # Minutes are added up in any order, which shows in the last digits.
+    average = F.round(F.coalesce(F.try_divide("_latency", F.col("request_count").cast("double")),
+                                 F.lit(0.0)), 9)
+    return alerts(metrics.select("timestamp", "request_count", average.alias("average_latency")))

@@ -20,11 +20,12 @@ Scorer = Callable[[DataFrame], DataFrame]
 
 def request_features(requests: DataFrame, writes: DataFrame, sessions: DataFrame,
                      stored: Sequence[str], features: Sequence[str] = FEATURE_NAMES,
-                     **lookup_options) -> DataFrame:
+                     max_session_days: int | None = None, **lookup_options) -> DataFrame:
     """Requests with every model feature: stored ones overridden by those of the request."""
     looked_up = lookup_features(requests, writes, stored, **lookup_options)
     contextual = request_time_features(context_features(looked_up))
-    return merge_features(session_features(contextual, sessions), features)
+    return merge_features(session_features(contextual, sessions,
+                                           max_session_days=max_session_days), features)
 
 
 def prepare_scoring(requests: DataFrame, writes: DataFrame, sessions: DataFrame,
@@ -39,8 +40,8 @@ def prepare_scoring(requests: DataFrame, writes: DataFrame, sessions: DataFrame,
 
 
 def respond(scored: DataFrame, extra: Sequence[str] = (), at: str = "timestamp") -> DataFrame:
-    """Response rows; a row that could not be scored gets the fallback response."""
-    failed = ~F.coalesce("scored", F.lit(False))
+    """Response rows; a row without a prediction gets the fallback response."""
+    failed = ~F.coalesce("scored", F.lit(False)) | F.col("prediction").isNull()
     return scored.select(
         *extra,
         "customer_id",
@@ -67,9 +68,15 @@ def recommend(requests: DataFrame, writes: DataFrame, sessions: DataFrame,
     return respond(scorer(ready), extra)
 
 
+def _ids(responses: DataFrame) -> list[str]:
+    """The request's id, where the responses carry it: readers tell repeats by it."""
+    return [name for name in ("request_id",) if name in responses.columns]
+
+
 def experiment_log(responses: DataFrame, test_name: str = TEST_NAME) -> DataFrame:
     """Log rows of an experiment; fallback responses belong to no group and are not logged."""
     return responses.filter(F.col("ab_test_group") != "error").select(
+        *_ids(responses),
         "customer_id",
         F.lit(test_name).alias("test_name"),
         F.col("ab_test_group").alias("group"),
@@ -82,23 +89,35 @@ def experiment_log(responses: DataFrame, test_name: str = TEST_NAME) -> DataFram
 def request_log(responses: DataFrame, latency_col: str = "latency_ms") -> DataFrame:
     """Log rows of the service: the response without its channel, with the latency."""
     kept = [name for name in RESPONSE_COLUMNS if name != "channel"]
-    return responses.select(*kept, F.col(latency_col).alias("latency_ms"))
+    return responses.select(*_ids(responses), *kept, F.col(latency_col).alias("latency_ms"))
 
 
 def latest_results(log: DataFrame, limit: int = 1000, test_name: str | None = None,
                    tie_break: Sequence[str] = ("customer_id",)) -> DataFrame:
     """The newest ``limit`` results of each test, or of one test.
 
-    A test may hold most of the log, so every map partition first keeps its own newest rows and
-    these are merged in two steps.  Which partition a row sits in has no influence on the result.
+    A test may hold most of the log.  Counts per test and second, added up before the shuffle, show
+    from which second on a test has ``limit`` results; only rows from there on are ranked: the
+    limit and less than one second's rows more per test, whatever the limit is.
     """
     newest = [F.desc("timestamp"), *[F.desc(name) for name in tie_break]]
     if test_name is not None:
         return log.filter(F.col("test_name") == test_name).orderBy(*newest).limit(limit)
-    spread = log.withColumn("_part", F.spark_partition_id() % 64)
-    first = Window.partitionBy("test_name", "_part").orderBy(*newest)
-    final = Window.partitionBy("test_name").orderBy(*newest)
-    kept = (spread.withColumn("_rank", F.row_number().over(first))
-            .filter(F.col("_rank") <= limit).drop("_rank", "_part"))
-    return (kept.withColumn("_rank", F.row_number().over(final))
+    second = F.unix_seconds("timestamp")
+    newer = Window.partitionBy("test_name").orderBy(F.desc("_second")).rowsBetween(
+        Window.unboundedPreceding, -1)
+    cuts = (log.filter(F.col("timestamp").isNotNull())
+            .groupBy("test_name", second.alias("_second")).agg(F.count("*").alias("_n"))
+            .withColumn("_newer", F.coalesce(F.sum("_n").over(newer), F.lit(0)))
+            .filter(F.col("_newer") < limit)
+            .groupBy("test_name").agg(F.min("_second").alias("_from"),
+                                      F.sum("_n").alias("_rows"))
+            .select(F.col("test_name").alias("_test"), "_rows", "_from"))
+    # Rows without a time come last; they are ranked only if a test has too few others.
+    wanted = F.when(second.isNull(), F.coalesce("_rows", F.lit(0)) < limit).otherwise(
+        second >= F.col("_from"))
+    ranked = Window.partitionBy("test_name").orderBy(*newest)
+    return (log.join(cuts, F.col("test_name").eqNullSafe(F.col("_test")), "left")
+            .filter(wanted).drop("_test", "_rows", "_from")
+            .withColumn("_rank", F.row_number().over(ranked))
             .filter(F.col("_rank") <= limit).drop("_rank"))

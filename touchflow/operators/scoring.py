@@ -3,8 +3,7 @@
 Three kinds of model give the same columns: coefficients evaluated as column arithmetic, fitted
 ``pyspark.ml`` pipelines, and any Python predictor applied to Arrow batches on the executors.  The
 columns are ``prediction``, ``probability``, ``confidence`` and ``scored``, which is false where no
-model answered.  A filter that only has to tell failures apart should use ``scored``: pushed below
-the scoring, it stays cheap, where one on the prediction would compute the scores twice.
+model gave a prediction.
 """
 
 from __future__ import annotations
@@ -24,6 +23,8 @@ from touchflow.schemas import ACTIONS
 
 # Which model serves which group, and the name of the test.
 TEST_NAME = "model_version_test"
+SCORE_COLUMNS = {"prediction": "int", "probability": "array<double>", "confidence": "double",
+                 "scored": "boolean"}
 MODEL_BY_GROUP = {"A": "recommendation_model_v1", "B": "recommendation_model_v2"}
 
 
@@ -94,34 +95,51 @@ def score_linear(table: DataFrame, models: Mapping[str, LinearModel],
             .drop("_scores", "_top", "_total"))
 
 
-def score_pipelines(table: DataFrame, models: Mapping[str, PipelineModel],
-                    n_classes: int = len(ACTIONS)) -> DataFrame:
-    """Scores each row with the fitted pipeline in its ``model_name``, in one pass.
+def score_routed(table: DataFrame, scorers: Mapping[str, Callable[[DataFrame], DataFrame]]
+                 ) -> DataFrame:
+    """Scores each row once, with the function of its ``model_name``.
 
-    Every pipeline adds its columns to the same rows and the routed one is kept, so the input is
-    not evaluated once per model.  A pipeline without a ``probability`` output gives a one-hot
-    one.  Rows of a model that is not loaded keep nulls.
+    Each function adds ``prediction``, ``probability``, ``confidence`` and ``scored`` to the rows
+    routed to it; models of any kind go side by side.  Every model reads its own rows of the
+    table, so that should be a stored one, best with the model's name among what is filtered at
+    the scan.  Rows of a model that is not loaded keep nulls.
     """
-    scored, probability, code = table, F.lit(None).cast("array<double>"), F.lit(None).cast("int")
-    for i, (name, model) in enumerate(models.items()):
-        output = model.transform(scored)
+    outputs = [F.lit(None).cast(kind).alias(name) for name, kind in SCORE_COLUMNS.items()
+               if name != "scored"]
+    name = F.col("model_name")
+    unrouted = table.filter(name.isNull() | ~name.isin(*scorers)).select(
+        "*", *outputs, F.lit(False).alias("scored"))
+    branches = [scorer(table.filter(name == model)) for model, scorer in scorers.items()]
+    columns = [*table.columns, *SCORE_COLUMNS]
+    return reduce(DataFrame.unionByName, [b.select(*columns) for b in branches],
+                  unrouted.select(*columns))
+
+
+def with_pipeline(model: PipelineModel, n_classes: int = len(ACTIONS)
+                  ) -> Callable[[DataFrame], DataFrame]:
+    """Scorer of one fitted pipeline; without a ``probability`` output it gives a one-hot one."""
+    def score(table: DataFrame) -> DataFrame:
+        output = model.transform(table)
         predicted = F.col("prediction").cast("int")
         shares = (vector_to_array("probability") if "probability" in output.columns
                   else one_hot(predicted, n_classes))
-        scored = output.select(*scored.columns, shares.alias(f"_probability_{i}"),
-                               predicted.alias(f"_prediction_{i}"))
-        routed = F.col("model_name") == name
-        probability = F.when(routed, F.col(f"_probability_{i}")).otherwise(probability)
-        code = F.when(routed, F.col(f"_prediction_{i}")).otherwise(code)
-    return (scored.select(*table.columns, probability.alias("probability"),
-                          code.alias("prediction"),
-                          F.col("model_name").isin(*models).alias("scored"))
-            .withColumn("confidence", F.array_max("probability")))
+        return (output.select(*table.columns, shares.alias("probability"),
+                              predicted.alias("prediction"))
+                .withColumn("confidence", F.array_max("probability"))
+                .withColumn("scored", F.col("prediction").isNotNull()))
+    return score
+
+
+def score_pipelines(table: DataFrame, models: Mapping[str, PipelineModel],
+                    n_classes: int = len(ACTIONS)) -> DataFrame:
+    """Scores each row with the fitted pipeline in its ``model_name``, and with no other."""
+    return score_routed(table, {name: with_pipeline(model, n_classes)
+                                for name, model in models.items()})
 
 
 def score_batches(table: DataFrame, load: Callable[[], Callable], n_features: int,
                   features: str = "features", batch_size: int = 4096) -> DataFrame:
-    """Scores with a foreign model.
+    """Scores with a foreign model, for ``score_routed`` one that is routed to.
 
     ``load`` runs once per Python worker and returns a function from a float array
     (rows, features) to class probabilities (rows, classes).
@@ -131,7 +149,7 @@ def score_batches(table: DataFrame, load: Callable[[], Callable], n_features: in
     return (table.withColumn("probability", predict(F.col(features)))
             .withColumn("prediction", _first_largest(F.col("probability")))
             .withColumn("confidence", F.array_max("probability"))
-            .withColumn("scored", F.col("probability").isNotNull()))
+            .withColumn("scored", F.col("prediction").isNotNull()))
 
 
 def with_one_hot(table: DataFrame, n_classes: int = len(ACTIONS),

@@ -10,6 +10,7 @@ from touchflow.functions.distributions import (
     normal_critical, normal_p_value, t_critical_value, t_p_value,
 )
 from touchflow.functions.scalars import fixed, title_words
+from touchflow.operators.experiments import Design
 from touchflow.operators.metrics import RATES
 
 # Name of the control group and texts of the report.
@@ -21,10 +22,11 @@ CONTINUE_TEXT = "Continue testing with larger sample size or longer duration"
 
 
 def pair_with_control(moments: DataFrame, control: str = CONTROL,
-                      by: Sequence[str] = ("metric",)) -> DataFrame:
+                      by: Sequence[str] = ("metric",), keep_control: bool = False) -> DataFrame:
     """One row per treatment and metric, control statistics in ``c_*``, treatment in ``t_*``.
 
     The window spans one row per group.  Without a control row the ``c_*`` columns are null.
+    ``keep_control`` pairs the control with itself too.
     """
     peers = Window.partitionBy(*by)
     names = ("sample_size", "metric_value", "n", "total", "variance")
@@ -35,7 +37,7 @@ def pair_with_control(moments: DataFrame, control: str = CONTROL,
           for name in names],
         *[F.col(name).alias(f"t_{name}") for name in names],
     )
-    return paired.filter(~is_control)
+    return paired if keep_control else paired.filter(~is_control)
 
 
 def _difference() -> Column:
@@ -114,7 +116,11 @@ def significance(moments: DataFrame, alpha: float = 0.05, control: str = CONTROL
 
     Both are computed for each of the few rows and one is kept, so ``moments`` is read once.
     """
-    pairs = pair_with_control(moments, control, by)
+    return _judged(pair_with_control(moments, control, by), alpha, assumed_cv, by)
+
+
+def _judged(pairs: DataFrame, alpha: float = 0.05, assumed_cv: float | None = None,
+            by: Sequence[str] = ("metric",)) -> DataFrame:
     is_rate = F.col("metric").isin(*RATES)
     outputs = ("statistic", "p_value", "ci_lower", "ci_upper")
     z = with_proportion_test(pairs, alpha).withColumnsRenamed({n: f"z_{n}" for n in outputs})
@@ -140,59 +146,77 @@ def significance(moments: DataFrame, alpha: float = 0.05, control: str = CONTROL
     )
 
 
+def _advice(significant: Column) -> tuple[Column, Column]:
+    """Result and recommendation of the best treatment."""
+    result = F.when(significant, F.format_string(WINNER_TEXT, _title_group(),
+                                                 fixed("lift_percentage", 2)))
+    advice = F.when(significant, F.format_string(DEPLOY_TEXT, "test_group"))
+    return result.otherwise(NO_WINNER_TEXT), advice.otherwise(CONTINUE_TEXT)
+
+
 def winner(verdicts: DataFrame, primary_metric: str) -> DataFrame:
     """The treatment with the largest lift (first name on ties) and what to do about it."""
     best = (verdicts.filter(F.col("metric") == primary_metric)
             .orderBy(F.desc_nulls_last("lift_percentage"), "test_group").limit(1))
     significant = F.coalesce(F.col("is_significant"), F.lit(False))
+    result, advice = _advice(significant)
     return best.select(
         "metric", "test_group", "lift_percentage", "p_value",
-        significant.alias("is_significant"),
-        F.when(significant, F.format_string(WINNER_TEXT, _title_group(),
-                                            fixed("lift_percentage", 2)))
-        .otherwise(NO_WINNER_TEXT).alias("result"),
-        F.when(significant, F.format_string(DEPLOY_TEXT, "test_group"))
-        .otherwise(CONTINUE_TEXT)
-        .alias("recommendation"),
-    )
+        significant.alias("is_significant"), result.alias("result"),
+        advice.alias("recommendation"))
 
 
 def _title_group() -> Column:
     return F.replace(title_words(F.col("test_group")), F.lit(" "), F.lit("_"))
 
 
-def _line(label: Column | str, value: Column) -> Column:
+def _line(section: str, group: Column, label: Column | str, value: Column) -> Column:
     text = F.lit(label) if isinstance(label, str) else label
-    return F.struct(text.alias("label"), value.alias("value"))
-
-
-def summary(moments: DataFrame, verdicts: DataFrame, primary_metric: str) -> DataFrame:
-    """Report lines as rows: (section, test_group, label, value), values formatted as text."""
-    sizes = moments.select(
-        F.lit("sample_size").alias("section"), "test_group", F.lit("Customers").alias("label"),
-        F.col("sample_size").cast("string").alias("value")).distinct()
-    results = moments.select(
-        F.lit("result").alias("section"), "test_group",
-        title_words(F.col("metric")).alias("label"), fixed("metric_value", 4).alias("value"))
-    lines = F.array(
-        _line("Lift", F.concat(fixed("lift_percentage", 2), F.lit("%"))),
-        _line("P-value", fixed("p_value", 4)),
-        _line("Statistically Significant", F.when(F.col("is_significant"), "Yes")
-              .otherwise("No")),
-        _line("Confidence Interval", F.format_string(
-            "[%s, %s]", fixed("ci_lower", 4), fixed("ci_upper", 4))),
-    )
-    tests = (verdicts.filter(F.col("metric") == primary_metric)
-             .select(F.lit("significance").alias("section"),
-                     F.concat(_title_group(), F.lit(" vs Control")).alias("test_group"),
-                     F.explode(lines).alias("line"))
-             .select("section", "test_group", "line.label", "line.value"))
-    best = winner(verdicts, primary_metric)
-    advice = best.select(
-        F.lit("recommendation").alias("section"), "test_group",
-        F.explode(F.array(
-            _line(F.when(F.col("is_significant"), "Winner").otherwise("Result"),
-                  F.col("result")),
-            _line("Recommendation", F.col("recommendation")))).alias("line"),
-    ).select("section", "test_group", "line.label", "line.value")
-    return sizes.unionByName(results).unionByName(tests).unionByName(advice)
+    return F.struct(F.lit(section).alias("section"), group.alias("test_group"),
+                    text.alias("label"), value.alias("value"))
+
+
+def summary(moments: DataFrame, design: Design, alpha: float = 0.05, control: str = CONTROL
+            ) -> DataFrame:
+    """Report lines as rows: (section, test_group, label, value), values formatted as text.
+
+    One pass over the moments: each row of a group and metric spells out its own lines.
+    """
+    judged = _judged(pair_with_control(moments, control, keep_control=True), alpha)
+    treated = F.col("test_group") != control
+    primary = F.col("metric") == design.primary_metric
+    best = Window.partitionBy("metric", treated).orderBy(
+        F.desc_nulls_last("lift_percentage"), "test_group")
+    ranked = judged.withColumn("_rank", F.row_number().over(best))
+
+    own, nobody = F.col("test_group"), F.lit(None).cast("string")
+    shown = [("Vertical Type", design.vertical), ("Primary Metric", design.primary_metric),
+             ("Test Duration", f"{design.duration_days} days")]
+    if design.start_date:
+        shown.append(("Start Date", design.start_date))
+    against = F.concat(_title_group(), F.lit(" vs Control"))
+    significant = F.coalesce(F.col("is_significant"), F.lit(False))
+    result, advice = _advice(significant)
+    lines = [
+        (F.lit(True), [_line("result", own, title_words(F.col("metric")),
+                             fixed("treatment_metric", 4))]),
+        (primary, [_line("sample_size", own, "Customers",
+                         F.col("treatment_size").cast("string"))]),
+        (primary & ~treated, [_line("overview", nobody, label, F.lit(value))
+                              for label, value in shown]),
+        (primary & treated, [
+            _line("significance", against, "Lift",
+                  F.concat(fixed("lift_percentage", 2), F.lit("%"))),
+            _line("significance", against, "P-value", fixed("p_value", 4)),
+            _line("significance", against, "Statistically Significant",
+                  F.when(F.col("is_significant"), "Yes").otherwise("No")),
+            _line("significance", against, "Confidence Interval", F.format_string(
+                "[%s, %s]", fixed("ci_lower", 4), fixed("ci_upper", 4)))]),
+        (primary & treated & (F.col("_rank") == 1), [
+            _line("recommendation", own, F.when(significant, "Winner").otherwise("Result"), result),
+            _line("recommendation", own, "Recommendation", advice)]),
+    ]
+    each = F.flatten(F.array(*[
+        F.when(holds, F.array(*rows)).otherwise(F.filter(F.array(*rows), lambda _: F.lit(False)))
+        for holds, rows in lines]))
+    return ranked.select(F.explode(each).alias("line")).select("line.*")

@@ -7,7 +7,7 @@ order of ``ACTIONS`` and one weight per feature in the order of ``FEATURE_NAMES`
 from __future__ import annotations
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import DecisionTreeClassifier, LogisticRegression
+from pyspark.ml.classification import NaiveBayes
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, functions as F
 
@@ -39,13 +39,32 @@ LINEAR_MODELS = {
 }
 
 
-def fit_models(table: DataFrame, label: str, max_iter: int = 5) -> dict[str, PipelineModel]:
-    """Two small fitted models on a ``features`` array: a regression and a tree."""
+SMOOTHING = {"recommendation_model_v1": 1.0, "recommendation_model_v2": 2.0}
+
+
+def fit_models(table: DataFrame, label: str) -> dict[str, PipelineModel]:
+    """Two naive Bayes models on a ``features`` array, whose fit is a sum per class and feature."""
     training = table.select(array_to_vector("features").alias("input"),
                             F.col(label).cast("double").alias("label"))
-    common = {"featuresCol": "input", "labelCol": "label"}
-    stages = {
-        "recommendation_model_v1": LogisticRegression(maxIter=max_iter, **common),
-        "recommendation_model_v2": DecisionTreeClassifier(maxDepth=4, **common),
-    }
-    return {name: Pipeline(stages=[stage]).fit(training) for name, stage in stages.items()}
+    return {name: Pipeline(stages=[NaiveBayes(
+        featuresCol="input", labelCol="label", smoothing=smoothing)]).fit(training)
+        for name, smoothing in SMOOTHING.items()}
+
+
+def load_foreign(name: str):
+    """Loader of a predictor outside Spark: a linear model's coefficients in numpy."""
+    model = LINEAR_MODELS[name]
+
+    def load():
+        import numpy as np
+
+        weights, intercepts = np.array(model.weights), np.array(model.intercepts)
+
+        def predict(inputs):
+            scores = inputs @ weights.T + intercepts
+            powers = np.exp(scores - scores.max(axis=1, keepdims=True))
+            return powers / powers.sum(axis=1, keepdims=True)
+
+        return predict
+
+    return load

@@ -169,6 +169,31 @@ _SHARED = {
                CASE ab_test_group WHEN 'A' THEN '1' ELSE '2' END AS model_version,
                ab_test_group
         FROM scored""",
+    "nbrow": """
+        SELECT request_id, ab_test_group, CAST(customer_id AS BIGINT) % 5 AS y,
+               CASE ab_test_group WHEN 'A' THEN 1.0e0 ELSE 2.0e0 END AS lam,
+               [hour_of_day, day_of_week, is_weekend, channel, region, brand, session_duration,
+                page_views] AS f
+        FROM grouped""",
+    # Sums per class and feature; smoothed logarithms of their shares.
+    "nbsum": """
+        SELECT y, i, sum(f[i]) AS s, count(*) AS n
+        FROM nbrow, (SELECT unnest(range(1, 9)) AS i) GROUP BY y, i""",
+    "nbmodel": """
+        SELECT lam, y, ln(any_value(n) + lam) - ln((SELECT count(*) FROM nbrow) + lam
+                   * (SELECT count(DISTINCT y) FROM nbrow)) AS prior,
+               list(ln(s + lam) - ln(total + 8 * lam) ORDER BY i) AS theta
+        FROM (SELECT *, sum(s) OVER (PARTITION BY y) AS total FROM nbsum),
+             (SELECT unnest([1.0e0, 2.0e0]) AS lam)
+        GROUP BY lam, y""",
+    "nbscored": """
+        SELECT request_id, ab_test_group, list_position(l, list_max(l)) - 1 AS prediction,
+               list_transform(l, lambda x: exp(x - list_max(l))
+                   / list_sum(list_transform(l, lambda z: exp(z - list_max(l))))) AS p
+        FROM (SELECT r.request_id, any_value(r.ab_test_group) AS ab_test_group,
+                     list(m.prior + list_sum(list_transform(list_zip(r.f, m.theta),
+                          lambda q: q[1] * q[2])) ORDER BY m.y) AS l
+              FROM nbrow r JOIN nbmodel m ON m.lam = r.lam GROUP BY r.request_id)""",
     "assigned": """
         SELECT customer_id, customer_segment,
                CASE WHEN rn <= n * 20 // 100 THEN 'control'
@@ -293,18 +318,19 @@ _SHARED["best"] = """
                    AS recommendation
         FROM titled ORDER BY lift_percentage DESC, test_group LIMIT 1"""
 _SHARED["windows"] = """
-        SELECT window_id, row_count, rate, revenue,
+        SELECT window_id, row_count, rate, revenue, predicted,
                lo + to_days(CAST(30 * window_id AS INTEGER)) AS window_start,
                lo + to_days(CAST(30 * (window_id + 1) AS INTEGER)) AS window_end
         FROM (SELECT date_diff('day', lo, o_orderdate) // 30 AS window_id, any_value(lo) AS lo,
                      any_value(hi) AS hi, count(*) AS row_count,
                      avg(CASE WHEN o_orderstatus = 'F' THEN 1.0 ELSE 0.0 END) AS rate,
-                     sum(o_totalprice) AS revenue
+                     sum(o_totalprice) AS revenue,
+                     avg(CAST(substr(o_orderpriority, 1, 1) AS INTEGER) / 10) AS predicted
               FROM orders, (SELECT min(o_orderdate) AS lo, max(o_orderdate) AS hi FROM orders)
               GROUP BY 1)
         WHERE lo + to_days(CAST(30 * window_id AS INTEGER)) < hi"""
 _SHARED["slog"] = """
-        SELECT customer_id,
+        SELECT event_id AS request_id, customer_id,
                ['no_action', 'email_campaign', 'push_notification', 'discount_offer',
                 'product_recommendation'][CAST(event_id % 5 + 1 AS INTEGER)]
                    AS recommended_action,
@@ -417,16 +443,74 @@ def _alerts(source: str, at: str) -> str:
     FROM {source} WHERE request_count < 10"""
 
 
-_ALERT_WINDOWS = f"""(
-    SELECT strftime(w + INTERVAL 5 MINUTE, '%Y-%m-%d %H:%M:%S.%f') AS range_end,
-           count(*) AS request_count, sum(latency_ms) / count(*) AS average_latency
-    FROM (SELECT *, unnest(list_transform([0, 1, 2, 3, 4],
-                 lambda i: date_trunc('minute', timestamp) - to_minutes(i))) AS w FROM slog)
-    GROUP BY w)"""
+_ALERT_RANGES = """
+    SELECT e AS range_end, sum(n) AS request_count,
+           round(CASE WHEN sum(n) > 0 THEN sum(latency) / sum(n) ELSE 0 END, 9) AS average_latency
+    FROM (SELECT unnest([m + to_minutes(1), m + to_minutes(2), m + to_minutes(3),
+                         m + to_minutes(4), m + to_minutes(5)]) AS e, n, latency
+          FROM (SELECT date_trunc('minute', timestamp) AS m, count(*) AS n,
+                       sum(latency_ms) AS latency FROM slog GROUP BY 1
+                UNION ALL
+                SELECT unnest(generate_series(min(date_trunc('minute', timestamp)),
+                       max(date_trunc('minute', timestamp)), INTERVAL 1 MINUTE)), 0, 0
+                FROM slog))
+    GROUP BY e"""
+
+
+def _alert_windows(where: str = "true") -> str:
+    return f"""(
+    SELECT strftime(range_end, '%Y-%m-%d %H:%M:%S.%f') AS range_end,
+           CAST(request_count AS BIGINT) AS request_count, average_latency
+    FROM ({_ALERT_RANGES}) WHERE {where})"""
+
 
 _TEST_COLUMNS = """round({z}, 6) AS statistic, round(p_value, 6) AS p_value,
     round(ci_lower, 6) AS ci_lower, round(ci_upper, 6) AS ci_upper"""
 
+
+
+def _summary(vertical: str, primary: str, metrics: str) -> str:
+    titled = f"""(SELECT *, array_to_string(list_transform(string_split(test_group, '_'),
+        lambda w: upper(w[1]) || w[2:]), '_') AS title FROM verdict WHERE metric = '{primary}')"""
+    best = f"(SELECT * FROM {titled} ORDER BY lift_percentage DESC, test_group LIMIT 1)"
+    return f"""
+        SELECT 'overview' AS section, CAST(NULL AS VARCHAR) AS test_group,
+               'Vertical Type' AS label, '{vertical}' AS value
+        UNION ALL SELECT 'overview', NULL, 'Primary Metric', '{primary}'
+        UNION ALL SELECT 'overview', NULL, 'Test Duration', '28 days'
+        UNION ALL
+        SELECT 'sample_size', test_group, 'Customers', CAST(count(*) AS VARCHAR)
+        FROM units GROUP BY test_group
+        UNION ALL
+        SELECT 'result', test_group, array_to_string(list_transform(string_split(metric, '_'),
+               lambda w: upper(w[1]) || w[2:]), ' '), printf('%.4f', metric_value) FROM moments
+        WHERE metric IN ({metrics})
+        UNION ALL
+        SELECT 'significance', title || ' vs Control', 'Lift',
+               printf('%.2f%%', lift_percentage) FROM {titled}
+        UNION ALL
+        SELECT 'significance', title || ' vs Control', 'P-value', printf('%.4f', p_value)
+        FROM {titled}
+        UNION ALL
+        SELECT 'significance', title || ' vs Control', 'Statistically Significant',
+               CASE WHEN is_significant THEN 'Yes' ELSE 'No' END FROM {titled}
+        UNION ALL
+        SELECT 'significance', title || ' vs Control', 'Confidence Interval',
+               printf('[%.4f, %.4f]', ci_lower, ci_upper) FROM {titled}
+        UNION ALL
+        SELECT 'recommendation', test_group,
+               CASE WHEN is_significant THEN 'Winner' ELSE 'Result' END,
+               CASE WHEN is_significant THEN title || printf(' group with %.2f%% lift',
+                    lift_percentage) ELSE 'No statistically significant difference found' END
+        FROM {best}
+        UNION ALL
+        SELECT 'recommendation', test_group, 'Recommendation',
+               CASE WHEN is_significant THEN 'Deploy ' || test_group
+                    || ' treatment to all customers' ELSE
+                    'Continue testing with larger sample size or longer duration' END
+        FROM {best}"""
+
+
 _QUERIES = {
     **{f"scan_{channel}": f"SELECT customer_id, '{channel}' AS channel, {columns} "
                           f"FROM ev WHERE channel = '{channel}'"
@@ -480,13 +564,14 @@ _QUERIES = {
         CASE WHEN k >= 50 THEN 'no customer_id' ELSE 'not JSON' END AS reason
         FROM ev WHERE event_type = 'view'""",
     "experiment_plan": """SELECT customer_segment, n AS segment_size, test_group, treatment,
-        CAST(allocation_percent AS BIGINT) AS allocation_percent,
-        n * allocation_percent // 100 AS group_size
+        description, CAST(allocation_percent AS BIGINT) AS allocation_percent,
+        n * allocation_percent // 100 AS group_size, 'conversion_rate' AS primary_metric,
+        CAST(28 AS BIGINT) AS duration_days
         FROM (SELECT c_mktsegment AS customer_segment, count(*) AS n FROM customer GROUP BY 1)
-        CROSS JOIN (VALUES ('control', 'random_assignment', 20),
-                           ('simple_rules', 'business_rules', 20),
-                           ('ml_ensemble', 'ensemble_model', 60))
-            AS g(test_group, treatment, allocation_percent)""",
+        CROSS JOIN (VALUES ('control', 'random_assignment', 'Random assignment baseline', 20),
+            ('simple_rules', 'business_rules', 'Simple recommendation rules', 20),
+            ('ml_ensemble', 'ensemble_model', 'ML ensemble recommendations', 60))
+            AS g(test_group, treatment, description, allocation_percent)""",
     "stratified_assignment": "SELECT customer_id, customer_segment, test_group FROM assigned",
     "hash_assignment": """SELECT CAST(c_custkey AS VARCHAR) AS customer_id,
         CASE WHEN CAST('0x' || substr(md5(c_custkey || ':model_version_test'), 1, 8) AS BIGINT)
@@ -504,6 +589,11 @@ _QUERIES = {
         round(sum(engaged) / count(*), 6) AS engagement_rate,
         round(sum(retained) / count(*), 6) AS retention_rate
         FROM units GROUP BY test_group""",
+    "retail_metrics_without_revenue": """SELECT test_group, count(*) AS sample_size,
+        round(sum(converted) / count(*), 6) AS conversion_rate,
+        CAST(0 AS DOUBLE) AS revenue_per_customer,
+        round(sum(engaged) / count(*), 6) AS engagement_rate,
+        CAST(0 AS DOUBLE) AS retention_rate FROM units GROUP BY test_group""",
     "non_retail_metrics": """SELECT test_group, count(*) AS sample_size,
         round(sum(engaged) / count(*), 6) AS engagement_rate,
         round(sum(converted) / count(*), 6) AS conversion_rate,
@@ -527,36 +617,21 @@ _QUERIES = {
     "experiment_winner": """SELECT metric, test_group,
         round(lift_percentage, 6) AS lift_percentage, round(p_value, 6) AS p_value,
         is_significant, result, recommendation FROM best""",
-    "experiment_summary": """
-        SELECT 'sample_size' AS section, test_group, 'Customers' AS label,
-               CAST(count(*) AS VARCHAR) AS value FROM units GROUP BY test_group
-        UNION ALL
-        SELECT 'result', test_group, array_to_string(list_transform(string_split(metric, '_'),
-               lambda w: upper(w[1]) || w[2:]), ' '), printf('%.4f', metric_value) FROM moments
-        WHERE metric NOT IN ('time_to_conversion', 'customer_satisfaction')
-        UNION ALL
-        SELECT 'significance', title || ' vs Control', 'Lift',
-               printf('%.2f%%', lift_percentage) FROM titled
-        UNION ALL
-        SELECT 'significance', title || ' vs Control', 'P-value', printf('%.4f', p_value)
-        FROM titled
-        UNION ALL
-        SELECT 'significance', title || ' vs Control', 'Statistically Significant',
-               CASE WHEN is_significant THEN 'Yes' ELSE 'No' END FROM titled
-        UNION ALL
-        SELECT 'significance', title || ' vs Control', 'Confidence Interval',
-               printf('[%.4f, %.4f]', ci_lower, ci_upper) FROM titled
-        UNION ALL
-        SELECT 'recommendation', test_group,
-               CASE WHEN is_significant THEN 'Winner' ELSE 'Result' END, result FROM best
-        UNION ALL
-        SELECT 'recommendation', test_group, 'Recommendation', recommendation FROM best""",
+    "experiment_summary": _summary("retail", "conversion_rate", """'conversion_rate',
+        'revenue_per_customer', 'engagement_rate', 'retention_rate'"""),
+    "non_retail_summary": _summary("non_retail", "engagement_rate", """'conversion_rate',
+        'engagement_rate', 'time_to_conversion', 'customer_satisfaction'"""),
     "backtest_windows": f"""SELECT window_id, {_ts('window_start')}, {_ts('window_end')},
         row_count, round(rate, 4) AS actual_conversion_rate,
         round(CAST(0.12 AS DOUBLE), 4) AS predicted_conversion_rate,
         round(revenue, 4) AS actual_revenue,
         round(CAST(row_count * 0.12 * 50 AS DOUBLE), 4) AS predicted_revenue,
         round(1 - abs(rate - CAST(0.12 AS DOUBLE)), 4) AS prediction_accuracy FROM windows""",
+    "backtest_predicted": f"""SELECT window_id, {_ts('window_start')}, {_ts('window_end')},
+        row_count, round(rate, 8) AS actual_conversion_rate,
+        round(predicted, 8) AS predicted_conversion_rate, round(revenue, 4) AS actual_revenue,
+        round(row_count * predicted * 50, 8) AS predicted_revenue,
+        round(1 - abs(rate - predicted), 8) AS prediction_accuracy FROM windows""",
     "backtest_overall": """SELECT round(avg(rate), 4) AS avg_conversion_rate,
         round(avg(1 - abs(rate - CAST(0.12 AS DOUBLE))), 4) AS avg_prediction_accuracy,
         round(sum(revenue), 4) AS total_revenue, count(*) AS num_windows FROM windows""",
@@ -591,6 +666,26 @@ _QUERIES = {
         CAST(prediction AS BIGINT) AS prediction, round(list_max(p), 6) AS confidence,
         round(p[1], 6) AS p0, round(p[2], 6) AS p1, round(p[3], 6) AS p2,
         round(p[4], 6) AS p3, round(p[5], 6) AS p4 FROM scored""",
+    "score_batch": """SELECT request_id, CASE ab_test_group WHEN 'A'
+        THEN 'recommendation_model_v1' ELSE 'recommendation_model_v2' END AS model_name,
+        CAST(prediction AS BIGINT) AS prediction, round(list_max(p), 6) AS confidence,
+        round(p[1], 6) AS p0, round(p[2], 6) AS p1, round(p[3], 6) AS p2,
+        round(p[4], 6) AS p3, round(p[5], 6) AS p4 FROM nbscored""",
+    "score_mixed": """SELECT request_id, CASE ab_test_group WHEN 'A'
+        THEN 'recommendation_model_v1' ELSE 'recommendation_model_v2' END AS model_name,
+        CAST(prediction AS BIGINT) AS prediction, round(list_max(p), 6) AS confidence
+        FROM scored""",
+    "fallback_responses": f"""SELECT request_id, customer_id,
+        CASE ab_test_group WHEN 'A' THEN recommended_action ELSE 'no_action' END
+            AS recommended_action,
+        CASE ab_test_group WHEN 'A' THEN channel ELSE 'unknown' END AS channel,
+        CASE ab_test_group WHEN 'A' THEN round(confidence_score, 6) ELSE 0 END
+            AS confidence_score, {_ts('timestamp')},
+        CASE ab_test_group WHEN 'A' THEN model_version ELSE 'error' END AS model_version,
+        CASE ab_test_group WHEN 'A' THEN 'A' ELSE 'error' END AS ab_test_group,
+        ab_test_group = 'A' AS logged FROM responses""",
+    "session_table": f"""SELECT session_id, {_ts('start_time')}, page_views,
+        CAST(start_time AS DATE) AS log_date FROM sess""",
     "onehot_proba": "SELECT event_id, " + ", ".join(
         f"CAST(event_id % 5 = {i} AS DOUBLE) AS p{i}" for i in range(5)) + " FROM ev",
     "recommendations": f"SELECT request_id, {_RESPONSES} FROM responses",
@@ -600,7 +695,7 @@ _QUERIES = {
         || strftime(timestamp, '%Y-%m-%dT%H:%M:%S.%f') || '","model_version":"'
         || model_version || '","ab_test_group":"' || ab_test_group || '"}' AS value
         FROM responses""",
-    "experiment_log": f"""SELECT customer_id, 'model_version_test' AS test_name,
+    "experiment_log": f"""SELECT request_id, customer_id, 'model_version_test' AS test_name,
         ab_test_group AS "group", recommended_action AS outcome,
         round(confidence_score, 6) AS confidence, {_ts('timestamp')} FROM responses""",
     "latest_results": f"""SELECT customer_id, event_type AS test_name,
@@ -611,7 +706,7 @@ _QUERIES = {
         {_ts('ts', 'timestamp')} FROM ev
         QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, customer_id DESC)
                 <= 1000""",
-    "request_log": f"""SELECT customer_id, recommended_action,
+    "request_log": f"""SELECT request_id, customer_id, recommended_action,
         round(confidence_score, 6) AS confidence_score, round(latency_ms, 6) AS latency_ms,
         {_ts('timestamp')}, model_version, ab_test_group FROM slog""",
     "requests_per_minute": _MINUTES,
@@ -621,13 +716,20 @@ _QUERIES = {
     "rolling_metrics": _rolling(60),
     "rolling_metrics_day": _rolling(1440),
     "alerts": _alerts(f"({_rolling(5)})", "'2024-01-15 12:00:30.000000'"),
-    "alert_windows": _alerts(_ALERT_WINDOWS, "range_end"),
+    "alert_windows": _alerts(_alert_windows(), "range_end"),
 }
 
 # Streams drained to their end hold what the batch queries give.
 for _name in ("parse_events", "sliding_activity", "requests_per_minute", "action_distribution",
-              "alert_windows", "rejected_requests", "request_log"):
+              "rejected_requests", "request_log"):
     _QUERIES[f"{_name}_stream"] = _QUERIES[_name]
 _QUERIES["recommendations_stream"] = _QUERIES["encode_responses"]
+_QUERIES["experiment_log_stream"] = f"""SELECT customer_id, 'model_version_test' AS test_name,
+    ab_test_group AS "group", recommended_action AS outcome,
+    round(confidence_score, 4) AS confidence, {_ts('timestamp')} FROM responses"""
+# A live range is evaluated when its newest minute is over.
+_QUERIES["alert_windows_stream"] = _alerts(_alert_windows(
+    "range_end <= (SELECT max(date_trunc('minute', timestamp)) + INTERVAL 1 MINUTE FROM slog)"),
+    "range_end")
 
 ORACLE = {name: _with(sql) for name, sql in _QUERIES.items()}

@@ -25,7 +25,7 @@ from touchflow.sources import tables as sources
 from touchflow.sources.streams import file_stream, write_batches, write_stream
 from touchflow.streaming.activity import sliding_activity
 from touchflow.streaming.recommendations import (
-    start_recommendations, start_reject_log, stream_action_distribution, stream_alerts,
+    start_alerts, start_recommendations, start_reject_log, stream_action_distribution,
     stream_minute_metrics,
 )
 
@@ -225,17 +225,18 @@ def rejected_requests(spark, sf_dir):
 
 def _design(spark, sf_dir, vertical="retail") -> experiments.Design:
     customers = t.experiment_customers(spark, sf_dir)
-    segments = features.category_labels(customers, "customer_segment")
+    labels = features.category_labels(customers, "customer_segment")
+    segments = [row["label"] for row in labels.orderBy("position").collect()]
     return experiments.design_experiment(segments, vertical)
 
 
-def _assigned(spark, sf_dir) -> DataFrame:
+def _assigned(spark, sf_dir, vertical="retail") -> DataFrame:
     return experiments.assign_stratified(t.experiment_customers(spark, sf_dir),
-                                         _design(spark, sf_dir))
+                                         _design(spark, sf_dir, vertical))
 
 
-def _units(spark, sf_dir) -> DataFrame:
-    return _assigned(spark, sf_dir).join(t.outcomes(spark, sf_dir), "customer_id")
+def _units(spark, sf_dir, vertical="retail") -> DataFrame:
+    return _assigned(spark, sf_dir, vertical).join(t.outcomes(spark, sf_dir), "customer_id")
 
 
 @query("experiment_plan")
@@ -272,13 +273,19 @@ def non_retail_metrics(spark, sf_dir):
     return present(metrics.non_retail_metrics(_units(spark, sf_dir)))
 
 
+@query("retail_metrics_without_revenue")
+def retail_metrics_without_revenue(spark, sf_dir):
+    """Inputs without the optional columns: their metrics are 0."""
+    return present(metrics.retail_metrics(_units(spark, sf_dir).drop("revenue", "retained")))
+
+
 @query("distinct_groups")
 def distinct_groups(spark, sf_dir):
     return metrics.distinct_groups(_assigned(spark, sf_dir))
 
 
-def _moments(spark, sf_dir, names=metrics.RETAIL) -> DataFrame:
-    return metrics.metric_moments(_units(spark, sf_dir), names)
+def _moments(spark, sf_dir, names=metrics.RETAIL, vertical="retail") -> DataFrame:
+    return metrics.metric_moments(_units(spark, sf_dir, vertical), names)
 
 
 ALL_METRICS = (*metrics.RETAIL, *metrics.MEANS)
@@ -311,20 +318,20 @@ def significance(spark, sf_dir):
     return present(sig.significance(_moments(spark, sf_dir, ALL_METRICS)))
 
 
-def _verdicts(spark, sf_dir):
-    """Group statistics and verdicts: a few rows each, read several times by the report."""
-    moments = stored(_moments(spark, sf_dir), "moments")
-    return moments, stored(sig.significance(moments), "verdicts")
-
-
 @query("experiment_winner")
 def experiment_winner(spark, sf_dir):
-    return present(sig.winner(_verdicts(spark, sf_dir)[1], "conversion_rate"))
+    return present(sig.winner(sig.significance(_moments(spark, sf_dir)), "conversion_rate"))
 
 
 @query("experiment_summary")
 def experiment_summary(spark, sf_dir):
-    return sig.summary(*_verdicts(spark, sf_dir), "conversion_rate")
+    return sig.summary(_moments(spark, sf_dir), _design(spark, sf_dir))
+
+
+@query("non_retail_summary")
+def non_retail_summary(spark, sf_dir):
+    return sig.summary(_moments(spark, sf_dir, metrics.NON_RETAIL, "non_retail"),
+                       _design(spark, sf_dir, "non_retail"))
 
 
 @query("backtest_windows")
@@ -332,6 +339,13 @@ def backtest_windows(spark, sf_dir):
     return present(backtest.backtest_windows(t.order_history(spark, sf_dir)), digits=4)
 
 
+@query("backtest_predicted")
+def backtest_predicted(spark, sf_dir):
+    windows = backtest.backtest_windows(t.order_history_predicted(spark, sf_dir),
+                                        prediction_col="predicted_conversion")
+    return present(windows.withColumn("actual_revenue", F.round("actual_revenue", 4)), digits=8)
+
+
 @query("backtest_overall")
 def backtest_overall(spark, sf_dir):
     windows = backtest.backtest_windows(t.order_history(spark, sf_dir))
@@ -352,12 +366,12 @@ def _activity_shown(activity: DataFrame) -> DataFrame:
 
 @query("sliding_activity")
 def sliding_activity_batch(spark, sf_dir):
-    return _activity_shown(sliding_activity(_activity_events(spark, sf_dir)))
+    return _activity_shown(sliding_activity(_activity_events(spark, sf_dir), spell_out=True))
 
 
 @query("sliding_channel_counts")
 def sliding_channel_counts(spark, sf_dir):
-    activity = sliding_activity(_activity_events(spark, sf_dir), spell_out=False)
+    activity = sliding_activity(_activity_events(spark, sf_dir))
     return present(activity.select(
         F.col("window.start").alias("window_start"), "customer_id", "event_count",
         _map_text("channel_counts"), "last_activity"))
@@ -368,17 +382,13 @@ def sliding_channel_counts(spark, sf_dir):
 @query("feature_upsert")
 def feature_upsert(spark, sf_dir):
     path = shared_folder(spark, "features")
-    sources.append_log(t.stored_writes(spark, sf_dir), path, "written_at")
+    features.append_features(t.stored_writes(spark, sf_dir), path, t.STORE_TTL_SECONDS)
     return present(features.latest_features(spark.read.parquet(path)))
 
 
-def _request_keys(spark, sf_dir) -> DataFrame:
-    return t.requests(spark, sf_dir).select("request_id", "customer_id", "timestamp")
-
-
 @query("feature_lookup")
 def feature_lookup(spark, sf_dir):
-    found = features.lookup_features(_request_keys(spark, sf_dir),
+    found = features.lookup_features(t.request_keys(spark, sf_dir),
                                      t.stored_writes(spark, sf_dir), t.STORED_FEATURES)
     values = [F.col(f"stored_{n}").cast("double").alias(f"stored_{n}")
               for n in t.STORED_FEATURES]
@@ -407,8 +417,8 @@ def merged_features(spark, sf_dir):
     return present(merged.withColumns(nullable))
 
 
-def _labels(spark, sf_dir) -> dict[str, list[str]]:
-    """Label lists of the text features; regions and brands are small dimension columns."""
+def _labels(spark, sf_dir) -> dict:
+    """Labels of the text features: the channels are a fixed list, the others come from data."""
     return {
         "channel": list(CHANNELS),
         "region": features.category_labels(t.table(spark, sf_dir, "region"), "r_name"),
@@ -455,7 +465,35 @@ def score_batch(spark, sf_dir):
     fitted = models.fit_models(labelled, "next_best_action")
     scored = scoring.score_pipelines(
         labelled.withColumn("input", array_to_vector("features")), fitted)
-    return scored.select("request_id", "model_name", "prediction", "confidence")
+    each = [F.round(F.col("probability")[i], 6).alias(f"p{i}") for i in range(5)]
+    return present(scored.select("request_id", "model_name", "prediction", "confidence", *each))
+
+
+@query("score_mixed")
+def score_mixed(spark, sf_dir):
+    """A linear and a foreign model side by side, each row scored by its own."""
+    ready = stored(_ready(spark, sf_dir, t.requests(spark, sf_dir)), "scoring-input")
+    names = list(models.LINEAR_MODELS)
+    scored = scoring.score_routed(ready, {
+        names[0]: _linear,
+        names[1]: lambda rows: scoring.score_batches(
+            rows, models.load_foreign(names[1]), len(FEATURE_NAMES))})
+    return present(scored.select("request_id", "model_name", "prediction", "confidence"))
+
+
+@query("fallback_responses")
+def fallback_responses(spark, sf_dir):
+    """One group's model is not loaded: its rows get the fallback, and no log entry."""
+    name = next(iter(models.LINEAR_MODELS))
+    loaded = {name: models.LINEAR_MODELS[name]}
+    answered = rec.recommend(
+        t.requests(spark, sf_dir), t.stored_writes(spark, sf_dir), t.sessions(spark, sf_dir),
+        _labels(spark, sf_dir), models.VERSIONS,
+        lambda table: scoring.score_linear(table, loaded), t.STORED_FEATURES, ("request_id",))
+    logged = rec.experiment_log(answered).select("request_id", F.lit(True).alias("_logged"))
+    shown = answered.join(logged, "request_id", "left").withColumn(
+        "logged", F.coalesce("_logged", F.lit(False))).drop("_logged")
+    return present(shown)
 
 
 @query("onehot_proba")
@@ -487,10 +525,26 @@ def encode_responses_batch(spark, sf_dir):
 @query("experiment_log")
 def experiment_log(spark, sf_dir):
     path = shared_folder(spark, "experiment-log")
-    responses = _recommend(spark, sf_dir, t.requests(spark, sf_dir), ())
+    responses = _recommend(spark, sf_dir, t.requests(spark, sf_dir))
     sources.append_log(rec.experiment_log(responses), path)
-    return present(spark.read.parquet(path).select("customer_id", "test_name", "group", "outcome",
-        F.col("metrics")["confidence"].alias("confidence"), "timestamp"))
+    return _experiment_log_shown(spark.read.parquet(path))
+
+
+def _experiment_log_shown(log: DataFrame) -> DataFrame:
+    return present(log.select("request_id", "customer_id", "test_name", "group", "outcome",
+                              F.col("metrics")["confidence"].alias("confidence"), "timestamp"))
+
+
+@query("session_table")
+def session_table(spark, sf_dir):
+    """Sessions kept as a table with a folder per day of their start."""
+    return present(spark.read.parquet(_session_table(spark, sf_dir)))
+
+
+def _session_table(spark, sf_dir) -> str:
+    path = shared_folder(spark, "sessions")
+    sources.append_log(t.sessions(spark, sf_dir), path, "start_time")
+    return path
 
 
 @query("latest_results")
@@ -559,7 +613,7 @@ def _event_stream(spark, sf_dir, closing: bool = False) -> DataFrame:
     def prepared(raw):
         return t.event_rows(raw.withColumn("ts", F.col("ts").cast("timestamp")))
 
-    stream = prepared(file_stream(spark, sf_dir, EVENT_TABLE, pathGlobFilter="events.parquet"))
+    stream = prepared(file_stream(spark, f"{sf_dir}/events.parquet", EVENT_TABLE))
     if not closing:
         return stream
     path = shared_folder(spark, "closing")
@@ -578,6 +632,10 @@ def _drained(start: Callable, spark: SparkSession, label: str) -> str:
     path = shared_folder(spark, label)
     running = start(path, f"{path}-checkpoint", {"availableNow": True})
     running.awaitTermination()
+    read = [source.numInputRows for progress in running.recentProgress
+            for source in progress.sources]
+    if not any(read):
+        raise RuntimeError(f"{label}: the stream read nothing")
     return path
 
 
@@ -603,7 +661,7 @@ def parse_events_stream(spark, sf_dir):
 @query("sliding_activity_stream")
 def sliding_activity_stream(spark, sf_dir):
     parsed = parse_events(t.event_messages(_event_stream(spark, sf_dir, closing=True)))
-    activity = sliding_activity(features.time_features(parsed), watermark=DELAY)
+    activity = sliding_activity(features.time_features(parsed), watermark=DELAY, spell_out=True)
     sunk = _sunk(spark, activity, "activity-stream")
     return _activity_shown(sunk.filter(F.col("customer_id") != str(CLOSING_USER)))
 
@@ -625,8 +683,13 @@ def action_distribution_stream(spark, sf_dir):
 @query("alert_windows_stream")
 def alert_windows_stream(spark, sf_dir):
     log = t.service_log_rows(_event_stream(spark, sf_dir, closing=True))
-    sunk = _sunk(spark, stream_alerts(log, DELAY), "alerts-stream")
-    return present(_before_closing(spark, sf_dir, sunk, "timestamp"))
+    minutes = shared_folder(spark, "alert-minutes")
+
+    def start(path, checkpoint, trigger):
+        return start_alerts(log, DELAY, minutes, path, checkpoint, trigger)
+
+    found = spark.read.parquet(_drained(start, spark, "alerts-stream"))
+    return present(found.drop("run_id", "batch_id"))
 
 
 def _message_stream(spark, sf_dir) -> DataFrame:
@@ -634,22 +697,39 @@ def _message_stream(spark, sf_dir) -> DataFrame:
     return t.request_messages(t.request_rows(rows, t.customer_places(spark, sf_dir)), rows)
 
 
-@query("recommendations_stream")
-def recommendations_stream(spark, sf_dir):
+def _start_answers(spark, sf_dir, log_path=None):
+    """The recommendation stream over a feature store and a session table with day folders."""
     labels = _labels(spark, sf_dir)
+    store, sessions = shared_folder(spark, "features"), _session_table(spark, sf_dir)
+    features.append_features(t.stored_writes(spark, sf_dir), store, t.STORE_TTL_SECONDS)
 
     def answer(batch: DataFrame) -> DataFrame:
         responses = rec.recommend(
-            batch, t.stored_writes(spark, sf_dir), t.sessions(spark, sf_dir), labels,
-            models.VERSIONS, _linear, t.STORED_FEATURES,
+            batch, spark.read.parquet(store), spark.read.parquet(sessions), labels,
+            models.VERSIONS, _linear, t.STORED_FEATURES, max_session_days=1,
             max_ttl_seconds=t.STORE_TTL_SECONDS, requested_keys_only=True)
         return responses.withColumn("confidence_score", F.round("confidence_score", 4))
 
     def start(path, checkpoint, trigger):
         return start_recommendations(_message_stream(spark, sf_dir), answer, path, checkpoint,
-                                     trigger)
+                                     trigger, log_path)
+
+    return start
+
+
+@query("recommendations_stream")
+def recommendations_stream(spark, sf_dir):
+    answers = _drained(_start_answers(spark, sf_dir), spark, "responses-stream")
+    return spark.read.parquet(answers).select("key", "value")
+
 
-    return spark.read.parquet(_drained(start, spark, "responses-stream")).select("key", "value")
+@query("experiment_log_stream")
+def experiment_log_stream(spark, sf_dir):
+    log = shared_folder(spark, "experiment-log-stream")
+    _drained(_start_answers(spark, sf_dir, log), spark, "responses-stream")
+    return present(spark.read.parquet(log).select(
+        "customer_id", "test_name", "group", "outcome",
+        F.col("metrics")["confidence"].alias("confidence"), "timestamp"), digits=4)
 
 
 @query("rejected_requests_stream")
@@ -667,4 +747,5 @@ def request_log_stream(spark, sf_dir):
     def start(path, checkpoint, trigger):
         return write_batches(log, rec.request_log, path, checkpoint, trigger)
 
-    return present(spark.read.parquet(_drained(start, spark, "log-stream")).drop("batch_id"))
+    return present(spark.read.parquet(_drained(start, spark, "log-stream"))
+                   .drop("run_id", "batch_id"))

@@ -227,6 +227,27 @@ def stored_writes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return feature_writes(views, STORED_FEATURES, ttl_seconds=STORE_TTL_SECONDS)
 
 
+def request_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Id, customer and time of the requests, without the joins for what else they carry."""
+    return events(spark, sf_dir).filter(F.col("event_type") != "view").select(
+        F.col("event_id").alias("request_id"), "customer_id", "timestamp")
+
+
+def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A predicted probability per order, from its priority."""
+    return table(spark, sf_dir, "orders").select(
+        "o_orderkey", (F.substring("o_orderpriority", 1, 1).cast("int") / 10)
+        .alias("predicted_conversion"))
+
+
+def order_history_predicted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    joined = table(spark, sf_dir, "orders").join(predictions(spark, sf_dir), "o_orderkey")
+    return joined.select(
+        F.date_format("o_orderdate", "yyyy-MM-dd").alias("date"),
+        (F.col("o_orderstatus") == "F").cast("int").alias("converted"),
+        F.col("o_totalprice").alias("revenue"), "predicted_conversion")
+
+
 def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return build_sessions(events(spark, sf_dir))
 
@@ -236,6 +257,7 @@ def service_log_rows(rows: DataFrame) -> DataFrame:
     bucket = hash_bucket(F.col("customer_id"), F.lit("model_version_test"))
     group = F.when(bucket < 50, "A").otherwise("B")
     return rows.select(
+        F.col("event_id").alias("request_id"),
         "customer_id", action_label(F.col("event_id") % 5).alias("recommended_action"),
         (F.col("k") / 100).alias("confidence_score"),
         (F.col("value") * 10).alias("latency_ms"), "timestamp",

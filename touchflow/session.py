@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -36,13 +35,11 @@ def build_session(app_name: str, master: str | None = None, **overrides: str) ->
 def shared_folder(spark: SparkSession, label: str) -> str:
     """A new folder name below ``spark.checkpoint.dir``, which every executor can reach.
 
-    Only a local session, where driver and executors are one machine, may do without the setting.
+    Where that is unset, a folder in the warehouse, which all executors share too.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
-        root = tempfile.mkdtemp(prefix="touchflow-")
+        root = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/work"
     return f"{root.rstrip('/')}/touchflow/{label}-{uuid.uuid4().hex}"
 
 
@@ -54,3 +51,9 @@ def stored(table: DataFrame, label: str) -> DataFrame:
     path = shared_folder(table.sparkSession, label)
     table.write.parquet(path)
     return table.sparkSession.read.parquet(path)
+
+
+def discarded(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of ``shared_folder`` that no later step reads."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)

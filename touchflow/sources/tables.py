@@ -57,23 +57,35 @@ def read_customers(spark: SparkSession, path: str, fmt: str = "csv") -> DataFram
     return read_table(spark, path, CUSTOMER_COLUMNS, fmt)
 
 
-def collect_channels(spark: SparkSession, configs: Mapping[str, Mapping[str, str]]
-                     ) -> dict[str, DataFrame]:
+class Channels(dict):
+    """Tables by channel; ``left_out`` has the reason for each that could not be opened."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.left_out: dict[str, str] = {}
+
+
+def collect_channels(spark: SparkSession, configs: Mapping[str, Mapping[str, str]],
+                     strict: bool = False) -> Channels:
     """Lazy scans of the configured channels, ``{channel: {"path": ..., "format": ...}}``.
 
-    A source that cannot be opened is logged and left out.  Row counts cost a pass over the data,
+    A source that cannot be opened is logged and named in the result's ``left_out``, so that a
+    caller knows what its journeys lack; with ``strict`` it is an error.  Row counts cost a pass over the data,
     so they are a separate query (``channel_counts``) instead of one job per source here.
     """
     unknown = sorted(set(configs) - set(CHANNEL_COLUMNS))
     if unknown:
         raise ValueError(f"unknown channels: {', '.join(unknown)}")
-    tables = {}
+    tables = Channels()
     for channel, config in configs.items():
         try:
             tables[channel] = read_channel(spark, channel, config["path"],
                                            config.get("format", "csv"))
         except (PySparkException, KeyError) as error:
+            if strict:
+                raise
             log.error("channel %s left out: %s", channel, error)
+            tables.left_out[channel] = str(error)
     return tables
 
 
@@ -92,6 +104,9 @@ def save_table(table: DataFrame, path: str, fmt: str = "parquet", mode: str = "o
 
 
 def append_log(rows: DataFrame, path: str, time_col: str = "timestamp") -> None:
-    """Append to a Parquet log partitioned by day, so time filters prune whole folders."""
-    dated = rows.withColumn("log_date", F.to_date(time_col))
+    """Append to a Parquet log partitioned by day, so time filters prune whole folders.
+
+    Rows are dealt by day first, so a day gets few files; adaptive execution splits a large day.
+    """
+    dated = rows.withColumn("log_date", F.to_date(time_col)).hint("rebalance", "log_date")
     save_table(dated, path, mode="append", partition_by=["log_date"])

@@ -41,8 +41,8 @@ def _windows_in_place(panes: DataFrame, window_minutes: int, slide_minutes: int)
 
 def sliding_activity(events: DataFrame, window_minutes: int = WINDOW_MINUTES,
                      slide_minutes: int = SLIDE_MINUTES, watermark: str | None = None,
-                     at: str = "timestamp", spell_out: bool = True) -> DataFrame:
-    """Per window and customer: event count, channels used and last activity.
+                     at: str = "timestamp", spell_out: bool = False) -> DataFrame:
+    """Per window and customer: event count, count of each channel and last activity.
 
     Events are first counted in panes (minutes, customer, channel), and the panes are then added
     up into the windows that cover them.  Busy customers so shrink before rows multiply, and
@@ -50,9 +50,9 @@ def sliding_activity(events: DataFrame, window_minutes: int = WINDOW_MINUTES,
     the panes are hashed by customer and block of time, so that the copies of a pane for its
     ``window / slide`` windows are made and added up in place, without another shuffle.
 
-    ``channels_used`` lists the channel of every event, sorted, repeats kept.  It is spelled out
-    from the counts and as long as the window has events; ``spell_out=False`` gives the counts
-    themselves, ``channel_counts``, whose size is that of the channel set.
+    ``channel_counts`` maps each channel to its events; its size is that of the channel set.  With
+    ``spell_out``, ``channels_used`` lists the channel of every event in its place, sorted, repeats
+    kept: for windows known to be small, as the list is as long as the window has events.
 
     A stream needs ``watermark``, the longest delay of an event; later events are dropped and
     windows are final once the watermark passes them.
