@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import argparse
 import sys
+import tempfile
 import time
 from pathlib import Path
 
@@ -61,6 +62,7 @@ def main() -> int:
     parser.add_argument("--width", type=int, default=400, help="characters shown per error")
     options = parser.parse_args()
     spark = build_session("compare", "local[8]", spark__sql__shuffle__partitions="8",
+                          spark__checkpoint__dir=tempfile.mkdtemp(prefix="compare-"),
                           spark__ui__enabled="false",
                           spark__ui__showConsoleProgress="false")
     spark.sparkContext.setLogLevel("ERROR")

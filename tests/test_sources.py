@@ -138,3 +138,12 @@ def test_a_log_gets_few_files_per_day(spark, tmp_path):
     assert sum(len(list(d.glob("*.parquet"))) for d in days) <= 20
     assert spark.read.parquet(str(path)).count() == 4000
     assert spark.read.parquet(str(path)).agg({"timestamp": "min"}).first()[0] >= datetime(2024, 1, 1)
+
+
+def test_a_repeated_batch_adds_nothing_to_a_log(spark, tmp_path):
+    path = str(tmp_path / "log")
+    rows = spark.range(100).selectExpr("id", "timestamp_seconds(id * 3600) AS timestamp")
+    for batch in ("a", "a", "b"):
+        sources.append_log(rows, path, batch_id=batch)
+    log = spark.read.parquet(path)
+    assert log.count() == 200 and log.filter("batch_id = 'a'").count() == 100

@@ -526,7 +526,7 @@ def encode_responses_batch(spark, sf_dir):
 def experiment_log(spark, sf_dir):
     path = shared_folder(spark, "experiment-log")
     responses = _recommend(spark, sf_dir, t.requests(spark, sf_dir))
-    sources.append_log(rec.experiment_log(responses), path)
+    sources.append_log(rec.experiment_log(responses), path, batch_id="requests")
     return _experiment_log_shown(spark.read.parquet(path))
 
 
@@ -558,8 +558,8 @@ def latest_results(spark, sf_dir):
 @query("request_log")
 def request_log(spark, sf_dir):
     path = shared_folder(spark, "request-log")
-    sources.append_log(rec.request_log(t.service_log(spark, sf_dir)), path)
-    return present(spark.read.parquet(path).drop("log_date"))
+    sources.append_log(rec.request_log(t.service_log(spark, sf_dir)), path, batch_id="events")
+    return present(spark.read.parquet(path).drop("log_date", "batch_id"))
 
 
 @query("requests_per_minute")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+import weakref
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -43,6 +44,10 @@ def shared_folder(spark: SparkSession, label: str) -> str:
     return f"{root.rstrip('/')}/touchflow/{label}-{uuid.uuid4().hex}"
 
 
+# Where stored tables lie, for ``released``.
+_PLACES: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+
+
 def stored(table: DataFrame, label: str) -> DataFrame:
     """The table written to the shared folder and read back.
 
@@ -50,10 +55,15 @@ def stored(table: DataFrame, label: str) -> DataFrame:
     """
     path = shared_folder(table.sparkSession, label)
     table.write.parquet(path)
-    return table.sparkSession.read.parquet(path)
+    result = table.sparkSession.read.parquet(path)
+    _PLACES[result] = path
+    return result
 
 
-def discarded(spark: SparkSession, path: str) -> None:
-    """Deletes a folder of ``shared_folder`` that no later step reads."""
-    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+def released(table: DataFrame) -> None:
+    """Deletes a stored table that no later step reads; nothing happens to any other table."""
+    path = _PLACES.pop(table, None)
+    if path is not None:
+        spark = table.sparkSession.sparkContext
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)

@@ -103,10 +103,18 @@ def save_table(table: DataFrame, path: str, fmt: str = "parquet", mode: str = "o
     writer.save(path)
 
 
-def append_log(rows: DataFrame, path: str, time_col: str = "timestamp") -> None:
+def append_log(rows: DataFrame, path: str, time_col: str = "timestamp",
+               batch_id: str | None = None) -> None:
     """Append to a Parquet log partitioned by day, so time filters prune whole folders.
 
     Rows are dealt by day first, so a day gets few files; adaptive execution splits a large day.
+    A named batch owns a folder in each of its days and replaces it when it is written again, so
+    a repeat adds nothing.
     """
     dated = rows.withColumn("log_date", F.to_date(time_col)).hint("rebalance", "log_date")
-    save_table(dated, path, mode="append", partition_by=["log_date"])
+    if batch_id is None:
+        save_table(dated, path, mode="append", partition_by=["log_date"])
+        return
+    (dated.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite")
+     .option("partitionOverwriteMode", "dynamic").partitionBy("log_date", "batch_id")
+     .parquet(path))
