@@ -254,8 +254,8 @@ def links(nodes: DataFrame, block: int = BLOCK) -> DataFrame:
     own = F.pmod(F.xxhash64("fp"), F.col("cut")).cast("int")
     members = found.join(sizes, ["part", "value"]).withColumn("cut", cut).withColumn("own", own) \
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cut") - 1))) \
-        .groupBy("part", "value", F.least("own", "other").alias("i"),
-                 F.greatest("own", "other").alias("j")) \
+        .withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")) \
+        .groupBy("part", "value", "i", "j") \
         .agg(F.collect_set("fp").alias("members")).where(F.size("members") > 1)
     return members.select("members").mapInArrow(_verify, "a long, b long")
 
@@ -284,15 +284,19 @@ def groups(docs: DataFrame) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The document with the smallest id of each group; other columns settle equal ids."""
-    row = F.xxhash64(*docs.columns).alias("__row")
-    prints = stored(fingerprints(docs, F.col("doc_id").alias("__id"), row), "simhash")
+    """The document with the smallest id of each group; other columns settle equal ids.
+
+    A row is named by two 64-bit hashes of all its columns.  The texts are shuffled once, by that
+    name, for the join with the rows that stay and for dropping repeats of these.
+    """
+    name = ["__row", "__more"]
+    hashes = [F.xxhash64(*docs.columns).alias(name[0]),
+              F.xxhash64(F.lit(SEED), *docs.columns).alias(name[1])]
+    prints = stored(fingerprints(docs, F.col("doc_id").alias("__id"), *hashes), "simhash")
     roots = _grouped(prints)
     rooted = prints.join(roots, prints["fp"] == roots["node"], "left")
     best = rooted.groupBy(F.coalesce("root", "fp")).agg(F.min(F.struct(
-        F.col("__id").isNull(), "__id", "__row")).alias("best")).select("best.__id", "best.__row")
-    keyed = docs.withColumn("__row", row)
-    kept = keyed.join(best.withColumnRenamed("__id", "__best"),
-                      keyed["doc_id"].eqNullSafe(F.col("__best")) & (
-                          keyed["__row"] == best["__row"]), "left_semi")
-    return kept.dropDuplicates(["doc_id", "__row"]).select(*docs.columns)
+        F.col("__id").isNull(), "__id", *name)).alias("best")).select(
+        *[F.col(f"best.{n}").alias(n) for n in name])
+    return docs.select("*", *hashes).join(best, name, "left_semi") \
+        .dropDuplicates(name).select(*docs.columns)
