@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from touchflow.llm.components import components
-from touchflow.session import stored
+from touchflow.session import released, stored
 
 THRESHOLD = 0.93
 NEIGHBOURS = 8
@@ -179,10 +179,14 @@ def first_lists(nodes: DataFrame, k: int, seed: int) -> DataFrame:
                                "node long, unit binary"), "neardup-cells")
     key = ["tree", "label", "dim", "code"]
     cut = cells.groupBy(*key).agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("cut"))
-    blocks = cells.join(cut, key).groupBy(*key, F.pmod(
-        F.xxhash64("tree", "node"), F.col("cut")).alias("own")).agg(
+    # Dealt by block: else a large cell would stay in the task that the join put it in.
+    blocks = cells.join(cut, key).withColumn("own", F.pmod(
+        F.xxhash64("tree", "node"), F.col("cut"))).repartition(*key, "own") \
+        .groupBy(*key, "own").agg(
         F.collect_list(F.struct("node", "unit")).alias("members")).where(F.size("members") > 1)
-    return _lists(blocks.select("members").mapInArrow(_nearest(k), _FOUND), k, "neardup-lists")
+    lists = _lists(blocks.select("members").mapInArrow(_nearest(k), _FOUND), k, "neardup-lists")
+    released(cells)
+    return lists
 
 
 def _pairs(lists: DataFrame) -> DataFrame:
@@ -301,8 +305,9 @@ def degrees(rooted: DataFrame, threshold: float) -> DataFrame:
     members = rooted.join(sizes, "root").withColumn("cut", cut).withColumn(
         "own", F.pmod(F.xxhash64("node"), F.col("cut")).cast("int")).withColumn(
         "other", F.explode(F.sequence(F.lit(0), F.col("cut") - 1)))
-    blocks = members.groupBy("root", F.least("own", "other").alias("i"),
-                             F.greatest("own", "other").alias("j")).agg(
+    blocks = members.withColumn("i", F.least("own", "other")).withColumn(
+        "j", F.greatest("own", "other")).repartition("root", "i", "j") \
+        .groupBy("root", "i", "j").agg(
         F.collect_list(F.struct("node", "times", "own", "exact")).alias("members"))
     return blocks.select("i", "j", "members").mapInArrow(_count(threshold), "node long, n long") \
         .groupBy("node").agg(F.sum("n").alias("n"))
@@ -316,7 +321,8 @@ def near_duplicates(table: DataFrame, threshold: float = THRESHOLD,
                    "neardup-vectors")
     lists = first_lists(nodes, neighbours, SEED)
     for turn in range(ROUNDS):
-        lists = next_lists(nodes, lists, neighbours)
+        before, lists = lists, next_lists(nodes, lists, neighbours)
+        released(before)
         roots = components(links(nodes, lists, threshold), "neardup")
         rooted = stored(nodes.drop("unit").join(
             roots.withColumnRenamed("node", "linked"), F.col("node") == F.col("linked"), "left")
