@@ -75,5 +75,21 @@ def test_the_audit_sees_missing_links(spark):
     _, raw = neardup.nodes_of(table)
     nodes = raw.select("node", "label", "first", "times", "v").mapInArrow(
         neardup._encode, neardup._NODES)
-    apart = nodes.drop("unit").selectExpr("*", "node AS root")
+    apart = nodes.selectExpr("*", "node AS root")
     assert neardup.audited_recall(apart, 0.93) == pytest.approx(0.0)
+
+
+def test_one_link_between_two_dense_clusters_is_found(spark):
+    """All 30 nearest of either end are in its own cluster."""
+    angle = np.arccos(0.93) * 0.999
+    draw = np.random.default_rng(3)
+    rows = []
+    for cluster, at in enumerate((0.0, angle)):
+        for i in range(30):  # behind the ends, seen from the other cluster
+            turn = 0.02 * i * (1 if cluster else -1)
+            v = [np.cos(at + turn), np.sin(at + turn), *(1e-4 * draw.normal(size=6))]
+            rows.append((100 * cluster + i, [float(x) for x in v], 1))
+    rows += [(1000 + i, draw.normal(size=8).tolist(), 1) for i in range(100)]
+    expected = brute(rows)
+    assert {c for i, _, c, _ in expected if i < 200} == {0}
+    assert run(spark, rows) == expected

@@ -3,10 +3,12 @@
 Equal vectors of one label are one node. A first neighbour graph comes from random hyperplane cells
 that are compared inside; each round then compares the neighbours of every node, in both
 directions, with one another and keeps the nearest for each. Pairs at or above the threshold, verified in
-double precision, are links. A node whose list holds nothing but links is saturated: its list is
-enlarged to all members of its component, whose pairs are counted block by block. After each round
-recall is audited: for a fixed number of nodes all others of their label are compared, and a
-linked pair counts as found if both are in one component. Rounds go on until the target is met.
+double precision, are links. A node whose list holds nothing but links is saturated and may have
+more: its list is enlarged by its component, whose pairs are all counted block by block, and by the
+nearest nodes outside of it, which are searched in the same way until no saturated node finds a
+link to another component. After each round recall is audited: for a fixed number of nodes all
+others of their label are compared, and a linked pair counts as found if both are in one component.
+Rounds go on until the target is met.
 
 Edge cases: vectors that are null, zero, empty or hold null or non-finite components, and those
 without a label, are returned without links; vectors of different lengths never link; rows without
@@ -89,6 +91,9 @@ def _rows(blobs: list[bytes], kind: str = "<f4") -> np.ndarray:
     return np.frombuffer(b"".join(blobs), kind).reshape(len(blobs), -1)
 
 
+_CELL = ["tree", "code", "label", "dim", "node", "unit", "root", "wanted"]
+
+
 def _cells(trees: int, seed: int):
     """(tree, code) of each node: signs at as many random hyperplanes as its label needs."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -108,9 +113,8 @@ def _cells(trees: int, seed: int):
                     used = np.arange(40)[None, :] < bits[at][:, None]
                     code[at] = (signs & used) @ (1 << np.arange(40, dtype=np.int64))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(dims), tree, np.int32)), batch["label"], batch["dim"],
-                     pa.array(code), batch["node"], batch["unit"]],
-                    ["tree", "label", "dim", "code", "node", "unit"])
+                    [pa.array(np.full(len(dims), tree, np.int32)), pa.array(code),
+                     *(batch[c] for c in _CELL[2:])], _CELL)
 
     return run
 
@@ -127,36 +131,40 @@ def _found(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> Iterator[p
 
 
 def _nearest(k: int):
-    """The k nearest of each member among the members of its cell."""
+    """The k nearest members of a cell outside a member's component, for the wanted ones."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             parts = []
             for members in batch["members"]:
                 members = members.values
                 node = members.field("node").to_numpy(zero_copy_only=False)
+                root = members.field("root").to_numpy(zero_copy_only=False)
                 rows = _rows(members.field("unit").to_pylist())
-                sims = rows @ rows.T
-                np.fill_diagonal(sims, -2)
+                own = np.flatnonzero(members.field("wanted").to_numpy(zero_copy_only=False))
+                sims = rows[own] @ rows.T
+                sims[root[own, None] == root[None, :]] = -2
                 keep = min(k, len(node) - 1)
                 best = np.argpartition(-sims, keep - 1, axis=1)[:, :keep]
-                parts.append((np.repeat(node, keep), node[best].ravel(),
-                              np.take_along_axis(sims, best, axis=1).ravel()))
+                best_sims = np.take_along_axis(sims, best, axis=1)
+                a, b = np.nonzero(best_sims > -2)
+                parts.append((node[own][a], node[best[a, b]], best_sims[a, b]))
             yield from _found(parts)
 
     return run
 
 
 def _join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of a node's neighbours that improve the list of the first."""
+    """Pairs of a node's neighbours, of two components, that improve the list of the first."""
     for batch in batches:
         parts = []
         for members in batch["members"]:
             members = members.values
             node = members.field("node").to_numpy(zero_copy_only=False)
+            root = members.field("root").to_numpy(zero_copy_only=False)
             kth = members.field("kth").to_numpy(zero_copy_only=False)
             rows = _rows(members.field("unit").to_pylist())
             sims = rows @ rows.T
-            np.fill_diagonal(sims, -2)
+            sims[root[:, None] == root[None, :]] = -2
             a, b = np.nonzero(sims > kth[:, None])
             parts.append((node[a], node[b], sims[a, b]))
         yield from _found(parts)
@@ -170,20 +178,24 @@ def _lists(found: DataFrame, k: int, label: str) -> DataFrame:
     return stored(once.groupBy("node").agg(best.alias("best")), label)
 
 
-def first_lists(nodes: DataFrame, k: int, seed: int) -> DataFrame:
+def cell_lists(nodes: DataFrame, k: int, seed: int) -> DataFrame:
+    """Lists of the ``wanted`` nodes from the cells of random hyperplanes, without members of their
+    own component ``root``."""
     sizes = nodes.groupBy("label", "dim").agg(F.count(F.lit(1)).alias("n")).select(
         "label", "dim", F.greatest(F.lit(0), F.ceil(F.log2(F.col("n") / CELL)))
         .cast("int").alias("bits"))
-    cells = stored(nodes.select("node", "label", "dim", "unit").join(sizes, ["label", "dim"])
-                   .mapInArrow(_cells(TREES, seed), "tree int, label long, dim int, code long, "
-                               "node long, unit binary"), "neardup-cells")
+    cells = stored(nodes.select(*_CELL[2:]).join(sizes, ["label", "dim"]).mapInArrow(
+        _cells(TREES, seed), "tree int, code long, label long, dim int, node long, unit binary, "
+        "root long, wanted boolean"), "neardup-cells")
     key = ["tree", "label", "dim", "code"]
-    cut = cells.groupBy(*key).agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("cut"))
+    cut = cells.groupBy(*key).agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("cut"),
+                                  F.bool_or("wanted").alias("any")).where("any").drop("any")
     # Dealt by block: else a large cell would stay in the task that the join put it in.
     blocks = cells.join(cut, key).withColumn("own", F.pmod(
         F.xxhash64("tree", "node"), F.col("cut"))).repartition(*key, "own") \
-        .groupBy(*key, "own").agg(
-        F.collect_list(F.struct("node", "unit")).alias("members")).where(F.size("members") > 1)
+        .groupBy(*key, "own").agg(F.collect_list(F.struct(
+            "node", "unit", "root", "wanted")).alias("members")) \
+        .where((F.size("members") > 1) & F.exists("members", lambda m: m["wanted"]))
     lists = _lists(blocks.select("members").mapInArrow(_nearest(k), _FOUND), k, "neardup-lists")
     released(cells)
     return lists
@@ -193,20 +205,35 @@ def _pairs(lists: DataFrame) -> DataFrame:
     return lists.select("node", F.explode("best").alias("b")).select("node", "b.nbr", "b.sim")
 
 
-def next_lists(nodes: DataFrame, lists: DataFrame, k: int) -> DataFrame:
+def next_lists(nodes: DataFrame, lists: DataFrame, k: int,
+               around_too: DataFrame | None = None) -> DataFrame:
     """One round: neighbours of neighbours. The members around a node that many point to are dealt
-    to several comparisons."""
+    to several comparisons.
+
+    Lists are those of the ``wanted`` nodes. ``around_too`` are other lists that say who is around
+    a node; only nodes with a wanted one around are looked at.
+    """
     pairs = _pairs(lists)
-    around = pairs.select(F.col("node").alias("c"), F.col("nbr").alias("node")).unionByName(
-        pairs.select(F.col("nbr").alias("c"), "node")).distinct()
+    linked = pairs.select("node", "nbr")
+    if around_too is not None:
+        linked = linked.unionByName(_pairs(around_too).select("node", "nbr"))
+    around = linked.select(F.col("node").alias("c"), F.col("nbr").alias("node")).unionByName(
+        linked.select(F.col("nbr").alias("c"), "node")).distinct()
+    if around_too is not None:
+        wanted = nodes.where("wanted").select("node")
+        around = around.join(around.join(wanted, "node").select("c").distinct(), "c", "left_semi")
     cut = around.groupBy("c").agg(F.ceil(F.count(F.lit(1)) / JOIN).cast("int").alias("cut"))
     kth = lists.select("node", F.when(
-        F.size("best") >= k, F.element_at("best", -1)["sim"]).otherwise(-1.0).alias("kth"))
-    held = nodes.select("node", "unit").join(kth, "node")
+        F.size("best") >= k, F.element_at("best", -1)["sim"]).alias("least"))
+    # No similarity improves the list of a node that is not wanted.
+    held = nodes.select("node", "unit", "root", "wanted").join(kth, "node", "left").select(
+        "node", "unit", "root", F.when(F.col("wanted"), F.coalesce("least", F.lit(-1.0)))
+        .otherwise(2.0).cast("float").alias("kth"))
     groups = around.join(cut, "c").withColumn(
         "own", F.pmod(F.xxhash64("c", "node"), F.col("cut"))).join(held, "node") \
-        .groupBy("c", "own").agg(F.collect_list(F.struct("node", "kth", "unit")).alias("members")) \
-        .where(F.size("members") > 1)
+        .groupBy("c", "own").agg(
+            F.collect_list(F.struct("node", "kth", "unit", "root")).alias("members")) \
+        .where((F.size("members") > 1) & F.exists("members", lambda m: m["kth"] < 2))
     found = groups.select("members").mapInArrow(_join, _FOUND)
     return _lists(found.unionByName(pairs), k, "neardup-lists")
 
@@ -313,20 +340,42 @@ def degrees(rooted: DataFrame, threshold: float) -> DataFrame:
         .groupBy("node").agg(F.sum("n").alias("n"))
 
 
+def _rooted(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    roots = components(edges, "neardup")
+    return stored(nodes.drop("root").join(
+        roots.withColumnRenamed("node", "linked"), F.col("node") == F.col("linked"), "left")
+        .drop("linked").withColumn("root", F.coalesce("root", "node")), "neardup-rooted")
+
+
+def links_beyond(rooted: DataFrame, lists: DataFrame, k: int, threshold: float, seed: int
+                 ) -> DataFrame:
+    """Links of saturated nodes to other components."""
+    full = lists.where((F.size("best") >= k) & (
+        F.element_at("best", -1)["sim"] >= threshold - SLACK)).select("node", F.lit(True).alias("full"))
+    nodes = stored(rooted.drop("wanted").join(full, "node", "left").withColumn(
+        "wanted", F.coalesce("full", F.lit(False))).drop("full"), "neardup-saturated")
+    outside = next_lists(nodes, cell_lists(nodes, k, seed), k, lists)
+    return stored(links(nodes, outside, threshold), "neardup-beyond")
+
+
 def near_duplicates(table: DataFrame, threshold: float = THRESHOLD,
                     neighbours: int = NEIGHBOURS) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of every row."""
     rows, raw = nodes_of(table)
-    nodes = stored(raw.select("node", "label", "first", "times", "v").mapInArrow(_encode, _NODES),
+    nodes = stored(raw.select("node", "label", "first", "times", "v").mapInArrow(_encode, _NODES)
+                   .withColumn("root", F.col("node")).withColumn("wanted", F.lit(True)),
                    "neardup-vectors")
-    lists = first_lists(nodes, neighbours, SEED)
-    for turn in range(ROUNDS):
+    lists, seed = cell_lists(nodes, neighbours, SEED), SEED
+    for _ in range(ROUNDS):
         before, lists = lists, next_lists(nodes, lists, neighbours)
         released(before)
-        roots = components(links(nodes, lists, threshold), "neardup")
-        rooted = stored(nodes.drop("unit").join(
-            roots.withColumnRenamed("node", "linked"), F.col("node") == F.col("linked"), "left")
-            .drop("linked").withColumn("root", F.coalesce("root", "node")), "neardup-rooted")
+        edges = stored(links(nodes, lists, threshold), "neardup-links")
+        while True:  # each turn joins components, so it ends
+            rooted, seed = _rooted(nodes, edges), seed + 1
+            more = links_beyond(rooted, lists, neighbours, threshold, seed)
+            if not more.limit(1).count():
+                break
+            edges = stored(edges.unionByName(more), "neardup-links")
         recall = audited_recall(rooted, threshold)
         if recall >= TARGET:
             break
