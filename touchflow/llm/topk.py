@@ -29,13 +29,20 @@ from pyspark.sql import functions as F
 from touchflow.session import stored
 
 SCALE = 256.0
-#: Vectors of a shard, of a leaf, and queries of a block.
-SHARD, LEAF, BLOCK = 4096, 64, 256
+#: Vectors of a shard at most, of a leaf, and queries of a block.
+SHARD, LEAF, BLOCK = 65_536, 64, 256
+#: Fewer vectors make smaller shards, so that there are tasks enough, but not below this size.
+SMALL, TASKS = 4096, 64
 _EXACT = 2.0 ** 53
 #: No score yet; its negative still is an integer of 64 bits.
 _NONE = -(2 ** 63) + 1
 
 
+def shard_count(n: int, shard: int = SHARD) -> int:
+    """Blocks of queries are sent to every shard, so shards are as few as memory and tasks allow."""
+    return max(-(-n // shard), min(TASKS, -(-n // SMALL)))
+
+
 def vectors(table: DataFrame, scale: float = SCALE) -> DataFrame:
     """(vec_id, dim, vector): one usable vector of integers in doubles per id."""
     x = F.transform("embedding", lambda v: F.floor(v.cast("double") * scale).cast("double"))
@@ -211,8 +218,8 @@ def top_k(table: DataFrame, is_query, k: int = 5, scale: float = SCALE, shard: i
           block: int = BLOCK) -> DataFrame:
     """(query_id, rank, vec_id, score) of the k best other vectors of each query.
 
-    ``is_query`` is a condition on ``vec_id``. Data moved: every vector twice, and every block of
-    queries once per shard.
+    ``is_query`` is a condition on ``vec_id``. Data moved: every vector three times, and every
+    block of queries once per shard.
     """
     rows = stored(vectors(table, scale), "topk-vectors")
     sizes = {r["dim"]: r["count"] for r in rows.groupBy("dim").count().collect()}  # few lengths
@@ -220,7 +227,7 @@ def top_k(table: DataFrame, is_query, k: int = 5, scale: float = SCALE, shard: i
         return table.sparkSession.createDataFrame(
             [], "query_id long, rank int, vec_id long, score long")
     shards_of = F.create_map(*[F.lit(x) for d, n in sizes.items()
-                               for x in (d, -(-n // shard))])[F.col("dim")]
+                               for x in (d, shard_count(n, shard))])[F.col("dim")]
     count = rows.withColumn("shards", shards_of)
     none = F.lit(None).cast("long")
     shards = stored(_packed(count.select(
