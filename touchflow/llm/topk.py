@@ -38,9 +38,9 @@ _EXACT = 2.0 ** 53
 _NONE = -(2 ** 63) + 1
 
 
-def shard_count(n: int, shard: int = SHARD) -> int:
+def shard_count(n: F.Column, shard: int = SHARD) -> F.Column:
     """Blocks of queries are sent to every shard, so shards are as few as memory and tasks allow."""
-    return max(-(-n // shard), min(TASKS, -(-n // SMALL)))
+    return F.greatest(F.ceil(n / shard), F.least(F.lit(TASKS), F.ceil(n / SMALL))).cast("int")
 
 
 def vectors(table: DataFrame, scale: float = SCALE) -> DataFrame:
@@ -222,20 +222,15 @@ def top_k(table: DataFrame, is_query, k: int = 5, scale: float = SCALE, shard: i
     block of queries once per shard.
     """
     rows = stored(vectors(table, scale), "topk-vectors")
-    sizes = {r["dim"]: r["count"] for r in rows.groupBy("dim").count().collect()}  # few lengths
-    if not sizes:
-        return table.sparkSession.createDataFrame(
-            [], "query_id long, rank int, vec_id long, score long")
-    shards_of = F.create_map(*[F.lit(x) for d, n in sizes.items()
-                               for x in (d, shard_count(n, shard))])[F.col("dim")]
-    count = rows.withColumn("shards", shards_of)
+    sizes = rows.groupBy("dim").agg(
+        shard_count(F.count(F.lit(1)), shard).alias("shards"),
+        F.count(F.when(is_query, 1)).alias("asked"))  # one row per length of vectors
+    count = rows.join(sizes, "dim")
     none = F.lit(None).cast("long")
     shards = stored(_packed(count.select(
         "dim", F.pmod(F.xxhash64("vec_id"), F.col("shards")).cast("int").alias("shard"),
         none.alias("block"), "vec_id", "vector", F.lit(0.0).alias("floor"))), "topk-shards")
-    asked = count.where(is_query)
-    number = asked.groupBy("dim").count().withColumnRenamed("count", "asked")
-    asked = asked.join(F.broadcast(number), "dim").withColumn(
+    asked = count.where(is_query).withColumn(
         "block", F.pmod(F.xxhash64(F.lit("block"), "vec_id"), F.ceil(F.col("asked") / block)))
 
     # First pass: the block's own shard, for a k-th score of each query.
@@ -253,7 +248,8 @@ def top_k(table: DataFrame, is_query, k: int = 5, scale: float = SCALE, shard: i
         F.coalesce("floor", F.lit(float("-inf"))).alias("floor"))
     rest = _packed(rest.select("dim", F.col("home").alias("shard"), "block", "vec_id", "vector",
                                "floor"))
-    others = rest.withColumn("to", F.explode(F.sequence(F.lit(0), shards_of - 1))) \
+    others = rest.join(sizes.select("dim", "shards"), "dim").withColumn(
+        "to", F.explode(F.sequence(F.lit(0), F.col("shards") - 1))) \
         .where("`to` <> shard").select("dim", F.col("to").alias("shard"), "block", "ids", "data",
                                        "floor")
     late = _pass(shards, others, k)
