@@ -1,0 +1,93 @@
+import random
+
+import numpy as np
+import pytest
+
+import corpus_pipeline
+from touchflow.llm import overlap, simhash
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def slow(text):
+    words = (text or "").lower().split()
+    return {" ".join(words[i:i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def similarity(a, b):
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
+def planted(seed=3):
+    """Texts with edited copies from similarity 1 to below 0.8, and chains of copies."""
+    draw = random.Random(seed)
+    vocabulary = [f"w{i}" for i in range(5000)]
+    texts = []
+    for _ in range(25):
+        base = draw.choices(vocabulary, k=draw.randint(60, 400))
+        texts.append(" ".join(base))
+        for edits in range(1, 9):
+            copy = list(base)
+            for _ in range(edits * len(base) // 150 + 1):
+                copy[draw.randrange(len(copy))] = draw.choice(vocabulary)
+            texts.append(" ".join(copy))
+        for _ in range(3):
+            base = base[len(base) // 12:] + draw.choices(vocabulary, k=3)
+            texts.append(" ".join(base))
+    return texts + [None, "", " \n", "a b", "A  b", "a c", texts[0].upper()]
+
+
+def expected(texts):
+    sets = [slow(t) for t in texts]
+    root = list(range(len(texts)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+    for i in range(len(texts)):
+        for j in range(i):
+            if similarity(sets[i], sets[j]) >= 0.8:
+                x, y = find(i), find(j)
+                root[max(x, y)] = min(x, y)
+    return sorted({find(i) for i in range(len(texts))})
+
+
+def kept(stage):
+    return sorted(r["doc_id"] for r in stage.collect())
+
+
+@pytest.mark.parametrize("block", [overlap.BLOCK, 4096])
+def test_one_of_each_group_equals_brute_force(spark, monkeypatch, block):
+    monkeypatch.setattr(overlap.links, "__defaults__", (*overlap.links.__defaults__[:-1], block))
+    texts = planted()
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(texts)], SCHEMA)
+    assert kept(overlap.one_of_each(docs)) == expected(texts)
+
+
+def test_stage_drops_edited_copies_beyond_three_bits(spark):
+    texts = planted(8)
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(texts)], SCHEMA)
+    stage = dict(corpus_pipeline.STAGES)["simhash_near_duplicates"](spark, docs, "")
+    assert stage.columns == docs.columns and kept(stage) == expected(texts)
+    assert set(kept(simhash.one_of_each(docs))) - set(expected(texts))  # what the stage left in
+
+
+def test_tree_of_random_sets_equals_all_pairs():
+    draw = np.random.default_rng(1)
+    sets = [np.unique(draw.integers(0, 40, 30)).astype(np.uint64) for _ in range(300)]
+    root = list(range(len(sets)))
+    for a, b in overlap.tree(sets, 0.8):
+        assert similarity(set(sets[a].tolist()), set(sets[b].tolist())) >= 0.8
+        old, new = root[b], root[a]
+        root = [new if r == old else r for r in root]
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if similarity(set(a.tolist()), set(sets[j].tolist())) >= 0.8:
+                assert root[i] == root[j]
+
+
+def test_repeated_rows_and_empty_table(spark):
+    docs = spark.createDataFrame([(1, "a b c", "", "", 1)] * 3 + [(None, "a b c", "", "", 1)], SCHEMA)
+    assert kept(overlap.one_of_each(docs)) == [1]
+    assert overlap.one_of_each(spark.createDataFrame([], SCHEMA)).collect() == []

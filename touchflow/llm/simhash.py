@@ -283,17 +283,20 @@ def groups(docs: DataFrame) -> DataFrame:
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def one_of_each(docs: DataFrame) -> DataFrame:
+def one_of_each(docs: DataFrame, prints_of=fingerprints, grouped=None) -> DataFrame:
     """The document with the smallest id of each group; other columns settle equal ids.
 
+    ``prints_of(docs, *keys)`` gives the nodes ``fp`` of the rows, ``grouped(docs, prints, name)``
+    their roots (node, root): those of the fingerprints unless given.
+
     A row is named by two 64-bit hashes of all its columns.  The texts are shuffled once, by that
     name, for the join with the rows that stay and for dropping repeats of these.
     """
     name = ["__row", "__more"]
     hashes = [F.xxhash64(*docs.columns).alias(name[0]),
               F.xxhash64(F.lit(SEED), *docs.columns).alias(name[1])]
-    prints = stored(fingerprints(docs, F.col("doc_id").alias("__id"), *hashes), "simhash")
-    roots = _grouped(prints)
+    prints = stored(prints_of(docs, F.col("doc_id").alias("__id"), *hashes), "simhash")
+    roots = grouped(docs.select("*", *hashes), prints, name) if grouped else _grouped(prints)
     rooted = prints.join(roots, prints["fp"] == roots["node"], "left")
     best = rooted.groupBy(F.coalesce("root", "fp")).agg(F.min(F.struct(
         F.col("__id").isNull(), "__id", *name)).alias("best")).select(
