@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from touchflow.llm import neardup
 
@@ -93,3 +94,22 @@ def test_one_link_between_two_dense_clusters_is_found(spark):
     expected = brute(rows)
     assert {c for i, _, c, _ in expected if i < 200} == {0}
     assert run(spark, rows) == expected
+
+
+def test_audit_counts_nodes_and_not_links_only(spark):
+    draw = np.random.default_rng(2)
+
+    def near(centre, n):
+        rows = centre + draw.normal(size=(n, 32)) * 0.02
+        return [r / np.linalg.norm(r) for r in rows]
+
+    big = [(v, 0) for v in near(np.eye(32)[0], 600)]
+    pairs = [(v, 1000 + 2 * i + k) for i in range(60)  # no pair is in one component
+             for k, v in enumerate(near(draw.normal(size=32) / 32 ** 0.5, 2))]
+    rooted = spark.createDataFrame(
+        [(i, 1, 32, root, v.astype("<f8").tobytes()) for i, (v, root) in enumerate(big + pairs)],
+        "node long, label long, dim int, root long, exact binary")
+    assert neardup.audited_recall(rooted, 0.93) == 0.0
+    whole = rooted.withColumn("root", F.when(F.col("root") < 1000, 0).otherwise(
+        F.floor(F.col("root") / 2)).cast("long"))
+    assert neardup.audited_recall(whole, 0.93) == 1.0

@@ -8,7 +8,9 @@ more: its list is enlarged by its component, whose pairs are all counted block b
 nearest nodes outside of it, which are searched in the same way until no saturated node finds a
 link to another component. After each round recall is audited: for a fixed number of nodes all
 others of their label are compared, and a linked pair counts as found if both are in one component.
-Rounds go on until the target is met.
+Recall is the worst of the share of all links and of the mean share of a node's links, over nodes drawn
+from all and from outside large components. Rounds go on until the target is met; each but the first
+adds the nearest nodes in the cells of new hyperplanes to the lists.
 
 Edge cases: vectors that are null, zero, empty or hold null or non-finite components, and those
 without a label, are returned without links; vectors of different lengths never link; rows without
@@ -36,6 +38,8 @@ TREES, CELL, BLOCK = 5, 192, 768
 JOIN = 48
 #: Nodes of the recall audit, target, and rounds after which less than LEAST is an error.
 AUDIT, TARGET, LEAST, ROUNDS = 256, 0.999, 0.9, 8
+#: Members of a component that is not large to the audit.
+SMALL = 64
 SEED = 5
 #: Single precision may be off by so much; links are decided in double precision.
 SLACK = 1e-4
@@ -259,12 +263,12 @@ def links(nodes: DataFrame, lists: DataFrame, threshold: float) -> DataFrame:
 
 
 def _audit(sample: list, threshold: float):
-    """True links of the sampled nodes, and how many of them are in the same component."""
+    """True links of each sampled node, and how many of them are in the same component."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        true = same = 0
         groups: dict[tuple[int, int], list] = {}
         for row in sample:
             groups.setdefault((row["label"], row["dim"]), []).append(row)
+        sums = {of: np.zeros((2, len(rows)), np.int64) for of, rows in groups.items()}
         for batch in batches:
             label = batch["label"].to_numpy(zero_copy_only=False)
             dim = batch["dim"].to_numpy(zero_copy_only=False)
@@ -279,24 +283,42 @@ def _audit(sample: list, threshold: float):
                 root = part["root"].to_numpy(zero_copy_only=False)
                 hit = (sims >= threshold) & (
                     node[None, :] != np.array([r["node"] for r in rows])[:, None])
-                true += int(hit.sum())
-                same += int((hit & (root[None, :] == np.array(
-                    [r["root"] for r in rows])[:, None])).sum())
-        yield pa.RecordBatch.from_arrays([pa.array([true]), pa.array([same])], ["true", "same"])
+                sums[of, length][0] += hit.sum(axis=1)
+                sums[of, length][1] += (hit & (root[None, :] == np.array(
+                    [r["root"] for r in rows])[:, None])).sum(axis=1)
+        for of, rows in groups.items():
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([r["node"] for r in rows], pa.int64()), *map(pa.array, sums[of])],
+                ["node", "links", "same"])
 
     return run
 
 
 def audited_recall(rooted: DataFrame, threshold: float) -> float:
-    """Share of the sampled nodes' links whose ends are in one component; 1 without links."""
+    """Share of the sampled nodes' links whose ends are in one component; 1 without links.
+
+    The least of three figures: the share of all links, in which nodes with many weigh most; the mean
+    share of the nodes that have links; and that mean over nodes drawn outside large components.
+    """
     columns = ["node", "label", "dim", "root", "exact"]
-    sample = rooted.select(*columns).orderBy(F.xxhash64(F.lit(SEED), "node")).limit(AUDIT).collect()
+    small = rooted.groupBy("root").agg(F.count(F.lit(1)).alias("n")).where(
+        F.col("n") <= SMALL).select("root")
+    drawn = [{r["node"]: r.asDict() for r in table.select(*columns).orderBy(
+        F.xxhash64(F.lit(SEED), "node")).limit(AUDIT).collect()}
+        for table in (rooted, rooted.join(small, "root", "left_semi"))]
+    sample = list({**drawn[0], **drawn[1]}.values())
     if not sample:
         return 1.0
-    total = rooted.select(*columns).mapInArrow(
-        _audit([r.asDict() for r in sample], threshold), "true long, same long") \
-        .agg(F.sum("true"), F.sum("same")).first()
-    return total[1] / total[0] if total[0] else 1.0
+    counts = {r["node"]: (r["links"], r["same"]) for r in rooted.select(*columns).mapInArrow(
+        _audit(sample, threshold), "node long, links long, same long").groupBy("node").agg(
+        F.sum("links").alias("links"), F.sum("same").alias("same")).where("links > 0").collect()}
+    figures = [1.0]
+    for nodes in drawn:
+        linked = [counts[n] for n in nodes if n in counts]
+        if linked:
+            figures += [sum(same for _, same in linked) / sum(true for true, _ in linked),
+                        sum(same / true for true, same in linked) / len(linked)]
+    return min(figures)
 
 
 def _count(threshold: float):
@@ -366,7 +388,13 @@ def near_duplicates(table: DataFrame, threshold: float = THRESHOLD,
                    .withColumn("root", F.col("node")).withColumn("wanted", F.lit(True)),
                    "neardup-vectors")
     lists, seed = cell_lists(nodes, neighbours, SEED), SEED
-    for _ in range(ROUNDS):
+    for turn in range(ROUNDS):
+        if turn:  # pairs that no cell held together so far
+            seed += 1
+            before, fresh = lists, cell_lists(nodes, neighbours, seed)
+            lists = _lists(_pairs(before).unionByName(_pairs(fresh)), neighbours, "neardup-lists")
+            released(before)
+            released(fresh)
         before, lists = lists, next_lists(nodes, lists, neighbours)
         released(before)
         edges = stored(links(nodes, lists, threshold), "neardup-links")
