@@ -61,3 +61,32 @@ def test_table(spark):
         [(1, "u", len(main_text(PAGE)))] * 2
     assert found[2]["text"] == "" and found[2]["n_chars"] == 0
     assert html_text.extract(spark.createDataFrame([], schema)).collect() == []
+
+
+LONG = "Many words stand here to make a dense line of running text, again and again. " * 3
+
+
+def test_generated_names_inside_an_article_are_no_marks():
+    page = (f'<article><h1 id="share-prices">Share prices</h1><p class="ad-hoc">{LONG}</p>'
+            f'<h2 id="related-work">Related work</h2><section id="social-history"><p>{LONG}</p></section>'
+            f'<h2 id="notice">Notice</h2><section id="notice-period"><p>{LONG}</p></section>'
+            f'<section id="related"><h3>Related</h3><p>{LONG}</p></section>'
+            '<div class="related-posts"><p>More</p></div><div class="ad">Buy</div>'
+            f'<div id="comments"><p>{LONG}</p></div><div class="share-buttons">Tell all</div></article>')
+    assert main_text(page).split("\n") == [
+        "Share prices", LONG.strip(), "Related work", LONG.strip(), "Notice", LONG.strip(), "Related",
+        LONG.strip()]
+
+
+def test_title_and_lead_beside_the_container_of_most_of_the_text():
+    page = (f"<body><div><a href=1>One</a></div><div><h1>Title</h1><div>A lead of a few words.</div><div>"
+            + f"<p>{LONG}</p>" * 9 + f"</div><div>{LONG}</div></div></body>")
+    assert main_text(page).split("\n") == [
+        "Title", "A lead of a few words.", *[LONG.strip()] * 10]
+
+
+def test_an_article_does_not_displace_the_rest_of_main():
+    page = (f"<main><h1>Title</h1><article><p>{LONG}</p><p>{LONG}</p><p>{LONG}</p></article>"
+            f"<section><h2>Part two</h2><p>{LONG}</p><p>{LONG}</p></section></main>")
+    assert main_text(page).split("\n") == [
+        "Title", *[LONG.strip()] * 3, "Part two", *[LONG.strip()] * 2]

@@ -2,10 +2,12 @@
 
 The standard library's parser streams a page's events into lines, one per text block, each with
 its text, the number of tags around it and its place in the page. Blocks of menus, headers, footers,
-sidebars, notices, adverts, forms and comments are set aside by their element, role, class or id.
-The text-to-tag ratios of the lines are smoothed with a Gaussian and split into two clusters; the
-content region is the innermost article, main or other container of the content cluster, and all
-its lines are kept, headings and short paragraphs included.
+sidebars, notices, adverts, forms and comments are set aside by their element, role, class or id; inside
+an article only by whole names and known compounds of them, and never by the id of a heading or
+paragraph. The text-to-tag ratios of the lines are smoothed with a Gaussian and split into two clusters,
+which also decide on blocks whose name is in doubt. The content region is the innermost article or main,
+or else the smallest container, that holds all lines of the content cluster but lists of links; all its
+lines are kept, headings and short paragraphs included, and so is a heading right before it.
 
 Edge cases: null and empty pages have the text ""; broken markup is read as the parser reads it;
 pages of markup only have the text ""; repeated rows are extracted each; other columns are ignored.
@@ -48,12 +50,20 @@ MARKS = frozenset(
     "toolbar widget widgets".split())
 #: Words that mark the head of a page, but may as well mark an article's own heading inside it.
 HEAD_MARKS = frozenset("banner header masthead".split())
+#: Words that go with a mark in a name, as in ``related-posts``.
+WITH = frozenset(
+    "area bar block bottom box button buttons container content count form header inner item items "
+    "icons left link links list main message module outer panel popup post posts articles right row "
+    "section slot thread title top unit wrap wrapper".split())
+#: Marks that may as well name a paragraph, heading or section of an article.
+DOUBTFUL = frozenset(
+    "comment comments consent cookie cookies menu notice notices notification overlay promotion related "
+    "recommended share sharing social sponsor subscribe subscription".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _WORD = re.compile(r"[a-z0-9]+")
 _SPACE = re.compile(r"\s+")
 
 SIGMA = 1.0
-#: Of the content's characters that a region without a name must hold.
-SHARE = 0.8
 #: Elements whose start ends an open element of the same kind.
 SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"},
             "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -76,18 +86,41 @@ def _marked(attributes: list[tuple[str, str | None]], marks: frozenset[str]) ->
     return False
 
 
+def _in_article(tag: str, attributes: list[tuple[str, str | None]]) -> bool | None:
+    """Whether an element of an article is set aside; None where its lines decide."""
+    doubt = False
+    for name, value in attributes:
+        if name not in ("class", "id"):
+            if _marked([(name, value)], MARKS):
+                return True
+            continue
+        text = tag == "p" or tag in HEADINGS
+        if name == "id" and text:
+            continue
+        for one in (value or "").lower().split():
+            words = {w for w in _WORD.findall(one) if not w[0].isdigit()}
+            if words & MARKS and words <= MARKS | WITH:
+                if not (words <= DOUBTFUL and (text or name == "id" and tag == "section")):
+                    return True
+                doubt = True
+    return None if doubt else False
+
+
 class _Lines(HTMLParser):
-    """Collects (text, tags, containers) of each block outside set-aside elements."""
+    """Collects (text, tags, containers, mostly links) of each block outside set-aside elements."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, tuple[int, ...]]] = []
+        self.lines: list[tuple[str, int, tuple[int, ...], bool]] = []
         self.open: list[tuple[str, int, bool]] = []  # name, number, hides what is inside
         self.hidden = 0
         self.number = 0
         self.kind: dict[int, str] = {}
         self.words: list[str] = []
         self.tags = 0
+        self.doubtful: set[int] = set()
+        self.links: set[int] = set()  # open elements
+        self.linked = 0  # characters of the line in links
 
     def _end_line(self) -> None:
         if self.words:
@@ -95,15 +128,17 @@ class _Lines(HTMLParser):
             self.words = []
             if text:
                 path = tuple(n for name, n, _ in self.open if name in BLOCK)
-                self.lines.append((text, self.tags, path))
+                self.lines.append((text, self.tags, path, 2 * self.linked > len(text)))
                 self.tags = 0
+            self.linked = 0
 
     def _close(self, position: int) -> None:
         """Ends the open elements from this position on."""
         if any(name in BLOCK for name, _, _ in self.open[position:]):
             self._end_line()
-        for _, _, hides in self.open[position:]:
+        for _, number, hides in self.open[position:]:
             self.hidden -= hides
+            self.links.discard(number)
         del self.open[position:]
 
     def _close_last(self, names: set[str], limits: set[str]) -> None:
@@ -132,8 +167,18 @@ class _Lines(HTMLParser):
         inside = any(name in ("article", "main") for name, _, _ in self.open)
         hides = tag in HIDDEN or tag == "header" and not inside
         if not hides and attributes and tag not in ("html", "body", "main", "article"):
-            hides = _marked(attributes, MARKS if inside else MARKS | HEAD_MARKS)
+            if inside:
+                hides = _in_article(tag, attributes)
+            else:
+                text = tag == "p" or tag in HEADINGS
+                hides = _marked([x for x in attributes if not (text and x[0] == "id")],
+                                MARKS | HEAD_MARKS)
         self.number += 1
+        if hides is None:
+            self.doubtful.add(self.number)
+            hides = False
+        if tag == "a" and any(name == "href" for name, _ in attributes):
+            self.links.add(self.number)
         self.kind[self.number] = tag
         self.open.append((tag, self.number, hides))
         self.hidden += hides
@@ -159,8 +204,10 @@ class _Lines(HTMLParser):
     def handle_data(self, data: str) -> None:
         if not self.hidden:
             self.words.append(data)
+            if self.links:
+                self.linked += len(data.strip())
 
-    def finish(self) -> list[tuple[str, int, tuple[int, ...]]]:
+    def finish(self) -> list[tuple[str, int, tuple[int, ...], bool]]:
         self.close()
         self._close(0)
         self._end_line()
@@ -206,22 +253,67 @@ def main_text(html: str | None) -> str:
     lines = parser.finish()
     if not lines:
         return ""
-    ratios = smoothed([len(text) / max(1, tags) for text, tags, _ in lines])
+    content = _content(lines)
+    if parser.doubtful:
+        held, dense = Counter(), Counter()
+        for i, (text, _, path, _) in enumerate(lines):
+            for container in parser.doubtful.intersection(path):
+                held[container] += len(text)
+                dense[container] += len(text) * (i in content)
+        dropped = {c for c in held if 2 * dense[c] < held[c]}
+        lines = [line for line in lines if dropped.isdisjoint(line[2])]
+        if not lines:
+            return ""
+        content = _content(lines)
+    regions = _regions(parser, lines, sorted(content))
+    inside = [not regions or not regions.isdisjoint(path) for _, _, path, _ in lines]
+    if regions:
+        _with_heading(parser, lines, inside)
+    return "\n".join(line[0] for line, keep in zip(lines, inside) if keep)
+
+
+def _content(lines: list[tuple]) -> set[int]:
+    """Lines of the content cluster that are not mostly links; with them if there are no others."""
+    ratios = smoothed([len(text) / max(1, tags) for text, tags, _, _ in lines])
     least = threshold(ratios)
-    content = [i for i, ratio in enumerate(ratios) if ratio >= least]
-    weight: dict[int, int] = {}
+    cluster = {i for i, ratio in enumerate(ratios) if ratio >= least}
+    return {i for i in cluster if not lines[i][3]} or cluster
+
+
+def _innermost(lines: list[tuple], content: list[int], allowed) -> int | None:
+    """The innermost allowed container of all these lines."""
+    common = set(lines[content[0]][2]).intersection(*(lines[i][2] for i in content[1:]))
+    return max(filter(allowed, common), default=None)
+
+
+def _regions(parser: _Lines, lines: list[tuple], content: list[int]) -> set[int]:
+    """Containers that hold the article; none if it is the whole page."""
+    def named(container: int) -> bool:
+        return parser.kind[container] in ("article", "main")
+
+    outer: dict[int, list[int]] = {}
     for i in content:
-        for container in lines[i][2]:
-            weight[container] = weight.get(container, 0) + len(lines[i][0])
-    total = sum(len(lines[i][0]) for i in content)
-    several = Counter(container for _, _, path in lines for container in path)
-    # The innermost article or main with most of the content, else the innermost container of
-    # several lines that holds nearly all of it.
-    named = [c for c in weight if parser.kind[c] in ("article", "main") and 2 * weight[c] > total]
-    dense = [c for c in weight if weight[c] >= SHARE * total and several[c] > 1]
-    region = max(named or dense, default=None)
-    kept = [text for text, _, path in lines if region is None or region in path]
-    return "\n".join(kept)
+        if (top := next(filter(named, lines[i][2]), None)) is not None:
+            outer.setdefault(top, []).append(i)
+    if 2 * sum(len(lines[i][0]) for own in outer.values() for i in own) > sum(
+            len(lines[i][0]) for i in content):
+        return {_innermost(lines, own, named) for own in outer.values()}
+    several = Counter(container for _, _, path, _ in lines for container in path)
+    region = _innermost(lines, content, lambda c: several[c] > 1)
+    return set() if region is None else {region}
+
+
+def _with_heading(parser: _Lines, lines: list[tuple], inside: list[bool]) -> None:
+    """Also keeps the headings right before the article in its parent, and what is between."""
+    first = inside.index(True)
+    shared = set(lines[first][2])
+    begin, at = first, first - 1
+    while at >= 0 and not lines[at][3] and any(
+            parser.kind[c] not in ("html", "body") for c in shared.intersection(lines[at][2])):
+        if any(parser.kind[c] in HEADINGS for c in lines[at][2]):
+            begin = at
+        at -= 1
+    inside[begin:first] = [True] * (first - begin)
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
