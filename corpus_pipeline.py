@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from touchflow.llm import mixing, overlap, packing, secrets, toxicity
+from touchflow.llm import mixing, packing, secrets, simhash, toxicity
 from touchflow.llm.tables import table
 from touchflow.session import stored
 
@@ -23,8 +23,8 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """By the true similarity of five-word shingles: the three bits of op8 are near equality only."""
-    return overlap.one_of_each(docs)
+    """One of each group linked by fingerprints of word triples that differ in at most three bits."""
+    return simhash.one_of_each(docs)
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,7 +49,7 @@ STAGES = [
     ("packing", packed),
 ]
 
-#: A trained classifier, word hashes and a tokenizer are not SQL; tests compare with brute force.
+#: A trained classifier, fingerprints and a tokenizer are not SQL; tests compare with brute force.
 ORACLE_SQL = None
 
 
