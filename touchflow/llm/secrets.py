@@ -481,22 +481,22 @@ def redacted(text: str, forest: Forest) -> str:
     return "".join([*parts, text[done:]]) if parts else text
 
 
-def _redacter(forest: Forest):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at = batch.schema.names.index("text")
-            kind = batch.schema.field(at)
-            texts = pa.array((redacted(t.as_py(), forest) if t.is_valid else None
-                              for t in batch["text"]), kind.type)
-            yield batch.set_column(at, kind, texts)
+def redact(docs: DataFrame) -> DataFrame:
+    """The documents with each secret replaced by a mask; ``n_chars`` follows where present.
 
-    return run
+    Only the texts go to Python, and only changed ones come back.
+    """
+    forest = train(labelled(stored(detect(docs), "secret-findings")))
 
+    @F.arrow_udf("string")
+    def masked(text: pa.Array) -> pa.Array:
+        changed = []
+        for t in text.to_pylist():
+            clean = redacted(t, forest) if t else t
+            changed.append(None if clean == t else clean)
+        return pa.array(changed, pa.string())
 
-def redact(docs: DataFrame) -> DataFrame:
-    """The documents with each secret replaced by a mask; ``n_chars`` follows where present."""
-    forest = train(labelled(stored(detect(docs), "secret-findings")))
-    clean = docs.mapInArrow(_redacter(forest), docs.schema)
+    clean = docs.withColumn("text", F.coalesce(masked(F.col("text").cast("string")), "text"))
     if "n_chars" in docs.columns:
         clean = clean.withColumn("n_chars", F.when(
             F.col("n_chars").isNotNull() & F.col("text").isNotNull(),

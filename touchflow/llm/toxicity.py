@@ -152,45 +152,72 @@ def _indexed(vocabulary: dict[str, int]):
     return run
 
 
+#: Entries that are added up at once.
+_CHUNK = 1 << 20
+
+
 class _Sparse:
-    """Rows of present features as one index list."""
+    """Rows of present features as offsets into one index list, never as Python lists."""
 
-    def __init__(self, rows: list[list[int]], width: int) -> None:
+    def __init__(self, rows, width: int) -> None:
+        if isinstance(rows, pa.ChunkedArray):
+            rows = rows.combine_chunks()
+        elif not isinstance(rows, pa.Array):
+            rows = pa.array(rows, pa.list_(pa.int32()))
         self.width, self.n = width, len(rows)
-        self.row = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-        self.column = np.array([i for r in rows for i in r], np.int64)
+        self.present = np.asarray(rows.is_valid())
+        self.column = rows.flatten().to_numpy(zero_copy_only=False)  # nulls hold nothing
+        sizes = np.where(self.present, np.asarray(rows.value_lengths().fill_null(0)), 0)
+        self.offsets = np.append(0, np.cumsum(sizes))
+        cuts = np.searchsorted(self.offsets, np.arange(0, self.offsets[-1] + 1, _CHUNK), "right") - 1
+        self.blocks = np.unique(np.append(cuts, self.n))
+
+    def _blocks(self):
+        for a, b in zip(self.blocks, self.blocks[1:]):
+            begin = self.offsets[a:b + 1]
+            row = np.repeat(np.arange(b - a), np.diff(begin))
+            yield a, b, row, self.column[begin[0]:begin[-1]]
 
     def times(self, weights: np.ndarray) -> np.ndarray:
-        return np.bincount(self.row, weights[self.column], self.n)
+        out = np.zeros(self.n)
+        for a, b, row, column in self._blocks():
+            out[a:b] = np.bincount(row, weights[column], b - a)
+        return out
 
     def back(self, values: np.ndarray) -> np.ndarray:
-        return np.bincount(self.column, values[self.row], self.width)
+        out = np.zeros(self.width)
+        for a, b, row, column in self._blocks():
+            out += np.bincount(column, values[a:b][row], self.width)
+        return out
 
 
-def fit_weights(own: list[list[int]], other: list[list[int] | None], toxic: list[int], width: int,
-                ridge: float = RIDGE, counterfactual: float = COUNTERFACTUAL,
+def fit_weights(own, other, toxic: list[int], width: int, ridge: float = RIDGE,
+                counterfactual: float = COUNTERFACTUAL,
                 steps: int = STEPS) -> tuple[np.ndarray, float]:
     """Weights and bias by gradient steps with momentum and per-weight scaling.
 
-    The rarer label weighs more, by the root of the ratio, as between natural and equal shares.
+    ``own`` and ``other`` are the features of each row and of its twin with swapped identity terms,
+    null without one: Arrow arrays of lists or anything that makes one.  The rarer label weighs
+    more, by the root of the ratio, as between natural and equal shares.
     """
     y = np.array(toxic, float)
     odds = np.sqrt((len(y) - y.sum()) / y.sum())
     share = np.where(y == 1, odds, 1.0)
     share /= share.sum()
-    x = _Sparse(own, width)
-    twins = [i for i, o in enumerate(other) if o is not None]
-    before = _Sparse([own[i] for i in twins], width)
-    after = _Sparse([other[i] for i in twins], width)
+    x, twin = _Sparse(own, width), _Sparse(other, width)
+    has_twin, twins = twin.present, int(twin.present.sum())
     w, bias = np.zeros(width + 1), float(np.log(1 / odds))
     w[-1] = bias
     mean, square, rate = np.zeros_like(w), np.zeros_like(w), 0.1
     for step in range(1, steps + 1):
-        error = share * (1 / (1 + np.exp(-(x.times(w[:-1]) + w[-1]))) - y)
-        slope = np.append(x.back(error) + ridge * w[:-1], error.sum())
+        logit = x.times(w[:-1])
+        error = share * (1 / (1 + np.exp(-(logit + w[-1]))) - y)
         if twins:
-            change = (before.times(w[:-1]) - after.times(w[:-1])) / len(twins)
-            slope[:-1] += 2 * counterfactual * (before.back(change) - after.back(change))
+            change = 2 * counterfactual / twins * np.where(has_twin, logit - twin.times(w[:-1]), 0)
+            slope = np.append(x.back(error + change) - twin.back(change) + ridge * w[:-1],
+                              error.sum())
+        else:
+            slope = np.append(x.back(error) + ridge * w[:-1], error.sum())
         mean = 0.9 * mean + 0.1 * slope
         square = 0.999 * square + 0.001 * slope * slope
         w -= rate * (1 - step / (steps + 1)) * (mean / (1 - 0.9 ** step)) / (
@@ -217,10 +244,10 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS,
     names = sorted({r[0] for r in chosen}
                    | features_of(set(SWAP)) - {f for f in features_of(set(SWAP)) if "^" in f})
     vocabulary = {name: i for i, name in enumerate(names)}
-    # At most 2 * per_class rows of small integers.
+    # At most 2 * per_class rows of small integers, which stay Arrow arrays.
     table = rows.mapInArrow(_indexed(vocabulary), "toxic int, own array<int>, other array<int>") \
-        .toArrow().to_pydict()
-    weights, bias = fit_weights(table["own"], table["other"], table["toxic"], len(names),
+        .toArrow()
+    weights, bias = fit_weights(table["own"], table["other"], table["toxic"].to_numpy(), len(names),
                                 counterfactual=counterfactual)
     model = Model(bias, {0: {}, **{n: {} for n in PREFIXES}})
     for name, weight in zip(names, weights):
@@ -250,6 +277,9 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def reject(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows of ``docs`` that are not toxic."""
-    schema = T.StructType([*docs.schema.fields, T.StructField("__score", T.DoubleType())])
-    return docs.mapInArrow(_scorer(model), schema).where("__score < 0.5").select(*docs.columns)
+    """The rows of ``docs`` that are not toxic; only the texts go to Python."""
+    @F.arrow_udf("double")
+    def toxic_score(text: pa.Array) -> pa.Array:
+        return pa.array([model.score(t.as_py()) for t in text], pa.float64())
+
+    return docs.where(toxic_score(whole_text()) < 0.5)
