@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from touchflow.llm import (chat, html_text, mixing, neardup, packing, secrets, sharding,
-                           simhash, topk, toxicity)
-from touchflow.llm.tables import table
+from touchflow.llm import (approximate, chat, html_text, mixing, neardup, packing, runs, secrets,
+                           sharding, simhash, topk, toxicity, whitening)
+from touchflow.llm.tables import table, whole_text
 from touchflow.session import shared_folder
 
 QUERIES = {}
@@ -118,6 +118,52 @@ def op5_kd_tree_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+@_query
+def op11_polarisation_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings")).withColumn(
+        "deviation", F.col("deviation").cast("long"))
+
+
+@_query
+def op12_learned_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return approximate.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+def made_periodic(docs: DataFrame) -> DataFrame:
+    """One document in ten, by its id's hash, with the words from some place on made periodic."""
+    white = r"[\x20\x09-\x0D]+"
+    numbered = docs.select("doc_id", whole_text().alias("text"), F.crc32(
+        F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")).alias("h")).select(
+        "doc_id", "text", F.expr("h div 10").alias("g"), F.when(F.col("h") % 10 == 0, F.filter(
+            F.split("text", white), lambda w: w != "")).alias("words"))
+    n, a = F.size("words"), F.col("a")
+    placed = numbered.withColumn("a", F.when(n > 0, F.col("g") % n).cast("int")).withColumn(
+        "p", (1 + F.floor((n - a) / (3 + F.col("g") % 8))).cast("int"))
+    repeated = F.flatten(F.array_repeat(F.slice("words", a + 1, F.col("p")),
+                                        F.ceil((n - a) / F.col("p")).cast("int")))
+    changed = F.array_join(F.concat(F.slice("words", F.lit(1), a),
+                                    F.slice(repeated, F.lit(1), n - a)), " ")
+    return placed.select("doc_id", F.when(a.isNotNull(), changed).otherwise(F.col("text"))
+                         .alias("text"))
+
+
+@_query
+def op13_suffix_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Longest run, and digests of all runs and of the text without repeats, of every document."""
+    found = runs.periodic_runs(made_periodic(table(spark, sf_dir, "documents")))
+    longest = F.array_min(F.transform("runs", lambda r: F.struct(
+        (-r["length"]).alias("less"), r["start"].alias("start"), r["period"].alias("period"))))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(
+        F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "")
+    return found.select(
+        "doc_id", "n_runs", longest.alias("best"),
+        F.sha2(lines.cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256")).select(
+        "doc_id", "n_runs", "best.start", (-F.col("best.less")).alias("length"), "best.period",
+        F.expr("1000 * -best.less div best.period").alias("exponent_milli"), "runs_sha256",
+        "collapsed_sha256")
+
+
 SQL["op5_kd_tree_top_k"] = """
 WITH v AS (
     SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT))
