@@ -44,7 +44,7 @@ def softmax(logits: np.ndarray) -> np.ndarray:
     return powers / powers.sum(axis=1, keepdims=True)
 
 
-def neighbours(x: np.ndarray, k: int = GRAPH, block: int = 1024) -> np.ndarray:
+def neighbours(x: np.ndarray, k: int = GRAPH, block: int = 256) -> np.ndarray:
     """The k nearest others of each row, in blocks."""
     k = min(k, len(x) - 1)
     norms, found = (x * x).sum(axis=1), np.empty((len(x), k), np.int64)

@@ -124,21 +124,36 @@ def alert_windows(log: DataFrame, minutes: int = ALERT_MINUTES, at: str = "times
     return alert_windows_of_minutes(requests_per_minute(log, at), minutes)
 
 
-def alert_windows_of_minutes(per_minute: DataFrame, minutes: int = ALERT_MINUTES,
-                             since=None, until=None) -> DataFrame:
-    """Alerts from the minute table, for ranges that cover any minute from the first to the last.
-
-    Minutes without a row between them count as minutes without requests.  ``since`` and
-    ``until`` keep the ranges whose newest minute is after the one and not after the other; all
-    ranges up to N - 1 minutes past the last one are evaluated without them.
+def alert_windows_of_minutes(per_minute: DataFrame, minutes: int = ALERT_MINUTES) -> DataFrame:
+    """Alerts from the minute table, for ranges that cover any minute from the first to the last."""
+    return alerts(range_metrics(per_minute, minutes))
+
+
+def _each_minute(per_minute: DataFrame, first: Column, last: Column) -> DataFrame:
+    """An empty row for every minute from first to last: days first, which several tasks fill."""
+    begin, end = F.date_trunc("day", first), F.date_trunc("day", last)
+    days = per_minute.sparkSession.range(1).select(
+        F.explode(F.sequence(begin, end, F.expr("INTERVAL 1 DAY"))).alias("_day"),
+        first.alias("_first"), last.alias("_last"))
+    day, step = F.col("_day"), F.make_dt_interval(mins=F.lit(1))
+    inside = F.sequence(F.greatest(day, "_first"),
+                        F.least(day + F.expr("INTERVAL 1439 MINUTES"), "_last"), step)
+    return (days.repartition("_day").select(F.explode(inside).alias("minute"))
+            .select("minute", F.lit(0).cast("long").alias("request_count"),
+                    F.lit(0.0).alias("latency_sum")))
+
+
+def range_metrics(per_minute: DataFrame, minutes: int = ALERT_MINUTES,
+                  first: Column | None = None, last: Column | None = None) -> DataFrame:
+    """Requests and average latency of every N-minute range, by its end on a full minute.
+
+    Ranges cover any minute from ``first`` to ``last``, or from the first row to the last, so the
+    last N - 1 reach past it.  Minutes without a row count as minutes without requests.
     """
-    minute = F.make_dt_interval(mins=F.lit(1))
-    first, last = (per_minute.agg(bound("minute")).scalar() for bound in (F.min, F.max))
-    one = per_minute.sparkSession.range(1)
-    spine = one.select(F.explode(F.sequence(first, last, minute)).alias("minute")) \
-        .select("minute", F.lit(0).cast("long").alias("request_count"),
-                F.lit(0.0).alias("latency_sum"))
-    filled = per_minute.select("minute", "request_count", "latency_sum").unionByName(spine)
+    first, last = (given if given is not None else per_minute.agg(bound("minute")).scalar()
+                   for given, bound in ((first, F.min), (last, F.max)))
+    filled = per_minute.select("minute", "request_count", "latency_sum").unionByName(
+        _each_minute(per_minute, first, last))
     # A minute counts in the ranges that end 1 to N minutes after its start.
     ends = F.transform(F.sequence(F.lit(1), F.lit(minutes)),
                        lambda i: F.col("minute") + F.make_dt_interval(mins=i))
@@ -146,11 +161,7 @@ def alert_windows_of_minutes(per_minute: DataFrame, minutes: int = ALERT_MINUTES
                .groupBy("timestamp")
                .agg(F.sum("request_count").alias("request_count"),
                     F.sum("latency_sum").alias("_latency")))
-    if since is not None:
-        metrics = metrics.filter(F.col("timestamp") > F.lit(since) + minute)
-    if until is not None:
-        metrics = metrics.filter(F.col("timestamp") <= F.lit(until) + minute)
     # Minutes are added up in any order, which shows in the last digits.
     average = F.round(F.coalesce(F.try_divide("_latency", F.col("request_count").cast("double")),
                                  F.lit(0.0)), 9)
-    return alerts(metrics.select("timestamp", "request_count", average.alias("average_latency")))
+    return metrics.select("timestamp", "request_count", average.alias("average_latency"))

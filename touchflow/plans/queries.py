@@ -23,11 +23,9 @@ from touchflow.schemas import CHANNELS, FEATURE_NAMES
 from touchflow.session import shared_folder, stored
 from touchflow.sources import tables as sources
 from touchflow.sources.streams import file_stream, write_batches, write_stream
-from touchflow.streaming.activity import sliding_activity
-from touchflow.streaming.recommendations import (
-    start_alerts, start_recommendations, start_reject_log, stream_action_distribution,
-    stream_minute_metrics,
-)
+from touchflow.streaming import alerts as live
+from touchflow.streaming.activity import read_windows, sliding_activity, start_sliding_activity
+from touchflow.streaming.recommendations import start_recommendations, start_reject_log
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -602,29 +600,45 @@ def alert_windows(spark, sf_dir):
 
 EVENT_TABLE = ("event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, "
                "value double, props string")
-DELAY = "10 minutes"
-# A record far behind the last event lets the watermark pass, so that all windows are emitted.
-# It is taken out of the sink's result: a filter on the stream would hide it from the watermark.
-CLOSING_USER = -1
-
-
-def _event_stream(spark, sf_dir, closing: bool = False) -> DataFrame:
-    """Event rows as a stream, if asked for with a closing record a day after the last."""
-    def prepared(raw):
-        return t.event_rows(raw.withColumn("ts", F.col("ts").cast("timestamp")))
-
-    stream = prepared(file_stream(spark, f"{sf_dir}/events.parquet", EVENT_TABLE))
-    if not closing:
-        return stream
-    path = shared_folder(spark, "closing")
-    given = spark.read.parquet(f"{sf_dir}/events.parquet")
-    last = given.agg(F.max("ts").alias("ts")).select(
-        F.lit(0).cast("long").alias("event_id"),
-        (F.col("ts") + F.expr("INTERVAL 1 DAY")).alias("ts"),
-        F.lit(CLOSING_USER).cast("long").alias("user_id"), F.lit("view").alias("event_type"),
-        F.lit(0.0).alias("value"), F.lit('{"k": 0}').alias("props"))
-    sources.save_table(last, path)
-    return stream.unionByName(prepared(file_stream(spark, path, EVENT_TABLE)))
+DELAY_MINUTES = 10
+# A micro-batch takes so many bytes of files, one file at least.  Small in tests.
+STREAM_BYTES = None
+
+
+def _event_stream(spark, sf_dir) -> DataFrame:
+    bound = {} if STREAM_BYTES is None else {"maxBytesPerTrigger": str(STREAM_BYTES)}
+    raw = file_stream(spark, f"{sf_dir}/events.parquet", EVENT_TABLE, **bound)
+    return t.event_rows(raw.withColumn("ts", F.col("ts").cast("timestamp")))
+
+
+def _closed(spark, sf_dir, start: Callable, label: str) -> str:
+    """Runs a query of panes to the end of the table, then once more with a heartbeat a day after
+    the last event, by which time all panes are closed; gives its folder."""
+    path, beats = shared_folder(spark, label), shared_folder(spark, "heartbeat")
+    spark.createDataFrame([], "timestamp timestamp").write.parquet(beats)
+
+    def run():
+        running = start(path, f"{path}-checkpoint", {"availableNow": True},
+                        file_stream(spark, beats, "timestamp timestamp"))
+        running.awaitTermination()
+        return _read(running)
+
+    if not run():
+        raise RuntimeError(f"{label}: the stream read nothing")
+    last = F.max("timestamp") + F.expr("INTERVAL 1 DAY")
+    t.events(spark, sf_dir).agg(last.alias("timestamp")).write.mode("append").parquet(beats)
+    run()
+    return path
+
+
+def _read(query) -> int:
+    """Rows that a finished query took in; an error if it dropped any as late."""
+    for progress in query.recentProgress:
+        for state in progress.stateOperators:
+            if state.numRowsDroppedByWatermark:
+                raise RuntimeError(f"{state.numRowsDroppedByWatermark} rows dropped as late")
+    return sum(source.numInputRows for progress in query.recentProgress
+               for source in progress.sources)
 
 
 def _drained(start: Callable, spark: SparkSession, label: str) -> str:
@@ -632,9 +646,7 @@ def _drained(start: Callable, spark: SparkSession, label: str) -> str:
     path = shared_folder(spark, label)
     running = start(path, f"{path}-checkpoint", {"availableNow": True})
     running.awaitTermination()
-    read = [source.numInputRows for progress in running.recentProgress
-            for source in progress.sources]
-    if not any(read):
+    if not _read(running):
         raise RuntimeError(f"{label}: the stream read nothing")
     return path
 
@@ -646,12 +658,6 @@ def _sunk(spark: SparkSession, stream: DataFrame, label: str) -> DataFrame:
     return spark.read.parquet(_drained(start, spark, label))
 
 
-def _before_closing(spark, sf_dir, table: DataFrame, column: str) -> DataFrame:
-    last = spark.read.parquet(f"{sf_dir}/events.parquet").agg(
-        (F.max("ts") + F.expr("INTERVAL 12 HOURS")).cast("timestamp")).scalar()
-    return table.filter(F.col(column) < last)
-
-
 @query("parse_events_stream")
 def parse_events_stream(spark, sf_dir):
     parsed = parse_events(t.event_messages(_event_stream(spark, sf_dir)))
@@ -660,36 +666,48 @@ def parse_events_stream(spark, sf_dir):
 
 @query("sliding_activity_stream")
 def sliding_activity_stream(spark, sf_dir):
-    parsed = parse_events(t.event_messages(_event_stream(spark, sf_dir, closing=True)))
-    activity = sliding_activity(features.time_features(parsed), watermark=DELAY, spell_out=True)
-    sunk = _sunk(spark, activity, "activity-stream")
-    return _activity_shown(sunk.filter(F.col("customer_id") != str(CLOSING_USER)))
+    parsed = features.time_features(parse_events(t.event_messages(_event_stream(spark, sf_dir))))
+
+    def start(path, checkpoint, trigger, heartbeat):
+        return start_sliding_activity(parsed, path, DELAY_MINUTES, checkpoint, trigger, heartbeat,
+                                      spell_out=True)
+
+    return _activity_shown(read_windows(spark, _closed(spark, sf_dir, start, "activity-stream")))
+
+
+def _minutes_kept(spark, sf_dir) -> str:
+    log = t.service_log_rows(_event_stream(spark, sf_dir))
+
+    def start(path, checkpoint, trigger, heartbeat):
+        return live.start_minutes(log, path, DELAY_MINUTES, checkpoint, trigger, heartbeat)
+
+    return _closed(spark, sf_dir, start, "minutes-stream")
 
 
 @query("requests_per_minute_stream")
 def requests_per_minute_stream(spark, sf_dir):
-    log = t.service_log_rows(_event_stream(spark, sf_dir, closing=True))
-    sunk = _sunk(spark, stream_minute_metrics(log, DELAY), "minutes-stream")
-    return present(_before_closing(spark, sf_dir, sunk, "minute"))
+    kept = live.read_minutes(spark, _minutes_kept(spark, sf_dir))
+    return present(live.minute_metrics(kept))
 
 
 @query("action_distribution_stream")
 def action_distribution_stream(spark, sf_dir):
-    log = t.service_log_rows(_event_stream(spark, sf_dir, closing=True))
-    sunk = _sunk(spark, stream_action_distribution(log, DELAY), "actions-stream")
-    return present(_before_closing(spark, sf_dir, sunk, "minute"))
+    kept = live.read_minutes(spark, _minutes_kept(spark, sf_dir))
+    return present(live.minute_actions(kept))
 
 
 @query("alert_windows_stream")
 def alert_windows_stream(spark, sf_dir):
-    log = t.service_log_rows(_event_stream(spark, sf_dir, closing=True))
-    minutes = shared_folder(spark, "alert-minutes")
+    """Ranges of the silence after the last event follow as far as the batch query has them."""
+    log = t.service_log_rows(_event_stream(spark, sf_dir))
 
-    def start(path, checkpoint, trigger):
-        return start_alerts(log, DELAY, minutes, path, checkpoint, trigger)
+    def start(path, checkpoint, trigger, heartbeat):
+        return live.start_alerts(log, path, DELAY_MINUTES, checkpoint, trigger, heartbeat)
 
-    found = spark.read.parquet(_drained(start, spark, "alerts-stream"))
-    return present(found.drop("run_id", "batch_id"))
+    path = _closed(spark, sf_dir, start, "alerts-stream")
+    last = live.read_minutes(spark, path).agg(F.max("pane")).scalar()
+    reach = F.make_dt_interval(mins=F.lit(monitoring.ALERT_MINUTES))
+    return present(live.read_alerts(spark, path).filter(F.col("timestamp") <= last + reach))
 
 
 def _message_stream(spark, sf_dir) -> DataFrame:

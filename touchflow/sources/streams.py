@@ -59,15 +59,19 @@ def write_kafka(messages: DataFrame, servers: str, topic: str, checkpoint: str)
             .option("checkpointLocation", checkpoint).start())
 
 
+def run_folder(batch: DataFrame, path: str) -> str:
+    """The folder of a micro-batch's query below ``path``; its id is kept in the checkpoint."""
+    run = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
+    return f"{path}/run_id={run}"
+
+
 def batch_folder(batch: DataFrame, path: str, batch_id: int) -> str:
     """The folder that a micro-batch owns below ``path``.
 
-    It is named by the query, whose id is kept in the checkpoint, and the batch: a repeated batch
-    replaces its own rows, and a query with a new checkpoint, which counts from 0 again, replaces
-    nothing.
+    It is named by the query and the batch: a repeated batch replaces its own rows, and a query
+    with a new checkpoint, which counts from 0 again, replaces nothing.
     """
-    run = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
-    return f"{path}/run_id={run}/batch_id={batch_id}"
+    return f"{run_folder(batch, path)}/batch_id={batch_id}"
 
 
 def to_files(path: str) -> Sink:

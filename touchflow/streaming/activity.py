@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+from functools import reduce
 from math import gcd, lcm
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.streaming import StreamingQuery
+
+from touchflow.sources.streams import batch_folder
+from touchflow.streaming.panes import MINUTE, Panes, Progress, newest, read_panes, start_panes
 
 # Window length and slide in minutes.
 WINDOW_MINUTES = 5
@@ -12,7 +18,6 @@ SLIDE_MINUTES = 1
 
 # Windows per block of the timeline, see sliding_activity.
 _WINDOWS_PER_BLOCK = 12
-_MICROS_PER_MINUTE = 60_000_000
 
 
 def _windows_in_place(panes: DataFrame, window_minutes: int, slide_minutes: int) -> DataFrame:
@@ -21,7 +26,7 @@ def _windows_in_place(panes: DataFrame, window_minutes: int, slide_minutes: int)
     A block holds the windows that start in it; a pane is sent to each block (one or two) that
     has windows covering it and multiplied there.
     """
-    length, slide, span = (F.lit(minutes * _MICROS_PER_MINUTE) for minutes in (
+    length, slide, span = (F.lit(minutes * MINUTE) for minutes in (
         window_minutes, slide_minutes, lcm(window_minutes, slide_minutes) * _WINDOWS_PER_BLOCK))
     earliest = F.unix_micros("pane.end") - length
     start = F.unix_micros("pane.start")
@@ -39,6 +44,37 @@ def _windows_in_place(panes: DataFrame, window_minutes: int, slide_minutes: int)
     return sent.withColumn("_start", F.explode(starts))
 
 
+def activity_panes(window_minutes: int = WINDOW_MINUTES, slide_minutes: int = SLIDE_MINUTES,
+                   at: str = "timestamp") -> Panes:
+    """Events of a customer and channel in the longest pane that all windows are made of."""
+    return Panes(["customer_id", "channel"], {
+        "n": ("count(*)", "sum"), "last_activity": (f"max(`{at}`)", "max")},
+        gcd(window_minutes, slide_minutes), at)
+
+
+def _sums() -> tuple[Column, ...]:
+    # collect_list ignores null entries: events without a channel count but are not listed.
+    used = F.when(F.col("channel").isNotNull(), F.struct("channel", "n"))
+    return (F.sum("n").alias("event_count"), F.collect_list(used).alias("_used"),
+            F.max("last_activity").alias("last_activity"))
+
+
+def _shaped(windows: DataFrame, spell_out: bool) -> DataFrame:
+    channels = _spelled() if spell_out else _counted()
+    return windows.select("window", "customer_id", "event_count", channels, "last_activity")
+
+
+def windows_of_panes(panes: DataFrame, window_minutes: int = WINDOW_MINUTES,
+                     slide_minutes: int = SLIDE_MINUTES, spell_out: bool = False) -> DataFrame:
+    """The windows that a table of panes (``pane`` is a struct of start and end) adds up to."""
+    spread = _windows_in_place(panes, window_minutes, slide_minutes)
+    end = F.col("_start") + window_minutes * MINUTE
+    windows = spread.groupBy("_block", "_start", "customer_id").agg(*_sums()).withColumn(
+        "window", F.struct(F.timestamp_micros("_start").alias("start"),
+                           F.timestamp_micros(end).alias("end")))
+    return _shaped(windows, spell_out)
+
+
 def sliding_activity(events: DataFrame, window_minutes: int = WINDOW_MINUTES,
                      slide_minutes: int = SLIDE_MINUTES, watermark: str | None = None,
                      at: str = "timestamp", spell_out: bool = False) -> DataFrame:
@@ -55,7 +91,7 @@ def sliding_activity(events: DataFrame, window_minutes: int = WINDOW_MINUTES,
     kept: for windows known to be small, as the list is as long as the window has events.
 
     A stream needs ``watermark``, the longest delay of an event; later events are dropped and
-    windows are final once the watermark passes them.
+    windows are final once the watermark passes them.  ``start_sliding_activity`` keeps late events.
     """
     if watermark is not None:
         events = events.withWatermark(at, watermark)
@@ -64,21 +100,68 @@ def sliding_activity(events: DataFrame, window_minutes: int = WINDOW_MINUTES,
         events.groupBy(F.window(at, pane).alias("pane"), "customer_id", "channel")
         .agg(F.count("*").alias("n"), F.max(at).alias("last_activity"))
     )
-    # collect_list ignores null entries: events without a channel count but are not listed.
-    used = F.when(F.col("channel").isNotNull(), F.struct("channel", "n"))
-    sums = (F.sum("n").alias("event_count"), F.collect_list(used).alias("_used"),
-            F.max("last_activity").alias("last_activity"))
-    if events.isStreaming:
-        covering = F.window("pane", f"{window_minutes} minutes", f"{slide_minutes} minutes")
-        windows = panes.groupBy(covering.alias("window"), "customer_id").agg(*sums)
-    else:
-        spread = _windows_in_place(panes, window_minutes, slide_minutes)
-        end = F.col("_start") + window_minutes * _MICROS_PER_MINUTE
-        windows = spread.groupBy("_block", "_start", "customer_id").agg(*sums).withColumn(
-            "window", F.struct(F.timestamp_micros("_start").alias("start"),
-                               F.timestamp_micros(end).alias("end")))
-    channels = _spelled() if spell_out else _counted()
-    return windows.select("window", "customer_id", "event_count", channels, "last_activity")
+    if not events.isStreaming:
+        return windows_of_panes(panes, window_minutes, slide_minutes, spell_out)
+    covering = F.window("pane", f"{window_minutes} minutes", f"{slide_minutes} minutes")
+    return _shaped(panes.groupBy(covering.alias("window"), "customer_id").agg(*_sums()), spell_out)
+
+
+def start_sliding_activity(events: DataFrame, path: str, delay_minutes: int, checkpoint: str,
+                           trigger: Mapping | None = None, heartbeat: DataFrame | None = None,
+                           window_minutes: int = WINDOW_MINUTES,
+                           slide_minutes: int = SLIDE_MINUTES, at: str = "timestamp",
+                           spell_out: bool = False) -> StreamingQuery:
+    """Keeps panes and closed windows of an event stream in ``path``; no event is too late.
+
+    A window is written once its last pane is closed, and again, for the customers concerned, when
+    a late event falls into it; ``read_windows`` gives its last state.  A micro-batch reads the panes
+    of the windows that it closes, and of the late customers those around their late panes.
+    """
+    panes = activity_panes(window_minutes, slide_minutes, at)
+    length = window_minutes * MINUTE
+
+    def windows(found: DataFrame) -> DataFrame:
+        span = F.col("pane") + F.make_dt_interval(mins=F.lit(panes.minutes))
+        return windows_of_panes(found.withColumn("pane", F.struct(
+            F.col("pane").alias("start"), span.alias("end"))), window_minutes, slide_minutes,
+            spell_out)
+
+    def written(progress: Progress) -> None:
+        closed, before = progress.closed, progress.before
+        if closed is None:
+            return
+        end = F.unix_micros("window.end")
+        parts = []
+        if before is None or closed > before:
+            since = None if before is None else before - length
+            fresh = windows(read_panes(progress.spark, path, panes, since, closed))
+            parts.append(fresh.filter((end <= closed) & (F.lit(True) if before is None
+                                                         else end > before)))
+        late_from, late_to = progress.late_from, progress.late_to
+        if late_from is not None:
+            late = progress.late.select("customer_id", F.unix_micros("pane").alias("_pane"))
+            near = read_panes(progress.spark, path, panes, late_from - length, late_to + length) \
+                .join(late.select("customer_id").distinct(), "customer_id", "left_semi")
+            step, size = F.lit(slide_minutes * MINUTE), F.lit(panes.micros)
+            last = F.col("_pane") - F.pmod("_pane", step)
+            least = F.col("_pane") + size - F.lit(length)
+            least = least + F.pmod(-least, step)
+            touched = late.filter(least <= last).select("customer_id", F.explode(
+                F.sequence(least, last, step)).alias("_start")).distinct()
+            again = windows(near).filter(end <= before).withColumn(
+                "_start", F.unix_micros("window.start"))
+            parts.append(again.join(touched, ["customer_id", "_start"], "left_semi")
+                         .drop("_start"))
+        if parts:
+            reduce(DataFrame.unionByName, parts).write.mode("overwrite").parquet(
+                batch_folder(progress.batch, f"{path}/windows", progress.batch_id))
+
+    return start_panes(events, panes, path, delay_minutes, checkpoint, trigger, heartbeat, written)
+
+
+def read_windows(spark: SparkSession, path: str) -> DataFrame:
+    """The closed windows, each as it was written last."""
+    return newest(spark.read.parquet(f"{path}/windows"), ["window", "customer_id"])
 
 
 def _spelled() -> Column:

@@ -8,11 +8,9 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from touchflow.functions.messages import encode_responses, split_requests
-from touchflow.operators.monitoring import (
-    action_distribution, alert_windows_of_minutes, requests_per_minute,
-)
+from touchflow.operators.monitoring import action_distribution, requests_per_minute
 from touchflow.operators.recommend import experiment_log
-from touchflow.sources.streams import Sink, batch_folder, to_files, write_batches, write_stream
+from touchflow.sources.streams import Sink, write_batches, write_stream
 
 
 def start_recommendations(raw: DataFrame, recommend: Callable[[DataFrame], DataFrame],
@@ -44,34 +42,3 @@ def stream_minute_metrics(log: DataFrame, watermark: str, at: str = "timestamp")
 def stream_action_distribution(log: DataFrame, watermark: str, at: str = "timestamp"
                                ) -> DataFrame:
     return action_distribution(log.withWatermark(at, watermark), at)
-
-
-def start_alerts(log: DataFrame, watermark: str, minutes_path: str, alerts_path: str,
-                 checkpoint: str, trigger: Mapping | None = None, at: str = "timestamp"
-                 ) -> StreamingQuery:
-    """Keeps the minute table of a live log and evaluates the alert ranges that became final.
-
-    Each trigger adds its final minutes to the table and evaluates the ranges from the last minute
-    known before up to its own, over the table: a stretch without requests is part of them and
-    raises its alerts as soon as a later minute is final.
-    """
-    def evaluated(batch: DataFrame, batch_id: int) -> None:
-        kept = batch.persist()
-        try:
-            spark = batch.sparkSession
-            to_files(minutes_path)(kept, batch, batch_id)
-            span = kept.agg(F.min("minute"), F.max("minute")).first()
-            if span[0] is None:
-                return
-            run = batch_folder(batch, minutes_path, batch_id).rpartition("/")[0]
-            known = spark.read.parquet(run).filter(F.col("batch_id") <= batch_id)
-            before = known.filter(F.col("batch_id") < batch_id).agg(F.max("minute")).first()[0]
-            found = alert_windows_of_minutes(known, since=before, until=span[1])
-            to_files(alerts_path)(found, batch, batch_id)
-        finally:
-            kept.unpersist()
-
-    minutes = stream_minute_metrics(log, watermark, at)
-    writer = minutes.writeStream.foreachBatch(evaluated).outputMode("append") \
-        .option("checkpointLocation", checkpoint)
-    return (writer.trigger(**trigger) if trigger else writer).start()
