@@ -13,10 +13,12 @@ import __spark_entry__ as contract
 from touchflow.functions.messages import parse_events
 from touchflow.session import shared_folder
 from touchflow.sources.streams import file_stream, to_files, write_batches, write_stream
-from touchflow.streaming.activity import sliding_activity
-from touchflow.streaming.recommendations import (
-    start_alerts, start_recommendations, start_reject_log,
-)
+from touchflow.operators.monitoring import alert_windows
+from touchflow.plans import queries as plans
+from touchflow.streaming import alerts as live
+from touchflow.streaming.activity import read_windows, sliding_activity, start_sliding_activity
+from touchflow.streaming.panes import read_late
+from touchflow.streaming.recommendations import start_recommendations, start_reject_log
 
 EVENTS = "customer_id string, channel string, timestamp timestamp"
 RAW = "key string, value string, timestamp timestamp"
@@ -188,23 +190,104 @@ def test_a_new_checkpoint_leaves_earlier_answers(spark, rows, at):
     assert found.select("run_id").distinct().count() == 2
 
 
-def test_a_silent_stretch_raises_alerts_when_the_next_minute_is_final(spark, at):
-    schema = "latency_ms double, recommended_action string, timestamp timestamp"
-    feed = Feed(spark, schema)
-    minutes, found, checkpoint = (shared_folder(spark, n) for n in ("minutes", "alerts", "check"))
+LOG = "latency_ms double, recommended_action string, timestamp timestamp"
+BEAT = "timestamp timestamp"
+
+
+class Service:
+    """A live log with a heartbeat, its alerts, and what has come so far."""
+
+    def __init__(self, spark):
+        self.spark, self.log, self.beat, self.came = spark, Feed(spark, LOG), Feed(spark, BEAT), []
+        self.path, self.checkpoint = (shared_folder(spark, n) for n in ("alerts", "checkpoint"))
+
+    def run(self, *records, beat=None):
+        if records:
+            self.log.add(*records)
+            self.came += records
+        if beat is not None:
+            self.beat.add((beat,))
+        live.start_alerts(self.log.stream(), self.path, 1, self.checkpoint, NOW,
+                          self.beat.stream()).awaitTermination()
+
+    def raised(self):
+        return {(r["timestamp"], r["type"], r["message"])
+                for r in live.read_alerts(self.spark, self.path).collect()}
+
+
+def low_volume(service, first, until):
+    """Ends of the silent or thin ranges up to ``until``, by counting."""
+    found, end = {}, first
+    while (end := end + timedelta(minutes=1)) <= until:
+        n = sum(end - timedelta(minutes=5) <= r[2] < end for r in service.came)
+        if n < 10:
+            found[end] = n
+    return found
+
+
+def test_lasting_silence_raises_alerts_without_a_later_request(spark, at):
+    service = Service(spark)
+    service.beat.add((at("10:00:00"),))
+    service.run(*[(1.0, "a", at("10:00:30"))] * 12)
+    for minute in (4, 8, 13):  # nothing comes after 10:00
+        service.run(beat=at(f"10:{minute:02d}:30"))
+        ends = {end for end, _, _ in service.raised()}
+        assert ends == set(low_volume(service, at("10:00:00"), at(f"10:{minute - 1:02d}:00")))
+    assert at("10:12:00") in ends
+
+
+def test_a_late_request_changes_the_alerts_of_its_ranges(spark, at):
+    service = Service(spark)
+    service.beat.add((at("10:00:00"),))
+    service.run(*[(1.0, "a", at("10:00:30"))] * 12)
+    service.run(beat=at("10:20:30"))
+    service.run(*[(1.0, "a", at("10:07:10"))] * 9, (3000.0, "b", at("10:07:20")))
+    service.run((1.0, "a", at("09:58:00")), beat=at("10:21:30"))  # before the first of all
+    first, until = at("09:58:00"), at("10:20:00")
+    assert {(end, n) for end, kind, n in service.raised() if kind == "low_volume"} == {
+        (end, f"Low request volume: {n} requests")
+        for end, n in low_volume(service, first, until).items()}
+    table = spark.createDataFrame(service.came, LOG)
+    batch = {(r["timestamp"], r["type"], r["message"]) for r in alert_windows(table).collect()}
+    reach = max(r[2] for r in service.came) + timedelta(minutes=5)
+    assert {r for r in service.raised() if r[0] <= reach} == {r for r in batch if r[0] <= reach}
+    late = read_late(spark, service.path).select("missed", "latency_ms").collect()
+    assert len(late) == 11 and {r["missed"] for r in late} == {at("10:07:00"), at("09:58:00")}
+
+
+def test_alerts_read_the_minutes_of_their_ranges_only(spark, at, monkeypatch):
+    service, read = Service(spark), []
+    service.beat.add((at("2024-01-01 10:00:00"),))
+    service.run(*[(1.0, "a", at("2024-01-01 10:00:30"))] * 12)
+    kept = live.read_panes
+    monkeypatch.setattr(live, "read_panes", lambda *a, since=None, until=None, **b: (
+        read.append((until - since) // 60_000_000), kept(*a, since=since, until=until, **b))[1])
+    for hour in range(11, 14):
+        service.run(beat=at(f"2024-01-01 {hour}:00:00"))
+    assert len(read) == 3 and max(read) <= 60 + 4
+
+
+def test_late_events_change_their_windows(spark, events):
+    feed, path, checkpoint = Feed(spark, EVENTS), *(shared_folder(spark, n) for n in "ab")
+    beat = Feed(spark, BEAT)
+    beat.add((datetime(2024, 1, 15, 9),))
 
     def run():
-        start_alerts(feed.stream(), "1 minute", minutes, found, checkpoint,
-                     NOW).awaitTermination()
+        start_sliding_activity(feed.stream(), path, 10, checkpoint, NOW, beat.stream(),
+                               spell_out=True).awaitTermination()
 
-    feed.add(*[(1.0, "a", at("10:00:30"))] * 10)
-    run()
-    feed.add(*[(1.0, "a", at("10:10:30"))] * 10)
-    run()
-    feed.add((1.0, "a", at("10:30:30")))
+    draw = random.Random(3)
+    mixed = draw.sample(events, len(events))
+    for part in (mixed[:150], mixed[150:300], mixed[300:], [("c1", "web", datetime(2024, 1, 12))]):
+        feed.add(*part)
+        run()
+    beat.add((datetime(2024, 1, 16),))
     run()
-    ends = sorted(r["timestamp"] for r in spark.read.parquet(found).collect())
-    assert ends == [at("10:00:00") + timedelta(minutes=i) for i in range(6, 11)]
+    got = read_windows(spark, path)
+    assert shown(got) == brute_force([*events, ("c1", "web", datetime(2024, 1, 12))])
+    assert got.count() == len(shown(got))
+    on_time_only = len(events) + 1 - read_late(spark, path).count()
+    assert 0 < on_time_only < len(events)
 
 
 STREAMS = ("parse_events", "sliding_activity", "requests_per_minute", "action_distribution",
@@ -218,16 +301,18 @@ def in_parts(spark, tmp_path_factory):
     for file in Path("/root/testdata/sf0.001").iterdir():
         if file.stem != "events":
             (folder / file.name).symlink_to(file)
-    (spark.read.parquet("/root/testdata/sf0.001/events.parquet").repartition(3)
+    (spark.read.parquet("/root/testdata/sf0.001/events.parquet").repartition(3, "event_id")
      .write.parquet(str(folder / "events.parquet")))
     return str(folder)
 
 
 @pytest.mark.parametrize("name", [f"{n}_stream" for n in STREAMS]
                          + ["recommendations_stream", "experiment_log_stream"])
-def test_streams_read_a_folder_of_parts_like_a_file(spark, rows, in_parts, name):
+def test_streams_read_parts_out_of_order_like_a_file(spark, rows, in_parts, name, monkeypatch):
+    """Part files dealt by a hash, so each spans all times, and a micro-batch for each."""
     run = contract.queries()[name]
     whole = rows(run(spark, "/root/testdata/sf0.001"))
+    monkeypatch.setattr(plans, "STREAM_BYTES", 1)
     assert whole and rows(run(spark, in_parts)) == whole
 
 
