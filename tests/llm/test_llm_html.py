@@ -1,3 +1,6 @@
+import re
+from html import unescape
+
 import pytest
 
 from touchflow.llm import html_text
@@ -90,3 +93,60 @@ def test_an_article_does_not_displace_the_rest_of_main():
             f"<section><h2>Part two</h2><p>{LONG}</p><p>{LONG}</p></section></main>")
     assert main_text(page).split("\n") == [
         "Title", *[LONG.strip()] * 3, "Part two", *[LONG.strip()] * 2]
+
+
+@pytest.mark.parametrize("name", ["post tag-social category-ads", "content has-sidebar",
+                                  "page-header-content", "article-header", "layout--with-menu"])
+def test_names_of_the_container_of_all_text(name):
+    page = (f'<body><nav><a href="/">Home</a></nav><div class="{name}"><h1>Title</h1><p>{LONG}</p>'
+            f'<div class="ad">Buy</div><p>{LONG}</p></div><footer>End</footer></body>')
+    assert main_text(page).split("\n") == ["Title", *[LONG.strip()] * 2]
+
+
+def test_a_form_around_the_page_is_a_plain_box():
+    page = (f'<body><form action="/"><div><h1>Title</h1><p>{LONG}</p><p>{LONG}</p></div>'
+            f'<div class="sidebar"><p>{LONG}</p></div></form></body>')
+    assert main_text(page).split("\n") == ["Title", *[LONG.strip()] * 2]
+    page = f'<body><article><p>{LONG}</p></article><form><p>Your mail</p></form></body>'
+    assert main_text(page) == LONG.strip()
+
+
+def test_sibling_articles_are_all_kept():
+    one = f"<article><h2>Part</h2><p>{LONG}</p></article>"
+    assert main_text(f"<body><nav><a href=1>x</a></nav>{one}{one}</body>").split("\n") == \
+        ["Part", LONG.strip()] * 2
+    short = "<article><h2>Part</h2><p>A few words.</p></article>"
+    page = f"<body>{one}{short}</body>"
+    assert main_text(page).split("\n") == ["Part", LONG.strip(), "Part", "A few words."]
+
+
+@pytest.mark.parametrize("box", [
+    '<section id="comments">%s</section>', '<div class="comment-body">%s</div>',
+    '<div class="reader-comments">%s</div>', '<div class="user-comment">%s</div>',
+    '<ol class="commentlist">%s</ol>'])
+@pytest.mark.parametrize("page", ["<article><h1>Title</h1><p>%s</p>%%s</article>",
+                                  "<body><div><h1>Title</h1><p>%s</p></div>%%s</body>"])
+def test_comments_go_however_dense(page, box):
+    page = page % LONG % (box % f"<p>{LONG}</p><p>{LONG}</p><p>{LONG}</p>")
+    assert main_text(page).split("\n") == ["Title", LONG.strip()]
+
+
+def slow_article(html):
+    """The blocks of a given page's article, by cutting the markup with patterns."""
+    inner = re.search(r"<article>(.*?)(?:</article>|<footer>|$)", html, re.DOTALL)[1]
+    inner = re.sub(r"<!--.*?-->", "", inner, flags=re.DOTALL)
+    for name in ("script", "style", "nav", "aside", "form", 'div class="ad"'):
+        inner = re.sub(rf"<{name}.*?</{name.split()[0]}>", "\0", inner, flags=re.DOTALL)
+    inner = re.sub(r"</?(?:h[1-6]|p|div|ul|ol|li|blockquote|table|tr|td|th|section)\b[^>]*>", "\0", inner)
+    inner = re.sub(r"<br[^>]*>", " ", inner)
+    inner = re.sub(r"</?[a-zA-Z][^>]*>", "", inner)
+    blocks = [" ".join(unescape(b).split()) for b in inner.split("\0")]
+    return "\n".join(b for b in blocks if b)
+
+
+def test_given_pages_equal_a_slow_extraction(spark):
+    rows = html_text.extract(spark.read.parquet("/root/testdata/sf0.01/pages.parquet")).collect()
+    pages = {r["page_id"]: r["html"]
+             for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()}
+    wrong = [r["page_id"] for r in rows if r["text"] != slow_article(pages[r["page_id"]] or "<article>")]
+    assert len(rows) == len(pages) and not wrong

@@ -67,3 +67,12 @@ def test_empty_table_and_no_python_in_the_plan(spark):
     assert mixed.collect() == []
     plan = mixed._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+def test_input_columns_named_like_those_of_the_result(spark):
+    docs = spark.createDataFrame([(i, "x", "s", i, "k", -1) for i in range(30)],
+                                 "doc_id long, text string, source string, copy long, "
+                                 "order_key string, copies int")
+    found = mixing.mix(docs, epochs=2.0).collect()
+    assert found and all(r["input_copy"] == r["doc_id"] and r["input_order_key"] == "k"
+                         and r["input_copies"] == -1 and 0 <= r["copy"] < r["copies"] for r in found)

@@ -8,19 +8,17 @@ SCHEMA = "vec_id long, embedding array<float>, label int, rank string, dim strin
 
 
 def brute(rows, every, k=5):
-    best = {}
-    for i, e in rows:
-        if i is None or e is None or any(x is None or not np.isfinite(x) for x in e):
-            continue
-        v = [float(np.float32(x)) for x in e]
-        best[i] = min(best.get(i, v), v)
-    whole = {i: [int(np.floor(256 * x)) for x in v] for i, v in best.items()}
-    out = []
-    for q, v in whole.items():
+    whole = [(i, [int(np.floor(256 * float(np.float32(x)))) for x in e]) for i, e in rows
+             if i is not None and e is not None and all(
+                 x is not None and np.isfinite(x) for x in e)]
+    scores, out = {}, []
+    for q, v in whole:
         if q % every == 0:
-            scores = sorted((-sum(a * b for a, b in zip(v, w)), i) for i, w in whole.items()
-                            if i != q and len(w) == len(v))
-            out += [(q, n + 1, i, -s) for n, (s, i) in enumerate(scores[:k])]
+            scores.setdefault(q, []).extend(
+                (-sum(a * b for a, b in zip(v, w)), i) for i, w in whole
+                if i != q and len(w) == len(v))
+    for q, found in scores.items():
+        out += [(q, n + 1, i, -s) for n, (s, i) in enumerate(sorted(found)[:k])]
     return sorted(out)
 
 
@@ -67,3 +65,12 @@ def test_boxes_are_tight_and_bounds_hold():
         assert (own.min(axis=0) == low).all() and (own.max(axis=0) == high).all()
         assert (own @ q).max() <= np.maximum(q, 0) @ high + np.minimum(q, 0) @ low + 1e-9
     assert sorted(tree.ids) == list(range(500))
+
+
+def test_every_row_of_a_repeated_id_is_a_candidate(spark):
+    rows = [(0, [1.0, 2.0]), (1, [1.0, 0.0]), (1, [3.0, 3.0])]
+    assert run(spark, rows) == [(0, 1, 1, 589824), (0, 2, 1, 65536)]
+    draw = np.random.default_rng(4)
+    rows = [(i % 7, draw.normal(size=3).tolist()) for i in range(150)]
+    rows += [(5, rows[0][1])] * 90  # a hot query id with equal rows
+    assert run(spark, rows, shard=30, block=8) == brute(rows, 5)

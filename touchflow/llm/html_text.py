@@ -2,12 +2,14 @@
 
 The standard library's parser streams a page's events into lines, one per text block, each with
 its text, the number of tags around it and its place in the page. Blocks of menus, headers, footers,
-sidebars, notices, adverts, forms and comments are set aside by their element, role, class or id; inside
-an article only by whole names and known compounds of them, and never by the id of a heading or
-paragraph. The text-to-tag ratios of the lines are smoothed with a Gaussian and split into two clusters,
-which also decide on blocks whose name is in doubt. The content region is the innermost article or main,
+sidebars, notices, adverts, forms and comments are set aside by their element, role, class or id, where a
+class or id counts as a whole name or a known compound, and never as the id of a heading or paragraph.
+What is set aside by such a name, or as a form, comes back if the page's content is in it: nine tenths
+of the dense text, or half of it with an article, main or h1; comments never do. The text-to-tag ratios of the lines are smoothed with a Gaussian and split into two clusters,
+which also decide on blocks of an article whose name is in doubt. The content region is the innermost article or main,
 or else the smallest container, that holds all lines of the content cluster but lists of links; all its
-lines are kept, headings and short paragraphs included, and so is a heading right before it.
+lines are kept, headings and short paragraphs included, and so are an article's sibling articles and a
+heading right before it.
 
 Edge cases: null and empty pages have the text ""; broken markup is read as the parser reads it;
 pages of markup only have the text ""; repeated rows are extracted each; other columns are ignored.
@@ -33,7 +35,7 @@ BLOCK = frozenset(
     "nav ol p pre search section summary table tbody td tfoot th thead title tr ul".split())
 HIDDEN = frozenset(
     "head script style noscript template title iframe object embed svg math canvas audio video "
-    "button select option optgroup textarea input datalist label form fieldset legend nav footer "
+    "button select option optgroup textarea input datalist label fieldset legend nav footer "
     "aside menu dialog search".split())
 ROLES = frozenset(
     "navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar "
@@ -50,16 +52,21 @@ MARKS = frozenset(
     "toolbar widget widgets".split())
 #: Words that mark the head of a page, but may as well mark an article's own heading inside it.
 HEAD_MARKS = frozenset("banner header masthead".split())
+#: Words that go with these in the name of a page's head.
+HEAD_WITH = frozenset("area bar block box container global inner left main page right site top wrap "
+                      "wrapper".split())
 #: Words that go with a mark in a name, as in ``related-posts``.
 WITH = frozenset(
-    "area bar block bottom box button buttons container content count form header inner item items "
-    "icons left link links list main message module outer panel popup post posts articles right row "
-    "section slot thread title top unit wrap wrapper".split())
+    "area bar block body bottom box button buttons col column container content count fixed floating "
+    "form global google header inline inner item items icons left link links list main message mobile "
+    "module outer page panel popup post posts articles primary reader readers right row secondary section "
+    "side site slot sticky text thread title top unit user users wide wrap wrapper".split())
 #: Marks that may as well name a paragraph, heading or section of an article.
 DOUBTFUL = frozenset(
-    "comment comments consent cookie cookies menu notice notices notification overlay promotion related "
+    "consent cookie cookies menu notice notices notification overlay promotion related "
     "recommended share sharing social sponsor subscribe subscription".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+COMMENTS = frozenset("comment comments commentlist disqus".split())
 _WORD = re.compile(r"[a-z0-9]+")
 _SPACE = re.compile(r"\s+")
 
@@ -71,39 +78,30 @@ LIMITS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"
           "th": {"table"}, "option": {"select"}}
 
 
-def _marked(attributes: list[tuple[str, str | None]], marks: frozenset[str]) -> bool:
-    for name, value in attributes:
-        if name == "hidden":
-            return True
-        if not value:
-            continue
-        value = value.lower()
-        if name in ("class", "id"):
-            if not marks.isdisjoint(_WORD.findall(value)):
-                return True
-        elif name == "role" and value.strip() in ROLES or name == "aria-hidden" and value == "true":
-            return True
-    return False
-
-
-def _in_article(tag: str, attributes: list[tuple[str, str | None]]) -> bool | None:
-    """Whether an element of an article is set aside; None where its lines decide."""
-    doubt = False
+#: How an element is set aside: not at all, in doubt, by name or as a form, and for good.
+KEPT, DOUBT, NAMED, GONE = range(4)
+
+
+def _set_aside(tag: str, attributes: list[tuple[str, str | None]], inside: bool) -> int:
+    """How an element is set aside by its attributes, ``inside`` an article or main."""
+    text, found = tag == "p" or tag in HEADINGS, KEPT
     for name, value in attributes:
-        if name not in ("class", "id"):
-            if _marked([(name, value)], MARKS):
-                return True
+        if name == "hidden" or value and (
+                name == "role" and value.lower().strip() in ROLES
+                or name == "aria-hidden" and value.lower() == "true"):
+            return GONE
+        if name not in ("class", "id") or not value or name == "id" and text:
             continue
-        text = tag == "p" or tag in HEADINGS
-        if name == "id" and text:
-            continue
-        for one in (value or "").lower().split():
+        for one in value.lower().split():
             words = {w for w in _WORD.findall(one) if not w[0].isdigit()}
             if words & MARKS and words <= MARKS | WITH:
-                if not (words <= DOUBTFUL and (text or name == "id" and tag == "section")):
-                    return True
-                doubt = True
-    return None if doubt else False
+                if words & COMMENTS:
+                    return GONE
+                doubt = inside and words <= DOUBTFUL and (text or name == "id" and tag == "section")
+                found = max(found, DOUBT if doubt else NAMED)
+            elif not inside and words & HEAD_MARKS and words <= HEAD_MARKS | HEAD_WITH:
+                found = NAMED
+    return found
 
 
 class _Lines(HTMLParser):
@@ -119,6 +117,7 @@ class _Lines(HTMLParser):
         self.words: list[str] = []
         self.tags = 0
         self.doubtful: set[int] = set()
+        self.named: set[int] = set()
         self.links: set[int] = set()  # open elements
         self.linked = 0  # characters of the line in links
 
@@ -127,7 +126,7 @@ class _Lines(HTMLParser):
             text = _SPACE.sub(" ", "".join(self.words)).strip()
             self.words = []
             if text:
-                path = tuple(n for name, n, _ in self.open if name in BLOCK)
+                path = tuple(n for name, n, _ in self.open if name in BLOCK or n in self.named)
                 self.lines.append((text, self.tags, path, 2 * self.linked > len(text)))
                 self.tags = 0
             self.linked = 0
@@ -165,18 +164,16 @@ class _Lines(HTMLParser):
         if tag in VOID:
             return
         inside = any(name in ("article", "main") for name, _, _ in self.open)
-        hides = tag in HIDDEN or tag == "header" and not inside
-        if not hides and attributes and tag not in ("html", "body", "main", "article"):
-            if inside:
-                hides = _in_article(tag, attributes)
-            else:
-                text = tag == "p" or tag in HEADINGS
-                hides = _marked([x for x in attributes if not (text and x[0] == "id")],
-                                MARKS | HEAD_MARKS)
+        aside = GONE if tag in HIDDEN or tag == "header" and not inside else \
+            NAMED if tag == "form" else KEPT
+        if aside < GONE and attributes and tag not in ("html", "body", "main", "article"):
+            aside = max(aside, _set_aside(tag, attributes, inside))
         self.number += 1
-        if hides is None:
+        if aside == DOUBT:
             self.doubtful.add(self.number)
-            hides = False
+        elif aside == NAMED:
+            self.named.add(self.number)
+        hides = aside == GONE
         if tag == "a" and any(name == "href" for name, _ in attributes):
             self.links.add(self.number)
         self.kind[self.number] = tag
@@ -253,18 +250,13 @@ def main_text(html: str | None) -> str:
     lines = parser.finish()
     if not lines:
         return ""
+    for containers, drops in ((parser.named, _without_content), (parser.doubtful, _mostly_thin)):
+        if containers:
+            dropped = drops(parser, lines, containers)
+            lines = [line for line in lines if dropped.isdisjoint(line[2])]
+            if not lines:
+                return ""
     content = _content(lines)
-    if parser.doubtful:
-        held, dense = Counter(), Counter()
-        for i, (text, _, path, _) in enumerate(lines):
-            for container in parser.doubtful.intersection(path):
-                held[container] += len(text)
-                dense[container] += len(text) * (i in content)
-        dropped = {c for c in held if 2 * dense[c] < held[c]}
-        lines = [line for line in lines if dropped.isdisjoint(line[2])]
-        if not lines:
-            return ""
-        content = _content(lines)
     regions = _regions(parser, lines, sorted(content))
     inside = [not regions or not regions.isdisjoint(path) for _, _, path, _ in lines]
     if regions:
@@ -272,6 +264,33 @@ def main_text(html: str | None) -> str:
     return "\n".join(line[0] for line, keep in zip(lines, inside) if keep)
 
 
+def _held(lines: list[tuple], containers: set[int]) -> tuple[Counter, Counter, int]:
+    """Characters and dense characters in each container, and dense ones of the page."""
+    content = _content(lines)
+    held, dense, total = Counter(), Counter(), 0
+    for i, (text, _, path, _) in enumerate(lines):
+        total += len(text) * (i in content)
+        for container in containers.intersection(path):
+            held[container] += len(text)
+            dense[container] += len(text) * (i in content)
+    return held, dense, total
+
+
+def _without_content(parser: _Lines, lines: list[tuple], containers: set[int]) -> set[int]:
+    """Containers set aside by name that do not hold the page's content."""
+    held, dense, total = _held(lines, containers)
+    head = {c for _, _, path, _ in lines
+            if any(parser.kind[n] in ("article", "main", "h1") for n in path)
+            for c in containers.intersection(path[:1 + max(
+                i for i, n in enumerate(path) if parser.kind[n] in ("article", "main", "h1"))])}
+    return {c for c in held if 10 * dense[c] < 9 * total and not (c in head and 2 * dense[c] > total)}
+
+
+def _mostly_thin(parser: _Lines, lines: list[tuple], containers: set[int]) -> set[int]:
+    held, dense, _ = _held(lines, containers)
+    return {c for c in held if 2 * dense[c] < held[c]}
+
+
 def _content(lines: list[tuple]) -> set[int]:
     """Lines of the content cluster that are not mostly links; with them if there are no others."""
     ratios = smoothed([len(text) / max(1, tags) for text, tags, _, _ in lines])
@@ -297,12 +316,25 @@ def _regions(parser: _Lines, lines: list[tuple], content: list[int]) -> set[int]
             outer.setdefault(top, []).append(i)
     if 2 * sum(len(lines[i][0]) for own in outer.values() for i in own) > sum(
             len(lines[i][0]) for i in content):
-        return {_innermost(lines, own, named) for own in outer.values()}
+        return _siblings(parser, lines, {_innermost(lines, own, named) for own in outer.values()})
     several = Counter(container for _, _, path, _ in lines for container in path)
     region = _innermost(lines, content, lambda c: several[c] > 1)
     return set() if region is None else {region}
 
 
+def _siblings(parser: _Lines, lines: list[tuple], regions: set[int]) -> set[int]:
+    """The regions, and the articles beside one of them that are not mostly links."""
+    parent, held, linked = {}, Counter(), Counter()
+    for text, _, path, links in lines:
+        for above, container in zip((0, *path), path):
+            if parser.kind[container] == "article":
+                parent[container] = above
+                held[container] += len(text)
+                linked[container] += len(text) * links
+    beside = {parent[c] for c in regions if c in parent}
+    return regions | {c for c, above in parent.items() if above in beside and 2 * linked[c] <= held[c]}
+
+
 def _with_heading(parser: _Lines, lines: list[tuple], inside: list[bool]) -> None:
     """Also keeps the headings right before the article in its parent, and what is between."""
     first = inside.index(True)

@@ -8,7 +8,7 @@ The copies are exploded and dealt to tasks by a hash, i.e. in global random orde
 Edge cases: a null source is a source of its own; a null id is replaced by its text's digest; null
 and empty texts weigh their one terminating byte; sources without a given weight get none when
 weights are given; repeated rows get equal numbers of copies; an empty table gives no rows. Extra
-columns are kept and may have any name except ``copy``, ``copies`` and ``order_key``.
+columns are kept; those named like one of the result's own (``OWN``) are returned as ``input_<name>``.
 """
 
 from __future__ import annotations
@@ -21,6 +21,7 @@ from touchflow.session import stored
 
 TEMPERATURE = 0.7
 SEED = 20240601
+OWN = ("copies", "copy", "order_key")
 #: exp(-rate) must not underflow: larger rates are the sum of several Poisson numbers.
 LARGEST_PART = 200.0
 
@@ -102,6 +103,7 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, temperature: float =
 
     Rows are dealt by ``order_key`` and sorted by it within a task.
     """
+    docs = docs.withColumnsRenamed({name: f"input_{name}" for name in OWN if name in docs.columns})
     rates = source_rates(docs, weights, temperature, epochs)
     chosen = copies(docs, rates, seed).where("copies > 0")
     return chosen.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1))) \

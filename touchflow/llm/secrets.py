@@ -7,10 +7,14 @@ of a private key is one. For each such finding the forest sees its length, its f
 how much of it dictionary words cover, whether it is part of a path, address or number, and the
 words around it. The forest (``pyspark.ml``) is trained on labelled findings: given ones, or those
 of the documents themselves as ``known_label`` labels them, with made-up look-alikes; at most
-``PER_LABEL`` of each label, the first by a hash of the value and its surroundings.
+``PER_LABEL`` of each label, the first by a hash of the value and its surroundings. Letter
+transitions and the dictionary are counts over all words of all texts; a word is in the dictionary
+from a share of ``WORD_SHARE`` of all words on, which bounds its size.
 
-The texts are read once to find and once to redact; only findings are stored. A finding is judged
-by itself, so the scan has no shuffle that grows with a hot document, source or value.
+The texts are read for these counts, to find what to learn from, and to judge or redact; nothing of
+them is stored. Values under ``LEAST_CHARS`` characters are no findings. A finding is judged by itself,
+so the scan has no shuffle that grows with a hot document, source or value; words are counted before
+their shuffle.
 
 Edge cases: null and empty texts have no findings; repeated rows have the same findings each;
 without findings of both labels the look-alikes alone train the forest; an empty table gives no
@@ -25,19 +29,22 @@ import random
 import re
 import string
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from touchflow.llm.tables import whole_text
-from touchflow.session import shared_folder, stored
+from touchflow.session import released, shared_folder, stored
 
+#: Characters of the shortest value that is looked at.
 LEAST_CHARS = 8
+#: Share of all words, in millionths, and times that a dictionary word occurs at least.
+WORD_SHARE, WORD_TIMES = 20, 3
 #: Bound of the training findings per label.
 PER_LABEL = 8000
 TREES, DEPTH, SEED = 24, 7, 11
@@ -57,6 +64,9 @@ FORMATS = {
     "slack": re.compile(r"xox[abprs]-[A-Za-z0-9-]{10,}"),
     "google": re.compile(r"AIza[0-9A-Za-z_-]{35}"),
     "stripe": re.compile(r"[sr]k_(?:live|test)_[0-9A-Za-z]{16,}"),
+    "gitlab": re.compile(r"glpat-[\w-]{20,}"),
+    "sendgrid": re.compile(r"SG\.[\w-]{16,}\.[\w-]{16,}"),
+    "npm": re.compile(r"npm_[A-Za-z0-9]{36}"),
     "jwt": re.compile(r"eyJ[\w-]{8,}\.[\w-]{8,}\.[\w-]+"),
     "pem": re.compile(r"-----BEGIN [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----.*-----END [A-Z0-9 ]+-----",
                       re.DOTALL),
@@ -71,7 +81,8 @@ DICTIONARY = ("access account admin address amount api app application article a
               "state static status string style system table target test text time title token "
               "type update user value version view web word world www").split()
 
-_SIGN = re.compile(r"[0-9=:]|AKIA|ASIA|AIza|gh[pousr]_|xox[abprs]-|[sr]k_(?:live|test)_|eyJ")
+_SIGN = re.compile(r"[0-9=:]|AKIA|ASIA|AIza|gh[pousr]_|xox[abprs]-|[sr]k_(?:live|test)_|eyJ|"
+                   r"glpat-|SG\.|npm_")
 _INSIDE = re.compile("|".join(rf"(?<![A-Za-z0-9])(?:{p.pattern})(?![A-Za-z0-9])"
                               for name, p in FORMATS.items() if name != "pem"))
 _PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?)-----")
@@ -291,16 +302,12 @@ def made_up(count: int = MADE_UP, seed: int = SEED) -> list[tuple[int, str, str,
 
 
 class Language:
-    """Ordinary words near findings: letter transitions and a dictionary."""
+    """The words of all texts: letter transitions and a dictionary."""
 
-    def __init__(self, words: Counter) -> None:
-        counts = np.ones((27, 27))
-        for word, times in words.items():
-            codes = self.codes(word)
-            np.add.at(counts, (codes[:-1], codes[1:]), min(times, 20))
+    def __init__(self, pairs: np.ndarray, words: Iterable[str]) -> None:
+        counts = pairs + 1.0
         self.log = np.log(counts / counts.sum(axis=1, keepdims=True))
-        frequent = {w.lower() for w, n in words.items() if n >= 3 and len(w) >= 4 and w.isalpha()}
-        self.words = frozenset(frequent | {w for w in DICTIONARY if len(w) >= 3})
+        self.words = frozenset(words) | {w for w in DICTIONARY if len(w) >= 3}
         self.longest = max(map(len, self.words))
 
     @staticmethod
@@ -405,19 +412,51 @@ def labelled(found: DataFrame) -> DataFrame:
         .where("label IS NOT NULL")
 
 
-def train(labels: DataFrame, per_label: int = PER_LABEL) -> Forest:
+def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per task how often each letter follows each other, from words and their counts."""
+    total = np.zeros((27, 27))
+    for batch in batches:
+        for word, times in zip(batch["word"].to_pylist(), batch["n"].to_pylist()):
+            codes = Language.codes(word)
+            np.add.at(total, (codes[:-1], codes[1:]), times)
+    a, b = np.nonzero(total)
+    yield pa.RecordBatch.from_arrays(
+        [pa.array(a, pa.int32()), pa.array(b, pa.int32()), pa.array(total[a, b])], ["a", "b", "n"])
+
+
+def language(docs: DataFrame) -> Language:
+    """Letter pairs and dictionary of all words of letters in all texts, but those in capitals."""
+    plain = r"^\\p{L}+$"
+    counts = docs.select(F.explode(F.split(whole_text(), r"\s+")).alias("word")).where(
+        f"word rlike '{plain}' AND word <> upper(word)").groupBy(F.lower("word").alias("word")).agg(
+        F.count(F.lit(1)).alias("n")).where(F.col("n") >= WORD_TIMES)
+    counts = stored(counts, "secret-words")
+    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    pairs = np.zeros((27, 27))
+    for r in counts.mapInArrow(_pairs, "a int, b int, n double").groupBy("a", "b").agg(
+            F.sum("n").alias("n")).collect():
+        pairs[r["a"], r["b"]] = r["n"]
+    words = counts.where((F.length("word") >= 4) & (F.col("n") * 1_000_000 >= WORD_SHARE * total)) \
+        .select("word").collect()  # at most 1,000,000 / WORD_SHARE
+    released(counts)
+    return Language(pairs, [r["word"] for r in words])
+
+
+def train(labels: DataFrame, known: Language, per_label: int = PER_LABEL) -> Forest:
     """A forest from labelled findings (label, value, key, quoted, before, after)."""
     spark = labels.sparkSession
     columns = ["label", "value", "key", "quoted", "before", "after"]
-    distinct = labels.select(*columns).distinct()
     order = [F.xxhash64(*columns[1:]), *columns[1:]]
-    sample = distinct.where("label = 1").orderBy(*order).limit(per_label).unionByName(
-        distinct.where("label = 0").orderBy(*order).limit(per_label)).collect()
-    words = Counter(w for r in sample for w in f"{r['before']} {r['after']}".split()
-                    if w.isalpha() and not w.isupper())
-    language = Language(words)
-    rows = [(int(r[0]), features(language, *r[1:])) for r in [*sample, *made_up()]]
-    return Forest(_fitted(spark, rows), language)
+    first = Window.partitionBy("label").orderBy(*order)
+    sample = labels.select(*columns).distinct().withColumn("_rank", F.row_number().over(first)) \
+        .where(F.col("_rank") <= per_label).drop("_rank").collect()
+    rows = [(int(r[0]), features(known, *r[1:])) for r in [*sample, *made_up()]]
+    return Forest(_fitted(spark, rows), known)
+
+
+def learned(docs: DataFrame) -> Forest:
+    """A forest from the findings of the documents that are certain, and their words."""
+    return train(labelled(detect(docs)), language(docs))
 
 
 def _fitted(spark: SparkSession, rows: list[tuple[int, list[float]]]) -> list[tuple]:
@@ -460,9 +499,8 @@ def _judged(forest: Forest):
 
 def scan(docs: DataFrame) -> DataFrame:
     """All findings of the documents with their score and verdict; values only as digests."""
-    found = stored(detect(docs), "secret-findings")
-    forest = train(labelled(found))
-    return found.mapInArrow(
+    forest = learned(docs)
+    return detect(docs).mapInArrow(
         _judged(forest), "doc_id bigint, start int, length int, kind string, value_sha256 string, "
         "score double").withColumn("is_secret", F.col("score") >= 0.5)
 
@@ -486,7 +524,7 @@ def redact(docs: DataFrame) -> DataFrame:
 
     Only the texts go to Python, and only changed ones come back.
     """
-    forest = train(labelled(stored(detect(docs), "secret-findings")))
+    forest = learned(docs)
 
     @F.arrow_udf("string")
     def masked(text: pa.Array) -> pa.Array:

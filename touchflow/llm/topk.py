@@ -11,9 +11,10 @@ Scores are integers: components x become floor(scale * x). They are computed in
 partial sum is below 2**53 and in 64-bit integers beyond; a score beyond 64 bits is an error.
 
 Edge cases: vectors that are null or hold a null or non-finite component and rows without an id
-take no part; of several vectors under one id the smallest in array order counts; vectors are only
-compared with those of their own length; ties go to the smaller id; with fewer than k candidates
-all are returned; empty tables give no rows; extra columns are ignored.
+take no part; every row of a repeated id is a candidate, of other ids' queries only, and a query
+id of several rows gets the best of all of them; vectors are only compared with those of their own
+length; ties go to the smaller id; with fewer than k candidates all are returned; empty tables give no
+rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -44,15 +45,13 @@ def shard_count(n: F.Column, shard: int = SHARD) -> F.Column:
 
 
 def vectors(table: DataFrame, scale: float = SCALE) -> DataFrame:
-    """(vec_id, dim, vector): one usable vector of integers in doubles per id."""
+    """(vec_id, dim, vector) of the usable rows, with vectors of integers in doubles."""
     x = F.transform("embedding", lambda v: F.floor(v.cast("double") * scale).cast("double"))
     usable = F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & ~F.exists(
         "embedding", lambda v: v.isNull() | F.isnan(v.cast("double")) | (
             F.abs(v.cast("double")) == float("inf")))
-    return table.where(usable).groupBy(F.col("vec_id").cast("long").alias("vec_id")) \
-        .agg(F.min(F.struct(F.transform("embedding", lambda v: v.cast("double")))).alias("v")) \
-        .select("vec_id", F.col("v.col1").alias("embedding")) \
-        .select("vec_id", F.size("embedding").alias("dim"), x.alias("vector"))
+    return table.where(usable).select(F.col("vec_id").cast("long").alias("vec_id"),
+                                      F.size("embedding").alias("dim"), x.alias("vector"))
 
 
 class Tree:
@@ -221,17 +220,19 @@ def top_k(table: DataFrame, is_query, k: int = 5, scale: float = SCALE, shard: i
     ``is_query`` is a condition on ``vec_id``. Data moved: every vector three times, and every
     block of queries once per shard.
     """
-    rows = stored(vectors(table, scale), "topk-vectors")
+    # ``deal`` spreads the rows of a repeated id.
+    rows = stored(vectors(table, scale).withColumn("deal", F.monotonically_increasing_id()),
+                  "topk-vectors")
     sizes = rows.groupBy("dim").agg(
         shard_count(F.count(F.lit(1)), shard).alias("shards"),
         F.count(F.when(is_query, 1)).alias("asked"))  # one row per length of vectors
     count = rows.join(sizes, "dim")
     none = F.lit(None).cast("long")
     shards = stored(_packed(count.select(
-        "dim", F.pmod(F.xxhash64("vec_id"), F.col("shards")).cast("int").alias("shard"),
+        "dim", F.pmod(F.xxhash64("vec_id", "deal"), F.col("shards")).cast("int").alias("shard"),
         none.alias("block"), "vec_id", "vector", F.lit(0.0).alias("floor"))), "topk-shards")
     asked = count.where(is_query).withColumn(
-        "block", F.pmod(F.xxhash64(F.lit("block"), "vec_id"), F.ceil(F.col("asked") / block)))
+        "block", F.pmod(F.xxhash64(F.lit("block"), "vec_id", "deal"), F.ceil(F.col("asked") / block)))
 
     # First pass: the block's own shard, for a k-th score of each query.
     home = F.pmod(F.xxhash64("block"), F.col("shards")).cast("int")
