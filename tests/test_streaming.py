@@ -291,7 +291,7 @@ def test_late_events_change_their_windows(spark, events):
 
 
 STREAMS = ("parse_events", "sliding_activity", "requests_per_minute", "action_distribution",
-           "alert_windows", "rejected_requests", "request_log")
+           "alert_windows", "rejected_requests", "request_log", "session_table", "feature_lookup")
 
 
 @pytest.fixture(scope="module")

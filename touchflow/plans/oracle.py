@@ -721,7 +721,8 @@ _QUERIES = {
 
 # Streams drained to their end hold what the batch queries give.
 for _name in ("parse_events", "sliding_activity", "requests_per_minute", "action_distribution",
-              "alert_windows", "rejected_requests", "request_log"):
+              "alert_windows", "rejected_requests", "request_log", "session_table",
+              "feature_lookup"):
     _QUERIES[f"{_name}_stream"] = _QUERIES[_name]
 _QUERIES["recommendations_stream"] = _QUERIES["encode_responses"]
 _QUERIES["experiment_log_stream"] = f"""SELECT customer_id, 'model_version_test' AS test_name,

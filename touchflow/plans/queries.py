@@ -25,7 +25,9 @@ from touchflow.sources import tables as sources
 from touchflow.sources.streams import file_stream, write_batches, write_stream
 from touchflow.streaming import alerts as live
 from touchflow.streaming.activity import read_windows, sliding_activity, start_sliding_activity
+from touchflow.streaming.lookups import lookup_features_stream
 from touchflow.streaming.recommendations import start_recommendations, start_reject_log
+from touchflow.streaming.sessions import read_sessions, start_sessions
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -388,6 +390,10 @@ def feature_upsert(spark, sf_dir):
 def feature_lookup(spark, sf_dir):
     found = features.lookup_features(t.request_keys(spark, sf_dir),
                                      t.stored_writes(spark, sf_dir), t.STORED_FEATURES)
+    return _lookup_shown(found)
+
+
+def _lookup_shown(found: DataFrame) -> DataFrame:
     values = [F.col(f"stored_{n}").cast("double").alias(f"stored_{n}")
               for n in t.STORED_FEATURES]
     return found.select("request_id", "customer_id", *values)
@@ -611,9 +617,9 @@ def _event_stream(spark, sf_dir) -> DataFrame:
     return t.event_rows(raw.withColumn("ts", F.col("ts").cast("timestamp")))
 
 
-def _closed(spark, sf_dir, start: Callable, label: str) -> str:
-    """Runs a query of panes to the end of the table, then once more with a heartbeat a day after
-    the last event, by which time all panes are closed; gives its folder."""
+def _closed(spark, sf_dir, start: Callable, label: str, minutes: int = 1440) -> str:
+    """Runs a query to the end of the table, then once more with a heartbeat some minutes after the
+    last event, by which time all panes are closed; gives its folder."""
     path, beats = shared_folder(spark, label), shared_folder(spark, "heartbeat")
     spark.createDataFrame([], "timestamp timestamp").write.parquet(beats)
 
@@ -625,7 +631,7 @@ def _closed(spark, sf_dir, start: Callable, label: str) -> str:
 
     if not run():
         raise RuntimeError(f"{label}: the stream read nothing")
-    last = F.max("timestamp") + F.expr("INTERVAL 1 DAY")
+    last = F.max("timestamp") + F.make_dt_interval(mins=F.lit(minutes))
     t.events(spark, sf_dir).agg(last.alias("timestamp")).write.mode("append").parquet(beats)
     run()
     return path
@@ -710,6 +716,34 @@ def alert_windows_stream(spark, sf_dir):
     return present(live.read_alerts(spark, path).filter(F.col("timestamp") <= last + reach))
 
 
+@query("session_table_stream")
+def session_table_stream(spark, sf_dir):
+    rows = _event_stream(spark, sf_dir).select("session_id", "event_type", "timestamp")
+
+    def start(path, checkpoint, trigger, heartbeat):
+        return start_sessions(rows, path, DELAY_MINUTES, checkpoint, trigger, heartbeat)
+
+    return present(read_sessions(spark, _closed(spark, sf_dir, start, "sessions-stream")))
+
+
+@query("feature_lookup_stream")
+def feature_lookup_stream(spark, sf_dir):
+    """Writes and requests of one stream.  The files of a table may be in any order of time, so an
+    answer waits for all of them: the delay is the time they span."""
+    rows = _event_stream(spark, sf_dir)
+    span = t.events(spark, sf_dir).agg(F.ceil((F.max(F.unix_micros("timestamp")) - F.min(
+        F.unix_micros("timestamp"))) / 60_000_000).alias("minutes")).first()["minutes"] or 0
+    writes, requests = t.view_writes(rows), t.keys_of_requests(rows)
+
+    def start(path, checkpoint, trigger, heartbeat):
+        answers = lookup_features_stream(requests, writes, t.STORED_FEATURES,
+                                         f"{span + 1} minutes", heartbeat)
+        return write_stream(answers, f"{path}/answers", checkpoint, trigger=trigger)
+
+    path = _closed(spark, sf_dir, start, "lookup-stream", minutes=span + 2)
+    return _lookup_shown(spark.read.parquet(f"{path}/answers"))
+
+
 def _message_stream(spark, sf_dir) -> DataFrame:
     rows = _event_stream(spark, sf_dir)
     return t.request_messages(t.request_rows(rows, t.customer_places(spark, sf_dir)), rows)

@@ -221,7 +221,11 @@ def request_messages(asked: DataFrame, rows: DataFrame) -> DataFrame:
 
 def stored_writes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Page views write two features to the store."""
-    views = (events(spark, sf_dir).filter(F.col("event_type") == "view")
+    return view_writes(events(spark, sf_dir))
+
+
+def view_writes(rows: DataFrame) -> DataFrame:
+    views = (rows.filter(F.col("event_type") == "view")
              .select("customer_id", F.col("timestamp").alias("written_at"),
                      F.col("value").alias("session_duration"), F.col("k").alias("page_views")))
     return feature_writes(views, STORED_FEATURES, ttl_seconds=STORE_TTL_SECONDS)
@@ -229,7 +233,11 @@ def stored_writes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def request_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Id, customer and time of the requests, without the joins for what else they carry."""
-    return events(spark, sf_dir).filter(F.col("event_type") != "view").select(
+    return keys_of_requests(events(spark, sf_dir))
+
+
+def keys_of_requests(rows: DataFrame) -> DataFrame:
+    return rows.filter(F.col("event_type") != "view").select(
         F.col("event_id").alias("request_id"), "customer_id", "timestamp")
 
 
