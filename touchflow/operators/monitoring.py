@@ -16,7 +16,7 @@ HIGH_LATENCY_TEXT = "High latency detected: %sms"
 LOW_VOLUME_TEXT = "Low request volume: %d requests"
 
 
-def _moment(now: Column | str) -> Column:
+def moment(now: Column | str) -> Column:
     return F.lit(now).cast("timestamp") if isinstance(now, str) else now
 
 
@@ -50,7 +50,7 @@ def recent(log: DataFrame, now: Column | str, minutes: int, at: str = "timestamp
     The filter is a plain range on the time column (and on ``log_date`` if the log is
     partitioned by it), so it reaches the scan.
     """
-    end = _moment(now)
+    end = moment(now)
     start = F.date_trunc("minute", end) - F.make_dt_interval(
         mins=F.lit(minutes - 1))
     rows = log.filter((F.col(at) >= start) & (F.col(at) <= end))
@@ -68,7 +68,7 @@ def rolling_metrics(log: DataFrame, now: Column | str, minutes: int = METRICS_MI
     reaches back further.  Rows are aggregated per minute and action first; all later steps see
     at most one row per minute and action.
     """
-    end = _moment(now)
+    end = moment(now)
     per_minute = (
         recent(log, end, minutes, at)
         .withColumn("recommended_action", F.coalesce("recommended_action", F.lit("unknown")))
@@ -77,7 +77,12 @@ def rolling_metrics(log: DataFrame, now: Column | str, minutes: int = METRICS_MI
              F.max(at).alias("_last"))
         .withColumn("_last", F.max("_last").over(Window.partitionBy("_minute")))
         .filter(F.unix_micros(end) < F.unix_micros("_last") + retention_seconds * 1_000_000))
-    per_action = per_minute.groupBy("recommended_action").agg(
+    return totals_of_actions(per_minute, end)
+
+
+def totals_of_actions(rows: DataFrame, end: Column) -> DataFrame:
+    """One row of metrics from rows with an action, its requests ``n`` and their ``latency``."""
+    per_action = rows.groupBy("recommended_action").agg(
         F.sum("n").alias("n"), F.sum("latency").alias("latency"))
     totals = per_action.agg(
         F.coalesce(F.sum("n"), F.lit(0)).alias("request_count"),

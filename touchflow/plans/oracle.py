@@ -724,6 +724,8 @@ for _name in ("parse_events", "sliding_activity", "requests_per_minute", "action
               "alert_windows", "rejected_requests", "request_log", "session_table",
               "feature_lookup"):
     _QUERIES[f"{_name}_stream"] = _QUERIES[_name]
+for _name in ("rolling_metrics", "rolling_metrics_day", "alerts"):
+    _QUERIES[f"{_name}_rollup"] = _QUERIES[_name]
 _QUERIES["recommendations_stream"] = _QUERIES["encode_responses"]
 _QUERIES["experiment_log_stream"] = f"""SELECT customer_id, 'model_version_test' AS test_name,
     ab_test_group AS "group", recommended_action AS outcome,

@@ -17,7 +17,7 @@ from touchflow.functions.messages import (
 from touchflow.functions.scalars import action_label
 from touchflow.operators import backtest, experiments, features, journey, metrics, monitoring
 from touchflow.operators import recommend as rec
-from touchflow.operators import scoring, significance as sig
+from touchflow.operators import rollups, scoring, significance as sig
 from touchflow.plans import models, tables as t
 from touchflow.schemas import CHANNELS, FEATURE_NAMES
 from touchflow.session import shared_folder, stored
@@ -33,6 +33,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
 NOW = "2024-01-15 12:00:30"
+# Up to when the first of two roll-ups goes, within an hour.
+FIRST_ROLL = "2024-01-14 17:20:45"
 # Width of the whole-day ranges, which hold enough of the thin test log to raise no alert.
 DAY_MINUTES = 1440
 
@@ -591,6 +593,33 @@ def rolling_metrics_day(spark, sf_dir):
         t.service_log(spark, sf_dir), NOW, DAY_MINUTES, retention_seconds=DAY_MINUTES * 60))
 
 
+def _rolled_up(spark, sf_dir) -> str:
+    """Minutes, hours and days of the request log up to now, added in two calls."""
+    path = shared_folder(spark, "rollups")
+    log = t.service_log(spark, sf_dir)
+    rollups.roll_up(log, path, FIRST_ROLL)
+    rollups.roll_up(log, path, NOW, FIRST_ROLL)
+    return path
+
+
+@query("rolling_metrics_rollup")
+def rolling_metrics_rollup(spark, sf_dir):
+    return _rolling_shown(rollups.rolling_metrics_of_rollups(spark, _rolled_up(spark, sf_dir), NOW))
+
+
+@query("rolling_metrics_day_rollup")
+def rolling_metrics_day_rollup(spark, sf_dir):
+    return _rolling_shown(rollups.rolling_metrics_of_rollups(
+        spark, _rolled_up(spark, sf_dir), NOW, DAY_MINUTES, DAY_MINUTES * 60))
+
+
+@query("alerts_rollup")
+def alerts_rollup(spark, sf_dir):
+    rolled = rollups.rolling_metrics_of_rollups(spark, _rolled_up(spark, sf_dir), NOW,
+                                                monitoring.ALERT_MINUTES)
+    return present(monitoring.alerts(rolled))
+
+
 @query("alerts")
 def alerts(spark, sf_dir):
     return present(monitoring.check_alerts(t.service_log(spark, sf_dir), NOW))
