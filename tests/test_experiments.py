@@ -152,3 +152,14 @@ def test_moments(spark):
     assert time["variance"] == pytest.approx(4.5) and time["sample_size"] == 3
     assert (revenue["total"], revenue["variance"]) == (0.0, 0.0)
     assert sqrt(rate["variance"]) == pytest.approx(sqrt(1 / 3))
+
+
+def test_segments_of_a_table_and_all_segments(spark):
+    sizes = {"a": 40, "b": 77, "c": 5}
+    table = units(spark, sizes).unionByName(
+        spark.createDataFrame([("nobody", None)], "customer_id string, customer_segment string"))
+    chosen = spark.createDataFrame([("a",), ("c",), ("c",), ("absent",)], "name string")
+    assert assigned(table, ex.design_experiment(chosen)) == expected_groups(sizes, ["a", "c"])
+    assert assigned(table, ex.design_experiment(None)) == expected_groups(sizes, list(sizes))
+    planned = ex.plan_sizes(table, ex.design_experiment(chosen))
+    assert {r["customer_segment"] for r in planned.collect()} == {"a", "c"}

@@ -4,7 +4,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from touchflow.operators import features as ft
+from touchflow.operators import features as ft, labels as lb
 
 REQUEST = "request_id long, customer_id string, timestamp timestamp"
 WRITE = ("customer_id string, feature string, value string, written_at timestamp, "
@@ -164,7 +164,7 @@ def test_vector_order_defaults_and_unknown_labels(spark):
 def test_labels_of_any_number_are_joined(spark):
     names = sorted(f"{chr(97 + i % 7)}{i}" for i in range(1500))
     table = spark.createDataFrame([(n,) for n in names * 2] + [(None,)], "x string").repartition(5)
-    labels = ft.category_labels(table, "x")
+    labels = lb.category_labels(table, "x")
     assert [tuple(r) for r in labels.orderBy("position").collect()] == [
         (n, i + 1) for i, n in enumerate(names)]
     asked = spark.createDataFrame([(1, names[1400]), (2, "other"), (3, None)],
@@ -208,3 +208,32 @@ def test_equal_values_at_one_instant_are_ordered_by_lifetime(spark, at):
     for seconds in (1, 900, 10 ** 6):
         assert lookup(spark, [(1, "c", at("11:00:00"))], writes, slice_seconds=seconds) == {
             1: ("v",)}
+
+
+def test_labels_with_one_beginning_are_numbered_by_ranges(spark):
+    count = 100_000
+    table = spark.range(count).select(F.format_string("Brand#%08d", "id").alias("x")).repartition(7)
+    numbered = lb.category_labels(table, "x")
+    wrong = numbered.filter(F.format_string("Brand#%08d", F.col("position") - 1) != F.col("label"))
+    assert wrong.count() == 0 and numbered.count() == count
+    sizes = [r["n"] for r in table.distinct().repartitionByRange(8, "x").groupBy(
+        F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+    assert max(sizes) < 2 * sorted(sizes)[len(sizes) // 2]  # what they are sorted by
+    plan = numbered._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "Exchange" not in plan
+
+
+def test_codes_stay_when_labels_are_added(spark, rows, tmp_path):
+    path = str(tmp_path / "labels")
+
+    def table(*names):
+        return spark.createDataFrame([(n,) for n in names], "x string")
+
+    lb.save_labels(table("m", "c", None, "m"), "x", path, 1)
+    lb.save_labels(table("z", "a", "c"), "x", path, 2)
+    assert rows(lb.read_labels(spark, path, 1)) == [("c", 1), ("m", 2)]
+    assert rows(lb.read_labels(spark, path, 2)) == [("a", 3), ("c", 1), ("m", 2), ("z", 4)]
+    lb.save_labels(table().limit(0), "x", path, 3)
+    assert rows(lb.read_labels(spark, path, 3)) == rows(lb.read_labels(spark, path, 2))
+    lb.save_labels(table().limit(0), "x", str(tmp_path / "none"), 1)
+    assert rows(lb.read_labels(spark, str(tmp_path / "none"), 1)) == []

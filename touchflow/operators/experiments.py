@@ -35,7 +35,9 @@ DURATION_DAYS = 28
 
 @dataclass(frozen=True)
 class Design:
-    segments: tuple[str, ...]
+    """``segments`` are a list, a table whose first column has them, or None for all there are."""
+
+    segments: tuple[str, ...] | DataFrame | None
     vertical: str = "retail"
     groups: tuple[Group, ...] = GROUPS
     primary_metric: str = "conversion_rate"
@@ -47,7 +49,9 @@ class Design:
 def design_experiment(segments, vertical: str = "retail", start_date: str | None = None,
                       **changes) -> Design:
     primary, secondary = METRICS_BY_VERTICAL.get(vertical, METRICS_BY_VERTICAL["retail"])
-    design = Design(tuple(segments), vertical, primary_metric=primary,
+    if segments is not None and not isinstance(segments, DataFrame):
+        segments = tuple(segments)
+    design = Design(segments, vertical, primary_metric=primary,
                     secondary_metrics=secondary, start_date=start_date)
     design = replace(design, **changes)
     if sum(group.percent for group in design.groups) > 100:
@@ -84,10 +88,21 @@ def _group_array(design: Design, total: Column) -> Column:
     return F.array(*entries)
 
 
+def _in_segments(units: DataFrame, design: Design, segment_col: str) -> DataFrame:
+    """Units of the design's segments; null is no segment."""
+    segments = design.segments
+    if segments is None:
+        return units.filter(F.col(segment_col).isNotNull())
+    if isinstance(segments, DataFrame):
+        wanted = segments.select(F.col(segments.columns[0]).alias(segment_col))
+        return units.join(wanted, segment_col, "left_semi").select(*units.columns)
+    return units.filter(F.col(segment_col).isin(*segments))
+
+
 def plan_sizes(units: DataFrame, design: Design,
                segment_col: str = "customer_segment") -> DataFrame:
     """Planned size of every group in every listed segment, with metric and duration."""
-    totals = (units.filter(F.col(segment_col).isin(*design.segments))
+    totals = (_in_segments(units, design, segment_col)
               .groupBy(segment_col).agg(F.count("*").alias("segment_size")))
     return (totals
             .select(segment_col, "segment_size",
@@ -112,7 +127,9 @@ def assign_stratified(units: DataFrame, design: Design, *, id_col: str = "custom
     with its segment's boundaries: the pass over all units has no shuffle.  Both broadcasts hold
     at most ``len(segments) * len(groups)`` rows.
     """
-    listed = units.filter(F.col(segment_col).isin(*design.segments))
+    listed = _in_segments(units, design, segment_col)
+    # A table of segments may be of any size: its boundaries are joined as Catalyst sees fit.
+    small = (lambda rows: rows) if isinstance(design.segments, DataFrame) else F.broadcast
     hashed = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(id_col).cast("string")))
     position = F.struct(hashed.alias("hash"), F.col(id_col).alias("id"))
     prefix = F.substring(hashed, 1, prefix_digits)
@@ -135,7 +152,7 @@ def assign_stratified(units: DataFrame, design: Design, *, id_col: str = "custom
     )
     in_prefix = Window.partitionBy("_segment", "_prefix").orderBy("_position")
     boundaries = (
-        slim.join(F.broadcast(cuts), ["_segment", "_prefix"])
+        slim.join(small(cuts), ["_segment", "_prefix"])
         .withColumn("_rank", F.col("_before") + F.row_number().over(in_prefix))
         .withColumn("_cut", F.explode("_cuts"))
         .filter(F.col("_rank") == F.col("_cut.cut"))
@@ -147,7 +164,7 @@ def assign_stratified(units: DataFrame, design: Design, *, id_col: str = "custom
     for i, g in reversed(list(enumerate(design.groups))):
         group = F.when(position <= F.col(f"_end_{i}"), F.lit(g.name)).otherwise(group)
     return (
-        listed.join(F.broadcast(boundaries), F.col(segment_col) == F.col("_segment"))
+        listed.join(small(boundaries), F.col(segment_col) == F.col("_segment"))
         .select(*[F.col(name) for name in units.columns], group.alias("test_group"))
         .dropna(subset=["test_group"])
     )

@@ -240,30 +240,13 @@ def merge_features(table: DataFrame, features: Sequence[str] = FEATURE_NAMES) ->
 
 # -- model input --------------------------------------------------------------------------------
 
-def category_labels(table: DataFrame, column: str) -> DataFrame:
-    """(label, position): the sorted distinct values of a column, numbered from 1.
-
-    The values are few against the rows they come from; they are numbered by counts of ranges, so
-    not in one task.
-    """
-    labels = table.select(F.col(column).alias("label")).dropna().distinct()
-    start = F.substring("label", 1, 2)
-    counts = labels.groupBy(start.alias("_start")).agg(F.count("*").alias("_n"))
-    before = counts.select("_start", (F.sum("_n").over(Window.orderBy("_start")) - F.col("_n"))
-                           .alias("_before"))
-    inside = Window.partitionBy("_start").orderBy("label")
-    return (labels.withColumn("_start", start).join(before, "_start")
-            .select("label", (F.col("_before") + F.row_number().over(inside)).cast("long")
-                    .alias("position")))
-
-
 def feature_vector(table: DataFrame, labels: Mapping[str, DataFrame | Sequence[str]],
                    features: Sequence[str] = FEATURE_NAMES,
                    output: str = "features") -> DataFrame:
     """Array of doubles in the configured order.
 
     A text feature becomes its 1-based position among its labels, 0 for any other text.  Labels
-    taken from data are a table of ``category_labels``, joined however Catalyst sees fit; a fixed
+    taken from data are a stored table (see ``labels``), joined however Catalyst sees fit; a fixed
     code list may be given as a sequence.  Missing values are 0.
     """
     entries, joined = [], table

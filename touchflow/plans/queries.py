@@ -15,7 +15,9 @@ from touchflow.functions.messages import (
     encode_responses, parse_events, parse_requests, split_requests,
 )
 from touchflow.functions.scalars import action_label
-from touchflow.operators import backtest, experiments, features, journey, metrics, monitoring
+from touchflow.operators import (
+    backtest, experiments, features, journey, labels, metrics, monitoring,
+)
 from touchflow.operators import recommend as rec
 from touchflow.operators import rollups, scoring, significance as sig
 from touchflow.plans import models, tables as t
@@ -226,10 +228,7 @@ def rejected_requests(spark, sf_dir):
 # -- experiments --------------------------------------------------------------------------------
 
 def _design(spark, sf_dir, vertical="retail") -> experiments.Design:
-    customers = t.experiment_customers(spark, sf_dir)
-    labels = features.category_labels(customers, "customer_segment")
-    segments = [row["label"] for row in labels.orderBy("position").collect()]
-    return experiments.design_experiment(segments, vertical)
+    return experiments.design_experiment(None, vertical)  # all segments
 
 
 def _assigned(spark, sf_dir, vertical="retail") -> DataFrame:
@@ -427,8 +426,8 @@ def _labels(spark, sf_dir) -> dict:
     """Labels of the text features: the channels are a fixed list, the others come from data."""
     return {
         "channel": list(CHANNELS),
-        "region": features.category_labels(t.table(spark, sf_dir, "region"), "r_name"),
-        "brand": features.category_labels(t.table(spark, sf_dir, "part"), "p_brand"),
+        "region": labels.category_labels(t.table(spark, sf_dir, "region"), "r_name"),
+        "brand": labels.category_labels(t.table(spark, sf_dir, "part"), "p_brand"),
     }
 
 
