@@ -237,3 +237,35 @@ def test_codes_stay_when_labels_are_added(spark, rows, tmp_path):
     assert rows(lb.read_labels(spark, path, 3)) == rows(lb.read_labels(spark, path, 2))
     lb.save_labels(table().limit(0), "x", str(tmp_path / "none"), 1)
     assert rows(lb.read_labels(spark, str(tmp_path / "none"), 1)) == []
+
+
+def test_a_compacted_store_answers_like_all_writes(spark, rows, tmp_path):
+    draw, path, base = random.Random(8), str(tmp_path / "store"), str(tmp_path / "base")
+
+    def moment(first, last):
+        return datetime(2024, 1, first) + timedelta(seconds=draw.randrange((last - first) * 86400))
+
+    writes = spark.createDataFrame(
+        [(draw.choice(["hot", "hot", "a", "b"]), draw.choice("fg"), draw.choice([None, "1", "2"]),
+          moment(1, 12), draw.choice([600, 90_000, 900_000])) for _ in range(400)], WRITE)
+    ft.append_features(writes, path, 900_000)
+    ft.compact_features(spark, path, base, "2024-01-05")
+    ft.compact_features(spark, path, base, "2024-01-09", "2024-01-05")
+    ft.compact_features(spark, path, base, "2024-01-09", "2024-01-05")
+    kept = ft.read_features(spark, path, base, "2024-01-09")
+    closed = kept.filter("log_date < '2024-01-09'")
+    assert closed.count() <= 6 < writes.filter("written_at < '2024-01-09'").count()
+    asked = spark.createDataFrame([(i, draw.choice(["hot", "a", "b", "new"]), moment(9, 13))
+                                   for i in range(200)]
+                                  + [(999, "hot", datetime(2024, 1, 9))], REQUEST)
+    for options in ({}, {"max_ttl_seconds": 900_000, "requested_keys_only": True}):
+        assert rows(ft.lookup_features(asked, kept, ("f", "g"), **options)) == rows(
+            ft.lookup_features(asked, writes, ("f", "g")))
+    later = F.lit("2024-01-10 07:00:00").cast("timestamp")
+    columns = ["customer_id", "feature", "value", "written_at", "ttl_s"]
+    assert rows(ft.latest_features(kept, later), *columns) == rows(
+        ft.latest_features(writes, later), *columns)
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(log_date" in plan
+    with pytest.raises(Exception, match="a write before 2024-01-09"):
+        ft.append_features(writes, path, 900_000, compacted_before="2024-01-09")

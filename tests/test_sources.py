@@ -147,3 +147,24 @@ def test_a_repeated_batch_adds_nothing_to_a_log(spark, tmp_path):
         sources.append_log(rows, path, batch_id=batch)
     log = spark.read.parquet(path)
     assert log.count() == 200 and log.filter("batch_id = 'a'").count() == 100
+
+
+def test_rows_that_do_not_parse_are_rejected_with_file_and_reason(spark, tmp_path):
+    write(tmp_path, "a.csv", "session_id,page_views,visit_date,customer_id\n"
+          "s1,7,2024-01-15T10:00:00,c1\ns2,many,2024-01-15T10:00:00,c2\ns3,many,someday,c3\n"
+          "s4,,,\n")
+    write(tmp_path, "b.csv", "session_id,page_views,visit_date,customer_id\n"
+          "s5,1\ns6,1,2024-01-15T10:00:00,c6,more\n\"s7, x\",2,2024-01-16T10:00:00,c7\n")
+    fit, rejects = sources.read_csv_checked(spark, str(tmp_path), CHANNEL_COLUMNS["web"])
+    assert fit.columns == list(CHANNEL_COLUMNS["web"])
+    assert sorted(r["session_id"] for r in fit.collect()) == ["s1", "s4", "s7, x"]
+    assert sorted((r["file"][-5:], r["record"][:2], r["reason"]) for r in rejects.collect()) == [
+        ("a.csv", "s2", "page_views"), ("a.csv", "s3", "page_views, visit_date"),
+        ("b.csv", "s5", "number of fields"), ("b.csv", "s6", "number of fields")]
+    assert "s2,many,2024-01-15T10:00:00,c2" in [r["record"] for r in rejects.collect()]
+
+
+def test_a_file_without_rows_has_no_rejects(spark, tmp_path):
+    path = write(tmp_path, "a.csv", "session_id,page_views\n")
+    fit, rejects = sources.read_csv_checked(spark, path, CHANNEL_COLUMNS["web"])
+    assert fit.count() == rejects.count() == 0

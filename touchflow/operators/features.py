@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from touchflow.functions.scalars import elapsed_seconds, is_weekend
 from touchflow.schemas import FEATURE_NAMES
@@ -62,9 +62,49 @@ def _at_most(ttl: Column, seconds: int) -> Column:
     ).otherwise(F.lit(True))
 
 
-def append_features(writes: DataFrame, path: str, max_ttl_seconds: int) -> None:
-    """Appends writes to a store with day folders; a lifetime above the store's bound is refused."""
-    append_log(writes.filter(_at_most(F.col("ttl_s"), max_ttl_seconds)), path, "written_at")
+def append_features(writes: DataFrame, path: str, max_ttl_seconds: int,
+                    compacted_before: str | None = None) -> None:
+    """Appends writes to a store with day folders.
+
+    A lifetime above the store's bound is refused, and so is a write of a day that is compacted
+    already (``compact_features``).
+    """
+    allowed = _at_most(F.col("ttl_s"), max_ttl_seconds)
+    if compacted_before is not None:
+        allowed = allowed & F.when(
+            F.to_date("written_at") < F.lit(compacted_before).cast("date"),
+            F.raise_error(F.lit(f"a write before {compacted_before}")).cast("boolean")
+        ).otherwise(F.lit(True))
+    append_log(writes.filter(allowed), path, "written_at")
+
+
+def compact_features(spark: SparkSession, path: str, base: str, before: str,
+                     previous: str | None = None, key: str = "customer_id") -> None:
+    """Writes the base of day ``before``: of all earlier writes the last of each key and feature, if
+    it is still alive at the beginning of that day.
+
+    The base of the day ``previous`` stands for all before it, so that each day is compacted once.
+    A repeated call replaces its base; older bases and day folders are left to answer older requests.
+    """
+    start = F.lit(before).cast("timestamp")
+    closed = latest_features(
+        read_features(spark, path, base, previous).filter(F.col("log_date") < F.to_date(start)),
+        key=key)
+    alive = closed.filter(F.unix_micros(start) < _expiry(F.col("written_at"), F.col("ttl_s")))
+    alive.write.mode("overwrite").parquet(f"{base}/before={before}")
+
+
+def read_features(spark: SparkSession, path: str, base: str, before: str | None = None
+                  ) -> DataFrame:
+    """The writes of a store that count from the beginning of the day ``before`` on: its base and the
+    day folders from there on.  Lookups of that time give the same as from all writes."""
+    days = spark.read.parquet(path)
+    if before is None:
+        return days
+    kept = spark.read.parquet(f"{base}/before={before}").withColumn(
+        "log_date", F.to_date("written_at"))
+    return days.filter(F.col("log_date") >= F.lit(before).cast("date")).unionByName(
+        kept.select(*days.columns))
 
 
 def lookup_features(requests: DataFrame, writes: DataFrame, features: Sequence[str], *,

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from touchflow.functions.scalars import action_label
 from touchflow.operators.experiments import assign_by_hash
@@ -14,6 +14,7 @@ from touchflow.operators.features import (
 )
 from touchflow.operators.scoring import TEST_NAME, route_models
 from touchflow.schemas import FEATURE_NAMES, RESPONSE_COLUMNS
+from touchflow.sources.tables import append_log
 
 Scorer = Callable[[DataFrame], DataFrame]
 
@@ -121,3 +122,49 @@ def latest_results(log: DataFrame, limit: int = 1000, test_name: str | None = No
             .filter(wanted).drop("_test", "_rows", "_from")
             .withColumn("_rank", F.row_number().over(ranked))
             .filter(F.col("_rank") <= limit).drop("_rank"))
+
+
+def append_results(log: DataFrame, path: str, batch_id: str | None = None) -> None:
+    """Appends experiment log rows to day folders, and their number per test and day beside them."""
+    append_log(log, f"{path}/rows", "timestamp", batch_id)
+    days = log.groupBy("test_name", F.to_date("timestamp").alias("day")).agg(
+        F.count("*").alias("n"))
+    append_log(days, f"{path}/days", "day", batch_id)
+
+
+def newest_days(spark: SparkSession, path: str, limit: int, test_name: str | None = None
+                ) -> DataFrame:
+    """(test_name, day): the youngest days that hold ``limit`` results of a test, or all its days.
+
+    Only the numbers per test and day are read; rows without a time are the oldest.
+    """
+    days = spark.read.parquet(f"{path}/days")
+    if test_name is not None:
+        days = days.filter(F.col("test_name") == test_name)
+    newer = Window.partitionBy("test_name").orderBy(F.desc_nulls_last("day")).rowsBetween(
+        Window.unboundedPreceding, -1)
+    return (days.groupBy("test_name", "day").agg(F.sum("n").alias("n"))
+            .withColumn("_newer", F.coalesce(F.sum("n").over(newer), F.lit(0)))
+            .filter(F.col("_newer") < limit).select("test_name", "day"))
+
+
+def newest_results(spark: SparkSession, path: str, limit: int = 1000,
+                   test_name: str | None = None,
+                   tie_break: Sequence[str] = ("customer_id",)) -> DataFrame:
+    """``latest_results`` of a log that ``append_results`` has written.
+
+    The numbers per day tell which day folders hold the newest ``limit`` results of each test; no
+    other folder is read.  The driver gets the dates of these folders.
+    """
+    needed = newest_days(spark, path, limit, test_name)
+    dates = [row["day"] for row in needed.select("day").distinct().collect()]
+    day = F.col("log_date")
+    wanted = day.isin([d for d in dates if d is not None])
+    rows = spark.read.parquet(f"{path}/rows")
+    rows = rows.filter(wanted | day.isNull() if None in dates else wanted)
+    if test_name is None:  # days of one test are no days of another
+        keys = needed.select(F.col("test_name").alias("_test"), F.col("day").alias("_day"))
+        rows = rows.join(keys, F.col("test_name").eqNullSafe(F.col("_test"))
+                         & day.eqNullSafe(F.col("_day")), "left_semi")
+    kept = [name for name in rows.columns if name not in ("log_date", "batch_id")]
+    return latest_results(rows.select(*kept), limit, test_name, tie_break)

@@ -719,6 +719,16 @@ _QUERIES = {
     "alert_windows": _alerts(_alert_windows(), "range_end"),
 }
 
+_QUERIES["scan_checked"] = f"""{_QUERIES["scan_web"]}
+    AND event_id % 7 <> 0 AND event_id % 11 <> 0"""
+_QUERIES["scan_rejects"] = """SELECT 's' || event_id AS session_id,
+        concat_ws(', ', CASE WHEN event_id % 7 = 0 THEN 'page_views' END,
+                  CASE WHEN event_id % 11 = 0 THEN 'visit_date' END) AS reason
+    FROM ev WHERE channel = 'web' AND (event_id % 7 = 0 OR event_id % 11 = 0)"""
+_QUERIES["latest_results_folders"] = _QUERIES["latest_results"]
+_QUERIES["feature_lookup_compacted"] = """SELECT l.request_id, l.customer_id,
+        l.stored_session_duration, l.stored_page_views
+    FROM looked l JOIN req r USING (request_id) WHERE r.ts >= TIMESTAMP '2024-01-15'"""
 # Streams drained to their end hold what the batch queries give.
 for _name in ("parse_events", "sliding_activity", "requests_per_minute", "action_distribution",
               "alert_windows", "rejected_requests", "request_log", "session_table",

@@ -21,7 +21,7 @@ from touchflow.operators import (
 from touchflow.operators import recommend as rec
 from touchflow.operators import rollups, scoring, significance as sig
 from touchflow.plans import models, tables as t
-from touchflow.schemas import CHANNELS, FEATURE_NAMES
+from touchflow.schemas import CHANNEL_COLUMNS, CHANNELS, FEATURE_NAMES
 from touchflow.session import shared_folder, stored
 from touchflow.sources import tables as sources
 from touchflow.sources.streams import file_stream, write_batches, write_stream
@@ -35,6 +35,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
 NOW = "2024-01-15 12:00:30"
+# Days up to which the feature store is compacted.
+FIRST_BASE, BASE = "2024-01-08", "2024-01-15"
 # Up to when the first of two roll-ups goes, within an hour.
 FIRST_ROLL = "2024-01-14 17:20:45"
 # Width of the whole-day ranges, which hold enough of the thin test log to raise no alert.
@@ -116,6 +118,32 @@ def scan_customers(spark, sf_dir):
     return present(sources.read_customers(spark, path))
 
 
+def _written_with_faults(spark, sf_dir) -> str:
+    """The web channel as CSV in which some page views and visit dates do not parse."""
+    path = shared_folder(spark, "csv-faults")
+    rows = t.channel_table(spark, sf_dir, "web")
+    number = F.expr("substring(session_id, 2)").cast("long")
+    sources.save_table(rows.withColumn("page_views", F.when(
+        number % 7 == 0, F.lit("many")).otherwise(F.col("page_views").cast("string"))).withColumn(
+        "visit_date", F.when(number % 11 == 0, F.lit("someday")).otherwise(F.date_format(
+            "visit_date", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"))), path, "csv")
+    return path
+
+
+@query("scan_checked")
+def scan_checked(spark, sf_dir):
+    fit, _ = sources.read_csv_checked(spark, _written_with_faults(spark, sf_dir),
+                                      CHANNEL_COLUMNS["web"])
+    return present(sources.tag_channel(fit, "web"))
+
+
+@query("scan_rejects")
+def scan_rejects(spark, sf_dir):
+    _, rejects = sources.read_csv_checked(spark, _written_with_faults(spark, sf_dir),
+                                          CHANNEL_COLUMNS["web"])
+    return rejects.select(F.split("record", ",")[1].alias("session_id"), "reason")
+
+
 @query("channel_counts")
 def channel_counts(spark, sf_dir):
     configs = {}
@@ -400,6 +428,19 @@ def _lookup_shown(found: DataFrame) -> DataFrame:
     return found.select("request_id", "customer_id", *values)
 
 
+@query("feature_lookup_compacted")
+def feature_lookup_compacted(spark, sf_dir):
+    """Requests from a day on, with all writes before it compacted in two steps."""
+    path = shared_folder(spark, "features")
+    base = f"{path}-base"
+    features.append_features(t.stored_writes(spark, sf_dir), path, t.STORE_TTL_SECONDS)
+    features.compact_features(spark, path, base, FIRST_BASE)
+    features.compact_features(spark, path, base, BASE, FIRST_BASE)
+    asked = t.request_keys(spark, sf_dir).filter(F.col("timestamp") >= F.lit(BASE).cast("timestamp"))
+    return _lookup_shown(features.lookup_features(
+        asked, features.read_features(spark, path, base, BASE), t.STORED_FEATURES))
+
+
 @query("session_features")
 def session_features(spark, sf_dir):
     asked = features.context_features(t.requests(spark, sf_dir)).select(
@@ -558,6 +599,15 @@ def latest_results(spark, sf_dir):
     return present(newest.select("customer_id", "test_name", "group", "outcome", "timestamp"))
 
 
+@query("latest_results_folders")
+def latest_results_folders(spark, sf_dir):
+    """From a log with day folders, of which only the newest are read."""
+    path = shared_folder(spark, "results")
+    rec.append_results(t.result_log(spark, sf_dir), path, "events")
+    newest = rec.newest_results(spark, path)
+    return present(newest.select("customer_id", "test_name", "group", "outcome", "timestamp"))
+
+
 # -- monitoring ---------------------------------------------------------------------------------
 
 @query("request_log")

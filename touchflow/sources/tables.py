@@ -9,9 +9,12 @@ from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from touchflow.schemas import CHANNEL_COLUMNS, CUSTOMER_COLUMNS, ddl
+from touchflow.session import stored
 
 log = logging.getLogger(__name__)
 
+_RECORD = "_rejected_record"
+
 
 def read_csv(spark: SparkSession, path: str, columns: Mapping[str, str]) -> DataFrame:
     """CSV scan matched to ``columns`` by header name.
@@ -26,6 +29,32 @@ def read_csv(spark: SparkSession, path: str, columns: Mapping[str, str]) -> Data
     return conform(reader.schema(ddl(in_file_order)).csv(path), columns)
 
 
+def read_csv_checked(spark: SparkSession, path: str, columns: Mapping[str, str]
+                     ) -> tuple[DataFrame, DataFrame]:
+    """Rows of a CSV scan that fit ``columns``, and the rejected ones: (file, record, reason).
+
+    ``read_csv`` gives null for a value that does not parse; here its row is rejected, with the
+    names of the columns whose values do not parse, or ``number of fields``, as the reason.  Both
+    results come from one pass over the files, whose outcome is stored.
+    """
+    reader = spark.read.option("header", True).option("enforceSchema", False)
+    header = reader.csv(path).columns
+    kinds = {name: columns.get(name, "string") for name in header}
+    parsed = stored(
+        reader.option("columnNameOfCorruptRecord", _RECORD)
+        .schema(f"{ddl(kinds)}, `{_RECORD}` string").csv(path)
+        .withColumn("_file", F.col("_metadata.file_path")), "csv-checked")
+    fits = F.col(_RECORD).isNull()
+    texts = F.from_csv(_RECORD, ddl({name: "string" for name in header}))
+    wrong = F.array_compact(F.array(*[
+        F.when(F.col(f"`{name}`").isNull() & (texts[name] != ""), F.lit(name))
+        for name, kind in kinds.items() if kind != "string"], F.lit(None).cast("string")))
+    reason = F.when(F.size(wrong) > 0, F.array_join(wrong, ", ")).otherwise("number of fields")
+    rejects = parsed.filter(~fits).select(
+        F.col("_file").alias("file"), F.col(_RECORD).alias("record"), reason.alias("reason"))
+    return conform(parsed.filter(fits).drop(_RECORD, "_file"), columns), rejects
+
+
 def conform(table: DataFrame, columns: Mapping[str, str]) -> DataFrame:
     """Select ``columns`` in order with their types; absent ones become null."""
     present = set(table.columns)
