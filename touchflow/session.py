@@ -33,15 +33,36 @@ def build_session(app_name: str, master: str | None = None, **overrides: str) ->
     return builder.getOrCreate()
 
 
+# Folders handed out by this process, for ``release_all``.
+_FOLDERS: set[str] = set()
+
+
 def shared_folder(spark: SparkSession, label: str) -> str:
     """A new folder name below ``spark.checkpoint.dir``, which every executor can reach.
 
-    Where that is unset, a folder in the warehouse, which all executors share too.
+    Where that is unset, a folder in the warehouse; on a cluster that is an error if the warehouse
+    is a local folder, as each machine would see its own.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root is None:
         root = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/work"
-    return f"{root.rstrip('/')}/touchflow/{label}-{uuid.uuid4().hex}"
+        if not spark.sparkContext.master.startswith("local") and root.startswith(("file:", "/")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    folder = f"{root.rstrip('/')}/touchflow/{label}-{uuid.uuid4().hex}"
+    _FOLDERS.add(folder)
+    return folder
+
+
+def _deleted(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+    _FOLDERS.discard(path)
+
+
+def release_all(spark: SparkSession) -> None:
+    """Deletes all working folders of this process: results that read them must have been used."""
+    for path in list(_FOLDERS):
+        _deleted(spark, path)
 
 
 # Where stored tables lie, for ``released``.
@@ -64,6 +85,4 @@ def released(table: DataFrame) -> None:
     """Deletes a stored table that no later step reads; nothing happens to any other table."""
     path = _PLACES.pop(table, None)
     if path is not None:
-        spark = table.sparkSession.sparkContext
-        place = spark._jvm.org.apache.hadoop.fs.Path(path)
-        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+        _deleted(table.sparkSession, path)
