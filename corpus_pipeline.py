@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from touchflow.llm import mixing, packing, secrets, simhash, toxicity
 from touchflow.llm.tables import table
-from touchflow.session import stored
+from touchflow.session import released, stored
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,8 +54,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages, each written to the shared folder and reread by the next."""
+    """All stages, each written to the shared folder and reread by the next, then released."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        before, docs = docs, stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        released(before)
     return STAGES[-1][1](spark, docs, sf_dir)
