@@ -29,7 +29,7 @@ import random
 import re
 import string
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -390,10 +390,11 @@ def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 [pa.array(list(c), k) for c, k in zip(zip(*rows), kinds)], names)
 
 
-def detect(docs: DataFrame) -> DataFrame:
-    """All findings, before any is judged."""
+def detect(docs: DataFrame, work: Callable = iter,
+           schema: str = f"doc_id bigint, {FINDING}") -> DataFrame:
+    """All findings, before any is judged, or what ``work`` makes of their batches in the same pass."""
     ready = docs.select(F.col("doc_id").cast("long"), whole_text().alias("text"))
-    return ready.mapInArrow(_find, f"doc_id bigint, {FINDING}")
+    return ready.mapInArrow(lambda batches: work(_find(batches)), schema)
 
 
 def _label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -404,12 +405,9 @@ def _label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             [pa.array(labels, pa.int32()), *batch.columns], ["label", *batch.schema.names])
 
 
-def labelled(found: DataFrame) -> DataFrame:
+def labelled(docs: DataFrame) -> DataFrame:
     """Findings with a label that is certain by format and key."""
-    raw = found.select("value", "key", "quoted", "before", "after")
-    return raw.mapInArrow(
-        _label, "label int, value string, key string, quoted boolean, before string, after string") \
-        .where("label IS NOT NULL")
+    return detect(docs, _label, f"label int, doc_id bigint, {FINDING}").where("label IS NOT NULL")
 
 
 def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -456,7 +454,7 @@ def train(labels: DataFrame, known: Language, per_label: int = PER_LABEL) -> For
 
 def learned(docs: DataFrame) -> Forest:
     """A forest from the findings of the documents that are certain, and their words."""
-    return train(labelled(detect(docs)), language(docs))
+    return train(labelled(docs), language(docs))
 
 
 def _fitted(spark: SparkSession, rows: list[tuple[int, list[float]]]) -> list[tuple]:
@@ -500,9 +498,8 @@ def _judged(forest: Forest):
 def scan(docs: DataFrame) -> DataFrame:
     """All findings of the documents with their score and verdict; values only as digests."""
     forest = learned(docs)
-    return detect(docs).mapInArrow(
-        _judged(forest), "doc_id bigint, start int, length int, kind string, value_sha256 string, "
-        "score double").withColumn("is_secret", F.col("score") >= 0.5)
+    return detect(docs, _judged(forest), "doc_id bigint, start int, length int, kind string, "
+                  "value_sha256 string, score double").withColumn("is_secret", F.col("score") >= 0.5)
 
 
 def redacted(text: str, forest: Forest) -> str:

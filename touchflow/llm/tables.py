@@ -17,6 +17,21 @@ def whole_text(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
+#: Bytes of an Arrow batch that goes to Python.
+BATCH_BYTES = 1 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Sets the session's Arrow batches to about ``BATCH_BYTES``, unless it has a bound of its own.
+
+    By default a batch is 10,000 rows or 64 MB: for whole texts, each is held by the task, outside the
+    heap and in the Python process.  A text longer than the bound is a batch of its own.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name, None) is None:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def one_thread() -> None:
     """Task processes share their cores with other tasks: native libraries get one thread each."""
     for name in ("OMP_NUM_THREADS", "OPENBLAS_NUM_THREADS", "RAYON_NUM_THREADS"):
