@@ -4,9 +4,13 @@ from __future__ import annotations
 
 import uuid
 import weakref
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+_STORE = "spark.sql.streaming.stateStore.providerClass"
+
 SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
@@ -17,7 +21,7 @@ SETTINGS = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     # Window state of all customers outgrows the heap; RocksDB keeps it on local disk and
     # uploads changes to the checkpoint.
-    "spark.sql.streaming.stateStore.providerClass":
+    _STORE:
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
 }
 
@@ -33,6 +37,23 @@ def build_session(app_name: str, master: str | None = None, **overrides: str) ->
     return builder.getOrCreate()
 
 
+@contextmanager
+def state_on_disk(spark: SparkSession) -> Iterator[None]:
+    """Streams started meanwhile keep their state in RocksDB, whoever built the session.
+
+    A stream takes its settings when it starts; the session's own are as before afterwards.
+    """
+    before = spark.conf.get(_STORE, None)
+    spark.conf.set(_STORE, SETTINGS[_STORE])
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(_STORE)
+        else:
+            spark.conf.set(_STORE, before)
+
+
 # Folders handed out by this process, for ``release_all``.
 _FOLDERS: set[str] = set()
 

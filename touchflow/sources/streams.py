@@ -7,6 +7,8 @@ from collections.abc import Callable, Mapping, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
+from touchflow.session import state_on_disk
+
 Sink = Callable[[DataFrame, DataFrame, int], None]
 
 
@@ -46,10 +48,14 @@ def _trigger(writer, trigger: Mapping | None):
 
 def write_stream(table: DataFrame, path: str, checkpoint: str, fmt: str = "parquet",
                  trigger: Mapping | None = None) -> StreamingQuery:
-    """Append-only file sink.  Every query needs a checkpoint folder of its own."""
+    """Append-only file sink.  Every query needs a checkpoint folder of its own.
+
+    State, if the stream has any, is in RocksDB: that of ``transformWithState`` has to be.
+    """
     writer = (table.writeStream.outputMode("append").format(fmt)
               .option("path", path).option("checkpointLocation", checkpoint))
-    return _trigger(writer, trigger).start()
+    with state_on_disk(table.sparkSession):
+        return _trigger(writer, trigger).start()
 
 
 def write_kafka(messages: DataFrame, servers: str, topic: str, checkpoint: str) -> StreamingQuery:

@@ -3,15 +3,21 @@
 from __future__ import annotations
 
 import pickle
+import sys
 from bisect import bisect_right
 from collections.abc import Iterator, Sequence
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Row, functions as F
 from pyspark.sql.streaming.stateful_processor import (
     ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues,
 )
 from pyspark.sql.types import MapType, StringType, StructField, StructType
 
+# The processor first runs in a Python process that the driver's JVM starts, which sees neither the
+# driver's module path nor files added to the session.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 def _rank(write: tuple[str | None, int]) -> tuple:
     """Order of writes at one instant: by value, null first, then by lifetime."""
