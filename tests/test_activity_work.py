@@ -1,0 +1,57 @@
+"""What the activity windows cost: equal windows are worked out once, and written once read as they are."""
+
+import random
+from datetime import datetime, timedelta
+
+import pytest
+from test_streaming import BEAT, EVENTS, NOW, Feed, brute_force, shown
+
+from touchflow.session import shared_folder
+from touchflow.streaming.activity import read_windows, sliding_activity, start_sliding_activity
+
+START = datetime(2024, 1, 15, 10)
+
+
+def planned(table):
+    return table._jdf.queryExecution().executedPlan().toString()
+
+
+def test_windows_multiply_after_the_last_aggregate(spark):
+    text = planned(sliding_activity(spark.createDataFrame([("c", "web", START)], EVENTS),
+                                    spell_out=True))
+    assert text.index("Generate explode(_starts") < text.index("HashAggregate")
+
+
+@pytest.mark.parametrize("spread", [60, 4 * 3600])
+def test_windows_across_blocks(spark, spread):
+    draw = random.Random(7)
+    events = [(draw.choice(["c", "d", None]), draw.choice(["web", "email", None]),
+               START + timedelta(seconds=draw.randrange(spread))) for _ in range(300)]
+    assert shown(sliding_activity(spark.createDataFrame(events, EVENTS), spell_out=True)) \
+        == brute_force(events)
+
+
+def test_windows_written_once_are_read_without_a_shuffle(spark):
+    feed, beat = Feed(spark, EVENTS), Feed(spark, BEAT)
+    path, checkpoint = (shared_folder(spark, n) for n in ("activity", "checkpoint"))
+
+    def run(*events, until):
+        feed.add(*events)
+        beat.add((START + timedelta(minutes=until),))
+        start_sliding_activity(feed.stream(), path, 10, checkpoint, NOW, beat.stream(),
+                               spell_out=True).awaitTermination()
+
+    came = [("c", "web", START), ("c", None, START + timedelta(minutes=3))]
+    run(*came, until=1)
+    came += [("d", "web", START + timedelta(minutes=40))]
+    run(came[2], until=60)
+    run(("d", "web", START + timedelta(minutes=70)), until=75)
+    came += [("d", "web", START + timedelta(minutes=70))]
+    done = {key: value for key, value in brute_force(came).items()
+            if key[0] + timedelta(minutes=5) <= START + timedelta(minutes=65)}
+    assert shown(read_windows(spark, path)) == done
+    assert "Exchange" not in planned(read_windows(spark, path))
+    late = ("c", "email", START + timedelta(minutes=1))
+    run(late, until=200)
+    assert shown(read_windows(spark, path)) == brute_force([*came, late])
+    assert read_windows(spark, path).count() == len(brute_force([*came, late]))
