@@ -10,7 +10,7 @@ from collections.abc import Iterator, Sequence
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Row, functions as F
 from pyspark.sql.streaming.stateful_processor import (
-    ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues,
+    ExpiredTimerInfo, ListState, StatefulProcessor, StatefulProcessorHandle, TimerValues,
 )
 from pyspark.sql.types import MapType, StringType, StructField, StructType
 
@@ -18,8 +18,11 @@ from pyspark.sql.types import MapType, StringType, StructField, StructType
 # driver's module path nor files added to the session.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
+# Entries of a key in one element of its state.
+_PACK = 1000
 
-def _rank(write: tuple[str | None, int]) -> tuple:
+
+def _rank(write: Sequence) -> tuple:
     """Order of writes at one instant: by value, null first, then by lifetime."""
     value, ttl = write
     return value is not None, value or "", ttl
@@ -34,31 +37,22 @@ class _Lookup(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.writes = handle.getMapState("writes", "feature string, at bigint",
-                                         "value string, ttl_s bigint")
-        self.pending = handle.getListState("pending", "at bigint, request binary")
+        # The JVM takes each element of a list by itself, so an element holds many entries.
+        self.writes = handle.getListState("writes", "pack binary")
+        self.pending = handle.getListState("pending", "pack binary")
 
     def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: TimerValues
                         ) -> Iterator[Row]:
-        fresh: dict[tuple[str, int], tuple[str | None, int]] = {}
-        asked = []
+        fresh, asked = [], []
         for row in rows:
             if row["_feature"] is not None:
-                place, write = (row["_feature"], row["_micros"]), (row["_value"], row["_ttl"])
-                if place not in fresh or _rank(write) > _rank(fresh[place]):
-                    fresh[place] = write
+                fresh.append((row["_feature"], row["_micros"], row["_value"], row["_ttl"]))
             elif row["_request"] is not None:
-                asked.append((row["_micros"], pickle.dumps(self._columns(row["_request"]))))
-        for place, write in fresh.items():
-            known = self.writes.getValue(place) if self.writes.containsKey(place) else None
-            if known is None or _rank(write) > _rank(tuple(known)):
-                self.writes.updateValue(place, write)
-        if asked:
-            self.pending.appendList(asked)
+                asked.append((row["_micros"], self._columns(row["_request"])))
         if fresh:  # a key that nobody asks for is forgotten as well
             self.handle.registerTimer(max(
-                at // 1000 + ttl * 1000 for (_, at), (_, ttl) in fresh.items()) + 1)
-        return self._answers(timerValues.getCurrentWatermarkInMs())
+                at // 1000 + ttl * 1000 for _, at, _, ttl in fresh) + 1)
+        return self._answers(timerValues.getCurrentWatermarkInMs(), fresh, asked)
 
     def _columns(self, request: dict | Row) -> list:
         """A request's values in order; it comes as a dictionary, and its maps as lists of pairs."""
@@ -70,23 +64,36 @@ class _Lookup(StatefulProcessor):
                            expiredTimerInfo: ExpiredTimerInfo) -> Iterator[Row]:
         return self._answers(timerValues.getCurrentWatermarkInMs())
 
-    def _answers(self, watermark: int) -> Iterator[Row]:
-        """Answers the requests that the watermark has passed and forgets what no other one needs."""
+    def _answers(self, watermark: int, fresh: Sequence[tuple] = (), asked: Sequence[tuple] = ()
+                 ) -> Iterator[Row]:
+        """Answers the requests that the watermark has passed and forgets what no other one needs.
+
+        ``fresh`` writes and ``asked`` requests are not in the state yet.
+        """
         passed = watermark * 1000
         due, later = [], []
-        for entry in self.pending.get():
-            (due if entry[0] < passed else later).append(tuple(entry))
+        held = self._entries(self.pending)
+        for entry in (*held, *asked):
+            (due if entry[0] < passed else later).append(entry)
+        stored = self._entries(self.writes)
+        best: dict[tuple[str, int], tuple[str | None, int]] = {}
+        for feature, at, *write in (*stored, *fresh):
+            if (feature, at) not in best or _rank(write) > _rank(best[feature, at]):
+                best[feature, at] = tuple(write)
         known: dict[str, list[tuple[int, str | None, int]]] = {f: [] for f in self.features}
-        for (feature, at), (value, ttl) in self.writes.iterator():
+        for (feature, at), (value, ttl) in best.items():
             known[feature].append((at, value, ttl))
+        kept = []
         for feature, writes in known.items():
             writes.sort(key=lambda w: w[0])
             # Up to the watermark only the last write counts, until it has expired.
             last = bisect_right(writes, passed, key=lambda w: w[0]) - 1
-            for i in range(last + 1):
-                at, _, ttl = writes[i]
-                if i < last or at + ttl * 1_000_000 <= passed:
-                    self.writes.removeKey((feature, at))
+            kept += [(feature, at, value, ttl) for i, (at, value, ttl) in enumerate(writes)
+                     if i > last or i == last and at + ttl * 1_000_000 > passed]
+        self._keep(self.writes, stored, fresh, kept)
+        self._keep(self.pending, held, asked, later)
+        if later:
+            self.handle.registerTimer(min(at for at, _ in later) // 1000 + 1)
         for at, request in due:
             values = []
             for feature in self.features:
@@ -94,14 +101,23 @@ class _Lookup(StatefulProcessor):
                 i = bisect_right(writes, at, key=lambda w: w[0]) - 1
                 live = i >= 0 and at < writes[i][0] + writes[i][2] * 1_000_000
                 values.append(writes[i][1] if live else None)
-            yield self.row(*pickle.loads(request), *values)
-        if due:
-            if later:
-                self.pending.put(later)
-            else:
-                self.pending.clear()
-        if later:
-            self.handle.registerTimer(min(at for at, _ in later) // 1000 + 1)
+            yield self.row(*request, *values)
+
+    @staticmethod
+    def _entries(state: ListState) -> list[tuple]:
+        return [entry for (pack,) in state.get() for entry in pickle.loads(pack)]
+
+    @staticmethod
+    def _keep(state: ListState, held: Sequence[tuple], more: Sequence[tuple], kept: list[tuple]
+              ) -> None:
+        """Leaves ``kept`` in a list that holds ``held``, which is part of it and ``more``."""
+        grown = len(kept) == len(held) + len(more)
+        entries = list(more) if grown else kept
+        packs = [(pickle.dumps(entries[i:i + _PACK]),) for i in range(0, len(entries), _PACK)]
+        if packs:
+            (state.appendList if grown else state.put)(packs)
+        elif not grown and held:
+            state.clear()
 
 
 def lookup_features_stream(requests: DataFrame, writes: DataFrame, features: Sequence[str],
